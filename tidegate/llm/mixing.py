@@ -28,9 +28,11 @@ MOST_BLOCKS = 16_384
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: all that the plan needs."""
+    """doc_id, source, size, and mark, the text's hash: all that the plan needs."""
     n = F.regexp_count(F.col(text_col), F.lit(WORD))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(n, F.lit(0)).cast("long").alias("size"))
+    return docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(n, F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("mark")
+    )
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -134,11 +136,11 @@ def planned(rows: DataFrame, seed: int = 0) -> DataFrame:
         "cut", F.coalesce(F.col("room") < F.col("block_size"), F.lit(False))
     )
     inside = marked.filter(~F.col("cut")).withColumn("part", F.when(F.col("room").isNotNull(), F.col("size")).otherwise(0))
-    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = marked.filter("cut").withColumn(
         "part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.coalesce(F.sum("size").over(order), F.lit(0)))).cast("long")
     )
-    columns = ["doc_id", "source", "size", "source_size", "target", "block", "n_blocks", "key", "passes", F.col("part").cast("long").alias("part")]
+    columns = ["doc_id", "source", "size", "mark", "source_size", "target", "block", "n_blocks", "key", "passes", F.col("part").cast("long").alias("part")]
     return inside.select(*columns).unionByName(at_edge.select(*columns))
 
 
@@ -179,9 +181,26 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
             F.xxhash64(F.lit(seed + 1), x["pass"], F.col("key")).alias("place"),
         ),
     )
-    return dealt.select("doc_id", "source", "size", "source_size", "target", placed.alias("draws"))
+    return dealt.select("doc_id", "source", "size", "mark", "source_size", "target", placed.alias("draws"))
 
 
 def draws_of(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """The mix itself: a row for each draw. Sort by shard and place, within partitions of shards, for the training order."""
     return mixed(docs, shards, seed).select("doc_id", "source", F.explode("draws").alias("d")).select("doc_id", "source", "d.*")
+
+
+def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
+    """The documents of the mix, one row for each draw, with their columns; a text at a source's cut keeps its first words only.
+
+    Rows that repeat id and text get the same draws.
+    """
+    plan = mixed(docs, shards, seed).filter(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("size").alias("_size"), "draws")
+    plan = written(plan.dropDuplicates(["_id", "_mark"]), "draws")
+    rows = docs.withColumn("_own", F.xxhash64("text")).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")))
+    rows = rows.withColumn("_d", F.explode("draws"))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_d.words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_d.words") < F.col("_size"), first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = F.col("_d.words") < F.col("_size")
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -102,6 +102,12 @@ def kept(policy: Policy = CURRENT) -> Column:
     return F.bit_count(F.col("failed_rules").bitwiseAND(F.lit(policy.mask))) <= policy.allowed
 
 
+def passing(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
+    """The rows that pass, with their own columns, whatever these are called."""
+    whole = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
+    return ledger(whole).filter(kept(policy)).select("_row.*")
+
+
 def ablations(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """For each rule of a policy: rows that it fails, that it alone takes away, and rows kept without it. One pass, small result."""
     mask = F.col("failed_rules").bitwiseAND(F.lit(policy.mask))
