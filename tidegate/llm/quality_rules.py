@@ -103,9 +103,13 @@ def kept(policy: Policy = CURRENT) -> Column:
 
 
 def passing(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
-    """The rows that pass, with their own columns, whatever these are called."""
+    """The rows that pass, with their own columns, whatever these are called.
+
+    The mask goes through a generator, below which Spark can't push the filter: pushed, it would repeat every measurement inside it.
+    """
     whole = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
-    return ledger(whole).filter(kept(policy)).select("_row.*")
+    masks = ledger(whole).select("_row", F.inline(F.array(F.struct("failed_rules"))))
+    return masks.filter(kept(policy)).select("_row.*")
 
 
 def ablations(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:

@@ -28,7 +28,9 @@ SAMPLE = {1: 1_500, 0: 3_000}
 LEAST_DOCS, MOST_WORDS = 5, 20_000
 TRIPLES = 4_096
 SIZE = 8
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+EPOCHS, BATCH, RATE = 8, 512, 0.02
+#: Small samples are gone through more often, up to so many steps.
+STEPS = 80
 HELD_OUT = 5
 THRESHOLD = 0.5
 #: Word projections that a Python worker remembers.
@@ -207,7 +209,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None
     net = Network({w: i + 1 for i, w in enumerate(common)}, p)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     steps = 0
-    for epoch in range(EPOCHS):
+    for epoch in range(max(EPOCHS, STEPS // -(-len(docs) // BATCH))):
         net.table = None
         rows = net.indices(docs)
         windows, of = cut(rows)
