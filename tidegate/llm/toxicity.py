@@ -28,9 +28,11 @@ SAMPLE = {1: 1_500, 0: 3_000}
 LEAST_DOCS, MOST_WORDS = 5, 20_000
 TRIPLES = 4_096
 SIZE = 8
-EPOCHS, BATCH, RATE = 8, 512, 0.02
+EPOCHS, BATCH, RATE = 10, 256, 0.015
 #: Small samples are gone through more often, up to so many steps.
-STEPS = 80
+STEPS = 120
+#: How often the worst windows are chosen anew.
+CHOICES = 4
 HELD_OUT = 5
 THRESHOLD = 0.5
 #: Word projections that a Python worker remembers.
@@ -79,14 +81,21 @@ class Network:
         get = self.words.get
         return np.fromiter((get(w.strip(STRIP), 0) for w in words), np.int64, len(words))
 
-    def inputs(self, words: list[bytes]) -> np.ndarray:
-        code, start = self.triples(words)
-        count = np.diff(np.r_[start, code.size])
+    def combined(self, known: np.ndarray, code: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Words' inputs: the known word's embedding beside the mean of its triples'."""
         chars = np.add.reduceat(self.p["chars"][code], start, axis=0) / count[:, None]
-        return np.concatenate([self.p["words"][self.vocabulary(words)], chars], 1).astype(np.float32)
+        return np.concatenate([self.p["words"][known], chars], 1).astype(np.float32)
 
     def projected(self, words: list[bytes]) -> np.ndarray:
-        return self.inputs(words) @ self.p["x"] + self.p["b"]
+        code, start = self.triples(words)
+        return self.combined(self.vocabulary(words), code, start, np.diff(np.r_[start, code.size])) @ self.p["x"] + self.p["b"]
+
+    @staticmethod
+    def with_pad(table: np.ndarray) -> np.ndarray:
+        """Row 0 keeps the state: its update gates are shut."""
+        pad = np.zeros((1, 6 * SIZE), np.float32)
+        pad[:, :SIZE] = pad[:, 3 * SIZE : 4 * SIZE] = 40.0
+        return np.concatenate([pad, table])
 
     def indices(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Rows of the table for each text's words; rows 0 and up of words not seen before are made together."""
@@ -94,9 +103,7 @@ class Network:
         if self.table is None or len(self.rows) + len(unseen) > REMEMBERED:
             self.rows.clear()
             unseen = {w for t in texts for w in t}
-            pad = np.zeros((1, 6 * SIZE), np.float32)
-            pad[:, :SIZE] = pad[:, 3 * SIZE : 4 * SIZE] = 40.0  # the update gate keeps the state
-            self.table = pad
+            self.table = self.with_pad(np.empty((0, 6 * SIZE), np.float32))
         if unseen:
             new = list(unseen)
             first = len(self.table)
@@ -137,11 +144,11 @@ class Network:
         pooled = np.einsum("nt,nth->nh", w, states)
         return pooled @ self.p["o"] + self.p["c"][0], (states, a, w, pooled, kept) if keep else None
 
-    def backward(self, x: np.ndarray, live: np.ndarray, y: np.ndarray, weight: np.ndarray):
-        """Gradients of the mean weighted log loss: of the parameters, and of x."""
+    def backward(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the mean log loss: of the parameters, and of x."""
         s = SIZE
         logit, (states, a, w, pooled, kept) = self.forward(x, live, keep=True)
-        out = weight * (sigmoid(logit) - y) / len(y)
+        out = (sigmoid(logit) - y) / len(y)
         g = {"o": pooled.T @ out, "c": out.sum(keepdims=True)}
         dp = out[:, None] * self.p["o"]
         ds = w[:, :, None] * dp[:, None, :]
@@ -163,7 +170,7 @@ class Network:
             dg = np.concatenate([dz, dr, dc * r], 1)
             g["h"][d] += h.T @ dg
             dh[d] = dn * z + dg @ u.T
-        return g, dx, logit
+        return g, dx
 
 
 def windows_of(n: int) -> list[int]:
@@ -207,56 +214,44 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None
     p["words"][0] = 0
     p["words"][1:, 0] = np.clip(odds, -3, 5)
     net = Network({w: i + 1 for i, w in enumerate(common)}, p)
+    # what doesn't change: the distinct words from 1 on (0 pads), their triples and known words, all windows
+    names = sorted({w for d in docs for w in d})
+    place = {w: i + 1 for i, w in enumerate(names)}
+    windows, of = cut([np.fromiter(map(place.__getitem__, d), np.int64, len(d)) for d in docs])
+    code, start = net.triples(names)
+    count, known = np.diff(np.r_[start, code.size]), net.vocabulary(names)
+    value = np.sort(np.r_[0, p["words"][known, 0]][windows], 1)[:, -3:].sum(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    steps = 0
-    for epoch in range(max(EPOCHS, STEPS // -(-len(docs) // BATCH))):
-        net.table = None
-        rows = net.indices(docs)
-        windows, of = cut(rows)
-        names = [b""] * len(net.table)
-        for w, i in net.rows.items():
-            names[i] = w
-        if epoch:
+    epochs, steps = max(EPOCHS, STEPS // -(-len(docs) // BATCH)), 0
+    for epoch in range(epochs):
+        if epoch and epoch % -(-epochs // CHOICES) == 0:
+            net.table = net.with_pad(net.combined(known, code, start, count) @ p["x"] + p["b"])
             value = net.logits(windows)
-        else:
-            word_odds = np.r_[0, p["words"][net.vocabulary(names[1:]), 0]]
-            value = np.sort(word_odds[windows], 1)[:, -3:].sum(1)
         order = np.lexsort((-value, of))
         worst = order[np.searchsorted(of[order], np.arange(len(docs)))]
         other = rng.integers(0, len(windows), len(docs) // 2)
-        other = other[labels[of[other]] == 0]
-        chosen = rng.permutation(np.r_[worst, other])
-        # the character triples and known word of each row of the table, once
-        code, start = net.triples(names[1:])
-        count = np.diff(np.r_[start, code.size])
-        known = np.r_[0, net.vocabulary(names[1:])]
-        by_row = np.r_[0, start]
+        chosen = rng.permutation(np.r_[worst, other[labels[of[other]] == 0]])
         for i in range(0, len(chosen), BATCH):
             k = chosen[i : i + BATCH]
-            win, y = windows[k], labels[of[k]]
-            uniq, inverse = np.unique(win, return_inverse=True)
-            inverse = inverse.reshape(win.shape)
-            real = uniq > 0
-            u = uniq[real]
-            spans = [np.arange(by_row[r], by_row[r] + count[r - 1]) for r in u]
-            cs = code[np.concatenate(spans)] if spans else np.empty(0, np.int64)
-            cn = count[u - 1] if u.size else np.empty(0, np.int64)
-            cstart = np.r_[0, cn.cumsum()[:-1]].astype(np.int64)
-            inp = np.concatenate([p["words"][known[u]], np.add.reduceat(p["chars"][cs], cstart, axis=0) / cn[:, None]], 1).astype(np.float32) if u.size else np.zeros((0, 2 * s), np.float32)
-            proj = np.zeros((uniq.size, 6 * s), np.float32)
-            proj[real] = inp @ p["x"] + p["b"]
-            proj[~real, :s] = proj[~real, 3 * s : 4 * s] = 40.0
-            g, dx, _ = net.backward(proj[inverse], win > 0, y, np.ones_like(y))
-            dproj = np.zeros_like(proj)
-            np.add.at(dproj, inverse.ravel(), dx.reshape(-1, 6 * s))
-            dproj = dproj[real]
+            uniq, inverse = np.unique(windows[k], return_inverse=True)
+            inverse = inverse.reshape(len(k), WINDOW)
+            u = uniq[uniq > 0] - 1
+            pad = int(uniq[0] == 0)
+            if not u.size:
+                continue
+            cn = count[u]
+            cstart = np.r_[0, cn.cumsum()[:-1]]
+            cs = code[np.arange(cn.sum()) + np.repeat(start[u] - cstart, cn)]
+            inp = net.combined(known[u], cs, cstart, cn)
+            table = net.with_pad(inp @ p["x"] + p["b"])
+            at = inverse + 1 - pad
+            g, dx = net.backward(table[at], at > 0, labels[of[k]])
+            dproj = summed(at.ravel(), dx.reshape(-1, 6 * s), len(table))[1:]
             g["x"], g["b"] = inp.T @ dproj, dproj.sum(0)
             dinp = dproj @ p["x"].T
-            g["words"] = np.zeros_like(p["words"])
-            np.add.at(g["words"], known[u], dinp[:, :s])
+            g["words"] = summed(known[u], dinp[:, :s], len(p["words"]))
             g["words"][0] = 0
-            g["chars"] = np.zeros_like(p["chars"])
-            np.add.at(g["chars"], cs, np.repeat(dinp[:, s:] / cn[:, None], cn, axis=0))
+            g["chars"] = summed(cs, np.repeat(dinp[:, s:] / cn[:, None], cn, axis=0), TRIPLES)
             steps += 1
             for name, grad in g.items():
                 m, v = moments[name]
@@ -267,6 +262,16 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None
     return net
 
 
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows that go to the same place."""
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+    out[places[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def score_texts(net: Network | None, texts: list[str | None]) -> np.ndarray:
     """Of each whole text: the worst window's probability."""
     docs = [words_of(t) for t in texts]
