@@ -1,13 +1,15 @@
-"""Queries by name with their SQL."""
+"""All registered queries by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from tidegate.plans import event_queries, statistic_queries
+
 FLAGSHIP = "ao_gate_matrix"
 
 
 def queries() -> dict:
-    return {}
+    return event_queries.QUERIES | statistic_queries.QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return event_queries.SQL | statistic_queries.SQL
