@@ -298,12 +298,12 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_c
                 ids, back = hashlib.sha256(b" ".join([x[0] for x in got])), hashlib.sha256(" ".join([x[1] for x in got]).encode())
                 rows.append((sum([x[2] for x in got]), ids.hexdigest(), back.hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, id_col, b["k"].to_numpy())
+            out.insert(0, id_col, b["k"].to_numpy())  # as text: numbers beside nulls would become floats
             yield out
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    schema = f"`{id_col}` string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    return rows.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType))
 
 
 def encode_ids(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
