@@ -23,7 +23,7 @@ from tidegate.llm.common import text_batches
 
 WINDOW, STRIDE = 64, 48
 #: Bounds of the labelled sample: documents of label 1 and of label 0, first ones by the hash of their ids.
-SAMPLE = {1: 1_500, 0: 3_000}
+SAMPLE = {1: 800, 0: 1_600}
 #: Known words: those in so many sampled documents, the most frequent ones.
 LEAST_DOCS, MOST_WORDS = 5, 20_000
 TRIPLES = 4_096
@@ -184,7 +184,7 @@ def cut(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of some texts, and each one's text."""
     starts = [windows_of(len(r)) for r in rows]
     of = np.repeat(np.arange(len(rows)), [len(x) for x in starts])
-    out = np.zeros((of.size, WINDOW), np.int64)
+    out = np.zeros((of.size, WINDOW), np.int32)
     k = 0
     for r, ss in zip(rows, starts):
         for i in ss:
@@ -199,37 +199,41 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None
     labels = np.asarray(labels, np.float32)
     if not 0 < labels.sum() < len(labels):
         return None
-    docs, rng = [words_of(t) for t in texts], np.random.default_rng(seed)
-    found: dict[bytes, list[int]] = {}
-    for d, y in zip(docs, labels):
-        for w in {w.strip(STRIP) for w in d}:
-            found.setdefault(w, [0, 0])[int(y)] += 1
-    common = sorted((w for w, c in found.items() if sum(c) >= LEAST_DOCS and w), key=lambda w: (-sum(found[w]), w))[:MOST_WORDS]
+    rng, place, rows = np.random.default_rng(seed), {}, []
+    for t in texts:  # words become numbers at once: the driver holds each distinct word only
+        rows.append(np.fromiter((place.setdefault(w, len(place) + 1) for w in words_of(t)), np.int32))
+    names, base = list(place), {}
+    bare = np.fromiter((base.setdefault(w.strip(STRIP), len(base)) for w in names), np.int64, len(names))
+    seen = np.zeros((2, len(base)), np.int64)
+    for r, y in zip(rows, labels):
+        seen[int(y), np.unique(bare[r - 1])] += 1
+    total = seen.sum(0)
+    forms = list(base)
+    common = sorted((k for k in np.flatnonzero(total >= LEAST_DOCS) if forms[k]), key=lambda k: (-total[k], forms[k]))[:MOST_WORDS]
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    odds = [np.log((found[w][1] + 1) / (n1 + 2)) - np.log((found[w][0] + 1) / (n0 + 2)) for w in common]
+    odds = np.log((seen[1, common] + 1) / (n1 + 2)) - np.log((seen[0, common] + 1) / (n0 + 2))
     s = SIZE
     shape = {"words": (len(common) + 1, s), "chars": (TRIPLES, s), "x": (2 * s, 6 * s), "b": (6 * s,), "h": (2, s, 3 * s), "a": (2 * s, s), "v": (s,), "o": (2 * s,), "c": (1,)}
     p = {k: (rng.normal(0, 0.1 if k in ("words", "chars") else 0.35, v)).astype(np.float32) for k, v in shape.items()}
     p["b"][:], p["c"][:] = 0, -1
     p["words"][0] = 0
     p["words"][1:, 0] = np.clip(odds, -3, 5)
-    net = Network({w: i + 1 for i, w in enumerate(common)}, p)
+    net = Network({forms[k]: i + 1 for i, k in enumerate(common)}, p)
     # what doesn't change: the distinct words from 1 on (0 pads), their triples and known words, all windows
-    names = sorted({w for d in docs for w in d})
-    place = {w: i + 1 for i, w in enumerate(names)}
-    windows, of = cut([np.fromiter(map(place.__getitem__, d), np.int64, len(d)) for d in docs])
+    del place, base
+    windows, of = cut(rows)
     code, start = net.triples(names)
     count, known = np.diff(np.r_[start, code.size]), net.vocabulary(names)
     value = np.sort(np.r_[0, p["words"][known, 0]][windows], 1)[:, -3:].sum(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    epochs, steps = max(EPOCHS, STEPS // -(-len(docs) // BATCH)), 0
+    epochs, steps = max(EPOCHS, STEPS // -(-len(rows) // BATCH)), 0
     for epoch in range(epochs):
         if epoch and epoch % -(-epochs // CHOICES) == 0:
             net.table = net.with_pad(net.combined(known, code, start, count) @ p["x"] + p["b"])
             value = net.logits(windows)
         order = np.lexsort((-value, of))
-        worst = order[np.searchsorted(of[order], np.arange(len(docs)))]
-        other = rng.integers(0, len(windows), len(docs) // 2)
+        worst = order[np.searchsorted(of[order], np.arange(len(rows)))]
+        other = rng.integers(0, len(windows), len(rows) // 2)
         chosen = rng.permutation(np.r_[worst, other[labels[of[other]] == 0]])
         for i in range(0, len(chosen), BATCH):
             k = chosen[i : i + BATCH]
