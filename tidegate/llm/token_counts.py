@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +29,7 @@ BLOCK = 1_024
 
 
 class Segments(dict):
-    """Encoded ids, as little-endian 16-bit numbers, of a text's stretches that begin with a space.
+    """Encoded ids, as little-endian 16-bit numbers, of a text's stretches that follow a space, with that space.
 
     The pattern of these vocabularies never looks past a space that stands before anything but white space, so that each stretch
     is encoded alone. Texts where white space follows a space are encoded whole.
@@ -45,12 +47,13 @@ class Segments(dict):
         self.end = len(ranks)
 
     def ids(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+        got = array("H", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            got.byteswap()
+        return got.tobytes()
 
     def __missing__(self, segment: str) -> bytes:
-        got = self.ids(segment)
+        got = self.ids(" " + segment)
         if len(segment) <= 48:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -63,7 +66,7 @@ class Segments(dict):
         if self.MIXED.search(text):
             return [self.ids(text)]
         first, *rest = text.split(" ")
-        return [*([self[first]] if first else []), *[self[" " + s] for s in rest]]
+        return [self.ids(first), *map(self.__getitem__, rest)]
 
 
 @lru_cache(maxsize=2)
