@@ -2,15 +2,16 @@
 
 A text's set is its distinct shingles of five words (lower-cased A-Z); two texts link if their sets' intersection is at least 75
 hundredths of their union. The search follows DivideSkip. A text of n shingles needs T = ceil(0.75 n) common ones, so that of its
-lists the T - 1 longest can be set aside: a partner occurs in one at least of the n - T + 1 shortest. These short lists are merged
-in shingle order, and each pair that meets there is probed against the long lists by binary search in the partner's sorted set.
+lists the T - c longest can be set aside: a partner occurs in c at least of the shorter ones (c is 1 to 8, by n). The short lists
+are merged in shingle order and each pair's occurrences are counted; pairs with c are probed against the long lists by binary search
+in the partner's sorted set.
 
 - One pass makes each text's set digest and counts its chunk's frequent shingles. Texts of equal sets form a class; one node stands
   for it. The frequent shingles (a table of bounded size) only fix the order that makes lists short: any order gives right results.
-- A second pass deals the short lists' postings by shingle. Where a list has few nodes, all its pairs within the length and position
-  bounds are candidates. Where it has many, its nodes are first compared with one pivot; what that links needs no further pairs, and
-  only nodes outside the pivot's component are compared with all of the list. No group's pairs are ever all made, no link between
-  components is lost.
+- A second pass deals the short lists' postings by shingle. Where a list has few nodes, all its pairs within the length bound count.
+  Where it has many, neighbours in a few random orders are compared first, which joins a group of near copies into one component;
+  then the nodes outside a list's largest component are compared with all of the list, within the length and position bounds. No
+  group's pairs are ever all made, and no link between components is lost.
 - Components come from label propagation with pointer jumping over the links.
 
 Null and empty texts, and texts without a word, have no shingle and link with nothing; with fewer than five words the whole
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import text_batches, written
@@ -33,7 +34,11 @@ from tidegate.llm.common import text_batches, written
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union.
 SIMILARITY = 75
-#: Lists of more nodes are compared by pivots first.
+#: Occurrences in short lists that make a candidate: one for so many shingles, at most COMMON.
+COMMON, COMMON_SHARE = 8, 24
+#: Random orders of long lists at a time, nodes of a stretch of such an order, and how often new orders are tried at most.
+ORDERS, STRETCH, ROUNDS = 4, 64, 4
+#: Lists of more nodes are long.
 SHORT_LIST = 16
 #: Shingles of a chunk, whose frequent ones are counted together; how often one must occur there, and how many are told.
 CHUNK, OFTEN, TOLD = 1 << 22, 4, 20_000
@@ -89,6 +94,11 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
     return -(-n * SIMILARITY // 100)
 
 
+def occurrences(n: np.ndarray | int) -> np.ndarray | int:
+    """Short lists that a set of n and any that links to it have in common at least; fewer are asked of smaller sets."""
+    return np.clip(n // COMMON_SHARE, 1, COMMON)
+
+
 def digest_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (doc_id, n, digest) of texts and (h, count) of a chunk's frequent shingles."""
     waiting: list[np.ndarray] = []
@@ -111,7 +121,8 @@ def digest_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             digests.append(digest(s) if s.size else None)
             waiting.append(s)
             held += s.size
-        yield pd.DataFrame({"doc_id": b["doc_id"], "n": ns, "digest": digests, "node": [node(d) if d else None for d in digests], "h": None, "count": None})
+        nodes = pd.array([node(d) if d else None for d in digests], "Int64")
+        yield pd.DataFrame({"doc_id": b["doc_id"], "n": ns, "digest": digests, "node": nodes, "h": None, "count": None})
         if held >= CHUNK:
             yield frequent()
             waiting, held = [], 0
@@ -152,7 +163,7 @@ def posting_pass(batches: Iterator[pd.DataFrame], frequent: tuple[np.ndarray, np
             if not s.size:
                 continue
             n = s.size
-            p = n - needed(n) + 1
+            p = int(n - needed(n) + occurrences(n))
             number = node(digest(s))
             if often.size:
                 at = np.minimum(np.searchsorted(often, s), often.size - 1)
@@ -169,13 +180,6 @@ def posting_pass(batches: Iterator[pd.DataFrame], frequent: tuple[np.ndarray, np
         yield flush()
 
 
-def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether two sets may link whose first common shingle stands where these postings say."""
-    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    most = np.minimum(na - a["p"], nb - b["p"])
-    return (100 + SIMILARITY) * most >= SIMILARITY * (na + nb)
-
-
 def merge_lists(bucket: pd.DataFrame) -> pd.DataFrame:
     """Merges a bucket's lists in shingle order: pairs of lists with few nodes, postings of those with many."""
     far = [np.frombuffer(x, POSTING) for x in bucket.loc[bucket["kind"] == 1, "posts"]]
@@ -196,11 +200,16 @@ def merge_lists(bucket: pd.DataFrame) -> pd.DataFrame:
             for i in range(m if at.size else 0):
                 for j in range(i + 1, m):
                     a, b = posts[at + i], posts[at + j]
-                    ok = possible(a, b)
-                    pairs.append(np.stack([a["v"][ok], b["v"][ok]], 1))
-    pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+                    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+                    ok = 100 * np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb)
+                    pairs.append(np.stack([a["v"][ok], b["v"][ok], occurrences(np.minimum(na, nb)[ok])], 1))
+    pair = np.concatenate(pairs) if pairs else np.empty((0, 3), np.int64)
+    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+    first = np.flatnonzero(np.r_[True, (pair[1:, :2] != pair[:-1, :2]).any(1)]) if len(pair) else np.empty(0, np.int64)
+    count = np.diff(np.r_[first, len(pair)])
+    pair = pair[first]
     many = np.concatenate(far) if far else np.empty(0, POSTING)
-    one = pd.DataFrame({"h": pd.array([None] * len(pair), "Int64"), "a": pair[:, 0], "b": pair[:, 1], "n": 0, "p": 0})
+    one = pd.DataFrame({"h": pd.array([None] * len(pair), "Int64"), "a": pair[:, 0], "b": pair[:, 1], "n": count, "p": pair[:, 2]})
     two = pd.DataFrame({"h": many["h"], "a": many["v"], "b": 0, "n": many["n"], "p": many["p"]})
     return pd.concat([one, two.astype({"h": "Int64"})], ignore_index=True)
 
@@ -266,7 +275,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = written(docs.mapInPandas(digest_pass, "doc_id long, n long, digest binary, node long, h long, count long"), "digests")
+    # ids go through Python as texts: numbers beside nulls would become floats
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    told = texts.mapInPandas(digest_pass, "doc_id string, n long, digest binary, node long, h long, count long")
+    told = written(told.withColumn("doc_id", F.col("doc_id").cast("long")), "digests")
     sets = told.filter("h IS NULL").select("doc_id", "n", "digest", "node")
 
     # classes of equal sets; only those of two or more rows need a table
@@ -286,7 +298,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     posts = docs.filter("doc_id IS NOT NULL").select("text").mapInPandas(lambda it: posting_pass(it, frequent.value, buckets), "bucket int, kind int, posts binary")
     lists = written(posts.groupBy("bucket").applyInPandas(merge_lists, "h long, a long, b long, n int, p int"), "lists")
-    few = named(lists.filter("h IS NULL").select("a", "b").distinct(), nodes)
+    few = lists.filter("h IS NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("p").alias("least")).filter("n >= least")
+    few = named(few, nodes)
     links = verified(few, docs)
 
     many = lists.filter("h IS NOT NULL").select("h", "n", "p", F.col("a").alias("node"))
@@ -319,21 +332,54 @@ def named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return got.filter("x <> y").select(*ordered("x", "y")).distinct()
 
 
+def may_link():
+    """Bounds on two postings (n, p) and (pn, pp) of a list, the first one that a pair shares: fewer than c common shingles come before."""
+    c = F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(F.least("n", "pn") / COMMON_SHARE)))
+    most = F.least(F.col("n") - F.col("p"), F.col("pn") - F.col("pp")) + c - 1
+    lengths = 100 * F.least("n", "pn") >= SIMILARITY * F.greatest("n", "pn")
+    return lengths & ((100 + SIMILARITY) * most >= SIMILARITY * (F.col("n") + F.col("pn")))
+
+
+def neighbours(rows: DataFrame, seed: int) -> DataFrame:
+    """Pairs of different components that stand side by side in a random order of each list, cut into stretches of about STRETCH."""
+    place = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30))
+    w = Window.partitionBy("h", "stretch").orderBy("place", "v")
+    r = rows.withColumn("place", place).withColumn("stretch", F.floor(F.col("place") * F.col("stretches") / (1 << 30)))
+    r = r.withColumns({x: F.lag(y).over(w) for x, y in (("pv", "v"), ("pn", "n"), ("pp", "p"), ("pc", "c"))})
+    return r.filter(F.col("pv").isNotNull() & (F.col("c") != F.col("pc")) & may_link()).select(*ordered("v", "pv"))
+
+
 def long_list_links(many: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links from lists (h, v, n, p) of many nodes: each with a pivot first, then what lies outside the pivot's component with all."""
-    pivots = many.groupBy("h").agg(F.min(F.struct(F.xxhash64("v").alias("k"), "v", "n", "p")).alias("x"))
-    pivots = written(pivots.select(F.col("h").alias("ph"), F.col("x.v").alias("pv"), F.col("x.n").alias("pn"), F.col("x.p").alias("pp")), "pivots")
-    may = (100 + SIMILARITY) * F.least(F.col("n") - F.col("p"), F.col("pn") - F.col("pp")) >= SIMILARITY * (F.col("n") + F.col("pn"))
-    with_pivot = many.join(pivots, many["h"] == pivots["ph"])
-    star = with_pivot.filter(may & (F.col("v") != F.col("pv"))).select(*ordered("v", "pv")).distinct()
-    star = written(star, "star")
-    first = verified(star, docs)
-    found = components(links.unionByName(first))
-    cv, cp = found.select(F.col("id").alias("iv"), F.col("component").alias("cv")), found.select(F.col("id").alias("ip"), F.col("component").alias("cp"))
-    named_pivots = written(pivots.join(cp, pivots["pv"] == cp["ip"], "left").select("ph", F.coalesce("cp", "pv").alias("pc")), "pivots")
-    labelled = written(many.join(cv, many["v"] == cv["iv"], "left").select("h", "v", "n", "p", F.coalesce("cv", "v").alias("c")), "many")
-    outside = labelled.join(named_pivots, labelled["h"] == named_pivots["ph"]).filter(F.col("c") != F.col("pc"))
-    outside = written(outside.select(F.col("h").alias("ph"), F.col("v").alias("pv"), F.col("n").alias("pn"), F.col("p").alias("pp"), F.col("c").alias("pc")), "outside")
-    rest = labelled.join(outside, (labelled["h"] == outside["ph"]) & (F.col("c") != F.col("pc")) & may).select(*ordered("v", "pv")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    return first.unionByName(verified(rest, docs))
+    """Links that join the components of lists (h, v, n, p) of many nodes."""
+    size = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("size") / STRETCH, F.lit(1.0))))).cast("long")
+    sizes = written(many.groupBy("h").agg(F.count("*").alias("size")).select(F.col("h").alias("sh"), "size", size.alias("stretches")), "sizes")
+    rows = written(many.distinct().join(sizes, many["h"] == sizes["sh"]).drop("sh"), "many")
+    total, found, work = rows.count(), None, None
+    for turn in range(ROUNDS + 1):
+        labels = components(links.unionByName(found) if found is not None else links).select(F.col("id").alias("iv"), "component")
+        labelled = written(rows.join(labels, rows["v"] == labels["iv"], "left").select(*rows.columns, F.coalesce("component", "v").alias("c")), "labelled")
+        largest = labelled.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "c")).alias("m"))
+        largest = written(largest.select(F.col("h").alias("mh"), F.col("m.c").alias("mc")), "largest")
+        outside = written(labelled.join(largest, labelled["h"] == largest["mh"]).filter(F.col("c") != F.col("mc")).select(*labelled.columns), "outside")
+        before, work = work, outside.agg(F.sum("size")).first()[0] or 0
+        # enough if few comparisons are left, or new orders no longer help
+        if turn == ROUNDS or work <= 4 * total or (before is not None and work > 0.8 * before):
+            break
+        mixed = labelled.join(outside.select(F.col("h").alias("oh")).distinct(), F.col("h") == F.col("oh"), "left_semi")
+        pairs = None
+        for k in range(ORDERS):
+            one = neighbours(mixed, ORDERS * turn + k)
+            pairs = one if pairs is None else pairs.unionByName(one)
+        new = verified(pairs.distinct(), docs)
+        found = new if found is None else found.unionByName(new)
+    # a pair meets in each list that it shares; only the first in the common order makes it a row
+    own = rows.groupBy("v").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]).alias("hs"))
+    own = written(own.select(F.col("v").alias("ov"), "hs"), "own")
+    mine = labelled.join(outside.select(F.col("h").alias("oh")).distinct(), F.col("h") == F.col("oh"), "left_semi").join(own, F.col("v") == F.col("ov")).drop("ov")
+    mine = written(mine, "inside")
+    other = outside.join(own, F.col("v") == F.col("ov"))
+    other = written(other.select(*[F.col(x).alias(f"p{y}") for x, y in (("h", "h"), ("v", "v"), ("n", "n"), ("p", "p"), ("c", "c"), ("hs", "hs"))]), "other")
+    first = F.element_at(F.array_intersect("hs", "phs"), 1) == F.col("h")
+    rest = mine.join(other, (mine["h"] == other["ph"]) & (F.col("c") != F.col("pc")) & may_link() & first).select(*ordered("v", "pv")).distinct()
+    last = verified(rest, docs)
+    return last if found is None else found.unionByName(last)
