@@ -76,17 +76,17 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     twice = F.filter("_o", lambda x, i: (F.get("_o", i - 1)["t"] == x["t"]) | (F.get("_o", i + 1)["t"] == x["t"]))
     staged = staged.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.zip_with("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    out = staged.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
-        }
-    )
-    return out.drop("_w", "_l", "_t", "_o", "_p")
+    measures = {
+        "n_words": F.size("_w"),
+        "word_chars": F.length(F.translate(text, SPACES, "")),
+        "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
+        "n_lines": F.size("_l"),
+        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
+        "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)),
+    }
+    # out of a generator, below which Spark can't push a filter: pushed, it would repeat every measurement inside it
+    one = F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])))
+    return staged.select(*[f"`{x}`" for x in docs.columns if x not in measures], one)
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -103,13 +103,9 @@ def kept(policy: Policy = CURRENT) -> Column:
 
 
 def passing(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
-    """The rows that pass, with their own columns, whatever these are called.
-
-    The mask goes through a generator, below which Spark can't push the filter: pushed, it would repeat every measurement inside it.
-    """
+    """The rows that pass, with their own columns, whatever these are called."""
     whole = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
-    masks = ledger(whole).select("_row", F.inline(F.array(F.struct("failed_rules"))))
-    return masks.filter(kept(policy)).select("_row.*")
+    return ledger(whole).filter(kept(policy)).select("_row.*")
 
 
 def ablations(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:

@@ -122,6 +122,10 @@ def sequences(rows: DataFrame, first: dict[int, int], size: int, tokenizer: str,
 
 def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.tiktoken", key: str = "order", length: int = SEQUENCE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shard-<number>.bin files below path; returns shard, first_slot, n, sha256 of each."""
+    from pyarrow import fs
+
+    system, folder = fs.FileSystem.from_uri(path)
+    system.create_dir(folder, recursive=True)  # there even if no shard is
     rows = texts_of(docs, id_col, text_col)
     counts = counted(rows, tokenizer, length)
     first, size = {}, 0
