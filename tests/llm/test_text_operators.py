@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.llm import bpe, chat_format, mixing, ngram_join, quality_rules, token_counts, token_output, topk_search, toxicity, warc
+from tidegate.llm import queries as text_queries
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, n_words string"
@@ -223,6 +224,23 @@ def test_mixing_targets_and_caps(spark, docs, odd):
 DOC_COLUMNS = [c.split(" ")[0] for c in DOC.split(", ")]
 
 
+def test_mixing_keeps_texts_whole(spark, docs):
+    came = {r["doc_id"]: r for r in docs.collect()}
+    size, target, longest, taken, got = {}, {}, Counter(), Counter(), Counter()
+    for r in mixing.mixed(docs).collect():
+        size[r["doc_id"]], target[r["source"]] = r["size"], r["target"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    for r in mixing.mixed_documents(docs).collect():
+        assert r == came[r["doc_id"]]
+        taken[r["source"]] += size[r["doc_id"]]
+        got[r["doc_id"]] += 1
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1 for s in target)
+    drawn = mixing.draws_of(docs).collect()
+    assert Counter(r["doc_id"] for r in drawn) == got and all(r["words"] == size[r["doc_id"]] for r in drawn)
+    told = text_queries.op5_mixing(spark, DATA).collect()
+    assert all(r["taken"] == got[r["doc_id"]] * r["size"] for r in told)
+
+
 def test_splitting_tree_is_exact(spark):
     q = {"a": 1000, "b": 1, "c": 77, None: 250}
     got = mixing.splitting_tree(spark.createDataFrame(list(q.items()), "source string, blocks long"), 8, 3).collect()

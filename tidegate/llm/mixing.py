@@ -1,8 +1,8 @@
 """Mixing sources to target weights by exact block quotas.
 
 Each source's rows fall into numbered blocks by a keyed hash of their ids; because the key deals them at random, the numbers are
-already a random order of the source's blocks. A target is drawn as whole passes over all blocks and then a run of blocks, the
-last of them to the word. A splitting tree hands every source's quota of blocks down to the output shards: at each node the
+already a random order of the source's blocks. A target is planned as whole passes over all blocks and then a run of blocks, the
+last of them to the word; the mix takes the text at that cut whole or leaves it out, so that every text stays as it came. A splitting tree hands every source's quota of blocks down to the output shards: at each node the
 number of a source's blocks that go left is one draw of a multivariate hypergeometric distribution, so that the shards' quotas
 are exact and the blocks that they hold are disjoint runs. Within a shard, rows are put in an order of their own hash.
 
@@ -151,7 +151,7 @@ def joined(rows: DataFrame, by_source: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
-    """A row for each document with its draws: pass, words (all of the text's, or its first ones at the cut), shard and place there.
+    """A row for each document with its planned draws: pass, words (all of the text's, or the target's rest at the cut), shard and place there.
 
     A source's block draws run through pass 0, 1, 2 in the order of its blocks; the splitting tree gives each shard a run of them.
     """
@@ -184,23 +184,24 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     return dealt.select("doc_id", "source", "size", "mark", "source_size", "target", placed.alias("draws"))
 
 
+def whole_draws(draws: str = "draws", size: str = "size") -> Column:
+    """Planned draws as whole texts: the one at a source's cut counts whole or not at all, whichever ends nearer the target."""
+    taken = F.filter(draws, lambda x: 2 * x["words"] >= F.col(size))
+    return F.transform(taken, lambda x: x.withField("words", F.col(size)))
+
+
 def draws_of(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """The mix itself: a row for each draw. Sort by shard and place, within partitions of shards, for the training order."""
-    return mixed(docs, shards, seed).select("doc_id", "source", F.explode("draws").alias("d")).select("doc_id", "source", "d.*")
+    return mixed(docs, shards, seed).select("doc_id", "source", F.explode(whole_draws()).alias("d")).select("doc_id", "source", "d.*")
 
 
 def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
-    """The documents of the mix, one row for each draw, with their columns; a text at a source's cut keeps its first words only.
+    """The documents of the mix, one row for each draw, with their columns; texts are whole.
 
     Rows that repeat id and text get the same draws.
     """
-    plan = mixed(docs, shards, seed).filter(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("size").alias("_size"), "draws")
+    plan = mixed(docs, shards, seed).withColumn("draws", whole_draws()).filter(F.size("draws") > 0)
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "draws")
     plan = written(plan.dropDuplicates(["_id", "_mark"]), "draws")
     rows = docs.withColumn("_own", F.xxhash64("text")).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")))
-    rows = rows.withColumn("_d", F.explode("draws"))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_d.words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_d.words") < F.col("_size"), first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        cut = F.col("_d.words") < F.col("_size")
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn("_d", F.explode("draws")).select(*[F.col(f"`{c}`") for c in docs.columns])

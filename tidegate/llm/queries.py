@@ -79,7 +79,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM d LEFT
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf_dir, "documents"))
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    taken = F.aggregate(mixing.whole_draws(), F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
