@@ -224,6 +224,18 @@ def test_mixing_targets_and_caps(spark, docs, odd):
 DOC_COLUMNS = [c.split(" ")[0] for c in DOC.split(", ")]
 
 
+def test_mixing_targets_of_tied_sources(spark):
+    for sizes, weights, want in (
+        ([100] * 4, (5, 2, 1), [400 * w / 13 for w in (5, 2, 1, 5)]),
+        ([50, 20, 10], (5, 2, 1), [50, 20, 10]),
+        ([10, 10, 1000], (1, 1, 1000), [1020 / 1002, 1020 / 1002, 1020 * 1000 / 1002]),
+        ([100] * 4, (1,), [100] * 4),
+    ):
+        by_source = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.targets(by_source, weights).collect()}
+        assert all(abs(got[f"s{i}"] - x) < 1e-6 for i, x in enumerate(want))
+
+
 def test_mixing_keeps_texts_whole(spark, docs):
     came = {r["doc_id"]: r for r in docs.collect()}
     size, target, longest, taken, got = {}, {}, Counter(), Counter(), Counter()

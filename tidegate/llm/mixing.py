@@ -51,10 +51,11 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: i
         {
             "left": F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0)),
             "weights": F.sum("weight").over(rest),
+            "place": F.row_number().over(order),
         }
     )
     ranked = ranked.withColumn("stops", F.col("cap") * F.col("weights") <= F.col("left") * F.col("weight"))
-    level = F.min(F.when(~F.col("stops"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("left"), F.col("weights")))).over(Window.partitionBy())
+    level = F.min(F.when(~F.col("stops"), F.struct("place", "left", "weights"))).over(Window.partitionBy())
     ranked = ranked.withColumn("level", level)
     share = F.col("level.left") * F.col("weight") / F.col("level.weights")
     return ranked.select("source", "source_size", "weight", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(share).alias("target"))
