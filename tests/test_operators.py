@@ -162,3 +162,24 @@ def test_streams(spark, tmp_path):
     want = {(r["entity_id"], r["source"]): r["gap_h"] for r in nearest.nearest_gaps(index_of(spark).filter("t0 IS NOT NULL"), spark.read.parquet(src)).collect()}
     got = {(r["entity_id"], r["source"]): r["gap_h"] for r in spark.table("near").filter("entity_id = 1").collect()}
     assert got == {k: v for k, v in want.items() if k[0] == 1}
+
+
+def test_bootstrap_modes_by_hand(spark):
+    import hashlib
+
+    values = {"a": [0.0, 1.0, 5.0], "b": [10.0, 12.0], "c": [-3.0]}
+    draw = lambda n, *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) % n
+    rows = spark.createDataFrame([(s, i, v) for s, x in values.items() for i, v in enumerate(x)], "site string, entity int, v double")
+    sites = list(values)
+    for mode in metrics.MODES:
+        got = {r["rep"]: r["mean"] for r in metrics.bootstrap_means(rows, "site", "v", 120, 3, mode).collect()}
+        assert sorted(got) == list(range(120))
+        for rep in got:
+            drawn = [(s, []) for s in sites] if mode == "within_site" else [(sites[draw(3, 3, rep, "site", p)], [p]) for p in range(3)]
+            if mode == "cluster":
+                want = [v for s, _ in drawn for v in values[s]]
+            else:
+                want = [values[s][draw(len(values[s]), 3, rep, *p, s, k)] for s, p in drawn for k in range(len(values[s]))]
+            assert abs(got[rep] - sum(want) / len(want)) < 1e-9
+    with pytest.raises(Exception, match="at least 2 sites"):
+        metrics.bootstrap_means(rows.filter("site = 'a'"), "site", "v", 5, 3, "cluster").collect()

@@ -58,3 +58,14 @@ def test_query_covers_every_order(name, cut, spark, duck):
     assert rows(got) == rows(want)
     if name != "jn24_membership":
         assert set(got["point_id"]) == set(duck.execute("SELECT o_orderkey FROM orders").df()["o_orderkey"]) and got["point_id"].is_unique
+
+
+def test_bootstrap_has_all_replicates(spark, duck):
+    got = registry.queries()["mt04_bootstrap"](spark, DATA).toPandas().sort_values("rep")
+    assert list(got["rep"]) == list(range(2000))
+    want = duck.execute(registry.oracle_sql()["mt04_bootstrap"]).df()
+    assert rows(got[got["rep"] < len(want)]) == rows(want)
+    told = registry.queries()["mt06_interval"](spark, DATA).toPandas().iloc[0]
+    low, high = np.quantile(got["mean"] - 0.8, [0.025, 0.975])
+    assert abs(told["low"] - low) < 1e-5 and abs(told["high"] - high) < 1e-5
+    assert abs(told["p"] - (1 + sum(got["mean"] >= 0.8)) / 2001) < 2e-3

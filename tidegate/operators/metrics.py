@@ -75,16 +75,46 @@ def confusion(rows: DataFrame, by: list[str], y: str, guess: str) -> DataFrame:
     return t.select("*", rate("tp", "tp + fn").alias("sensitivity"), rate("tn", "tn + fp").alias("specificity"), rate("tp", "tp + fp").alias("ppv"), rate("tn", "tn + fn").alias("npv"))
 
 
-def bootstrap_means(rows: DataFrame, site: str, value: str, replicates: int, seed: int) -> DataFrame:
+#: Resamples as in the reference, and how many of them a task takes together.
+REPLICATES = 2000
+PIECE = 50
+MODES = ("within_site", "cluster", "two_stage")
+
+
+def drawn_sites(rows: DataFrame, site: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """rep, pos, site, total, n: for each replicate as many sites as there are, with replacement. Sites are few; fewer than two are an error."""
+    each = rows.groupBy(site).agg(F.sum(value).alias("total"), F.count("*").alias("n")).filter(F.col(site).isNotNull())
+    k = F.count("*").over(Window.partitionBy())
+    each = each.select("*", (F.row_number().over(Window.orderBy(site)) - 1).alias("number"), F.when(k < 2, F.raise_error(F.lit("this mode needs at least 2 sites")).cast("long")).otherwise(k).alias("k"))
+    picks = each.select(F.col("number").alias("pos"), "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    pick = F.pmod(portable_hash(F.lit(str(seed)), F.col("rep").cast("string"), F.lit("site"), F.col("pos").cast("string")), F.col("k"))
+    return picks.select("rep", "pos", pick.alias("number")).join(each.select(site, "total", "n", "number"), "number").select("rep", "pos", site, "total", "n")
+
+
+def bootstrap_means(rows: DataFrame, site: str, value: str, replicates: int, seed: int, mode: str = "within_site") -> DataFrame:
     """rep, mean over resamples within sites: slot s of a site takes the row whose number is a hash of seed, rep, site and slot.
 
-    Rows are expanded by the number of replicates where they are; each expanded slot then meets its draw by an equi-join.
+    ``cluster`` draws whole sites, ``two_stage`` draws sites and then slots within each, by the site's position too. Slots are dealt
+    with pieces of the replicates before they are expanded; each expanded slot then meets its draw by an equi-join.
     """
+    assert mode in MODES, f"mode must be one of {MODES}"
+    if mode == "cluster":
+        return drawn_sites(rows, site, value, replicates, seed).groupBy("rep").agg((F.sum("total") / F.sum("n")).alias("mean"))
     w = Window.partitionBy(site).orderBy("entity")
     numbered = rows.select(site, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("row"), F.count("*").over(Window.partitionBy(site)).alias("n"))
-    slots = numbered.select(site, F.col("row").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    draws = slots.withColumn("row", F.pmod(portable_hash(F.lit(str(seed)), F.col("rep").cast("string"), F.col(site).cast("string"), F.col("slot").cast("string")), F.col("n")))
-    return draws.select(site, "row", "rep").join(numbered.select(site, "row", "v"), [site, "row"]).groupBy("rep").agg(F.avg("v").alias("mean"))
+    slots = numbered.select(site, F.col("row").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // PIECE))).alias("piece"))
+    slots = slots.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), site, "slot", "piece")
+    if mode == "two_stage":
+        sites = drawn_sites(rows, site, value, replicates, seed).groupBy(site, F.floor(F.col("rep") / PIECE).cast("int").alias("piece"))
+        slots = slots.join(sites.agg(F.collect_list(F.struct("rep", "pos")).alias("drawn")), [site, "piece"])
+    else:
+        reps = F.sequence(F.col("piece") * PIECE, F.least(F.col("piece") * PIECE + PIECE, F.lit(replicates)) - 1)
+        slots = slots.withColumn("drawn", F.transform(reps, lambda r: F.struct(r.alias("rep"), F.lit(None).cast("int").alias("pos"))))
+    slots = slots.select(site, "slot", "n", F.explode("drawn").alias("d")).select(site, "slot", "n", "d.rep", "d.pos")
+    # a null position leaves no trace in the hash
+    key = portable_hash(F.lit(str(seed)), F.col("rep").cast("string"), F.col("pos").cast("string"), F.col(site).cast("string"), F.col("slot").cast("string"))
+    draws = slots.select(site, F.pmod(key, F.col("n")).alias("row"), "rep")
+    return draws.join(numbered.select(site, "row", "v"), [site, "row"]).groupBy("rep").agg(F.avg("v").alias("mean"))
 
 
 def percentile_interval(means: DataFrame, alpha: float = 0.05) -> DataFrame:

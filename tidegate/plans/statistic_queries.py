@@ -56,7 +56,7 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
   SELECT rep, round(avg(n.v), 6) AS mean FROM s JOIN n USING (site, row) GROUP BY 1""")
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     v = predictions(spark, d).filter("y IS NOT NULL AND label = 'quality'").select("site", "entity", F.col("y").cast("double").alias("v"))
-    return rounded(metrics.bootstrap_means(v, "site", "v", 20, 7))
+    return rounded(metrics.bootstrap_means(v, "site", "v", metrics.REPLICATES, 7))
 
 
 @query("mt06_interval", "WITH " + PREDICTIONS + """, x AS (SELECT site, entity, y - 0.8::double AS v FROM pr WHERE y IS NOT NULL AND label = 'quality'),
@@ -65,7 +65,14 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
   SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round((count(*) FILTER (mean >= 0) + 1) / (count(*) + 1), 6) AS p FROM m""")
 def interval(spark: SparkSession, d: str) -> DataFrame:
     v = predictions(spark, d).filter("y IS NOT NULL AND label = 'quality'").select("site", "entity", (F.col("y") - F.lit(0.8)).alias("v"))
-    return rounded(metrics.percentile_interval(metrics.bootstrap_means(v, "site", "v", 20, 7)))
+    return rounded(metrics.percentile_interval(metrics.bootstrap_means(v, "site", "v", metrics.REPLICATES, 7)))
+
+
+@query("mt04_modes")
+def interval_modes(spark: SparkSession, d: str) -> DataFrame:
+    v = predictions(spark, d).filter("y IS NOT NULL AND label = 'quality'").select("site", "entity", (F.col("y") - F.lit(0.8)).alias("v"))
+    each = [metrics.percentile_interval(metrics.bootstrap_means(v, "site", "v", metrics.REPLICATES, 7, m)).select(F.lit(m).alias("mode"), "*") for m in metrics.MODES]
+    return rounded(each[0].unionByName(each[1]).unionByName(each[2]))
 
 
 @query("mt06_holm", "WITH t AS (SELECT event_type AS name, (1 + count(*) FILTER (value > 90)) / (1 + count(*)) AS p FROM events GROUP BY 1) SELECT name, round(p, 6) AS p, round(least(1, max(s) OVER (ORDER BY p, name)), 6) AS adjusted FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p AS s FROM t)")
