@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def empty(spark):
 def test_token_counts(spark, docs, odd):
     known = token_counts.load("byte_bpe_50k.tiktoken")
     for part in (docs, odd):
-        hist = token_counts.histogram(token_counts.lengths(part).select("n_tokens"))
+        hist = token_counts.histogram(token_counts.lengths(part))
         want = sorted(len(known.encoding.encode_ordinary(r["text"] or "")) for r in part.collect())
         got = {r["n_tokens"]: r for r in hist.collect()}
         assert {k: r["n_docs"] for k, r in got.items()} == Counter(want)
@@ -49,14 +50,16 @@ def test_token_counts(spark, docs, odd):
         for limit in (0, 1, 100, 777, 10**7):
             assert token_counts.truncated_total(hist, limit) == sum(min(x, limit) for x in want)
         assert token_counts.quantile(hist, 0.5) == want[-(-len(want) // 2) - 1]
-    assert token_counts.histogram(token_counts.lengths(empty(spark)).select("n_tokens")).count() == 0
+    assert token_counts.histogram(token_counts.lengths(empty(spark))).count() == 0
 
 
 def test_segments_equal_whole_texts():
     known, rng = token_counts.load("byte_bpe_50k.tiktoken"), random.Random(1)
-    for _ in range(300):
-        t = "".join(rng.choice(["a", "b's", " ", "  ", "\n", "\t", "1", ".", "é", " x", " "]) for _ in range(rng.randrange(1, 30)))
-        assert b"".join(known.pieces(t)) == known.ids(t), repr(t)
+    texts = ["".join(rng.choice(["a", "b's", " ", "  ", "\n", "\t", "1", ".", "é", " x", " "]) for _ in range(rng.randrange(0, 30))) for _ in range(600)]
+    for part in (texts, texts[:1], [""], ["x "], [" "], ["a b", "a b "]):
+        whole = [known.ids(t) for t in part]
+        assert list(known.encoded(pa.array(part, pa.large_string()))) == whole
+        assert known.lengths(pa.array(part, pa.large_string())).tolist() == [len(x) // 2 for x in whole]
 
 
 def test_toxicity_on_held_out_rows(spark, odd):
@@ -292,7 +295,10 @@ def test_bpe_equals_the_library(spark, odd, docs):
     texts = ["", " ", "x" * 5000, "İstanbul ΣΑΣ", "a\x1cb\x85c", "<|startoftext|>A<|endoftext|>", "it's 123!!??", "日本語 😀", "ing" * 900 + "ation" * 700]
     texts += ["".join(rng.choice("aeinorst") for _ in range(4000)) for _ in range(4)] + [r["text"] for r in docs.limit(60).collect()]
     for t in texts:
-        assert b.encode(t) == lib.encode(t, add_special_tokens=False).ids
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert b.encode(t).tolist() == ids and "".join(b.decode_tokens(np.array(ids, "<u4"))) == lib.decode(ids, skip_special_tokens=False)
+    for t, ids in zip(texts, b.encode_many(pa.array(texts, pa.large_string()))):
+        assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
     for part in (odd, docs):
         got = {r["doc_id"]: r for r in bpe.encode_documents(part).collect()}
         for r in part.collect():
@@ -378,23 +384,61 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert warc.archived(df.limit(0)).count() == 0
 
 
-def test_token_output(spark, docs, odd, tmp_path):
+def plain_permutation(number, size, key):
+    """One number through the keyed rounds, again until it is in range."""
+    keys = [int.from_bytes(hashlib.sha256(key.encode()).digest()[8 * i : 8 * i + 8], "little") for i in range(4)]
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = number >> half, number % (1 << half)
+        for k in keys:
+            f = (right + k) * 0x9E3779B97F4A7C15 % (1 << 64)
+            f = (f ^ (f >> 32)) * 0xD6E8FEB86659FD93 % (1 << 64)
+            left, right = right, left ^ ((f ^ (f >> 29)) % (1 << half))
+        number = (left << half) | right
+        if number < size:
+            return number
+
+
+def plain_records(known, parts, length, key):
+    """slot -> doc_id, ids, of texts in the tasks' order."""
+    chunks = []
+    for rows in parts:
+        flat = [(i, t) for i, text in rows for t in [*known.encoding.encode_ordinary(text or ""), known.end]]
+        chunks += [flat[k : k + length] for k in range(0, len(flat), length)]
+    return {plain_permutation(n, len(chunks), key): (c[0][0], [t for _, t in c]) for n, c in enumerate(chunks)}
+
+
+def test_token_output(spark, docs, odd, tmp_path, monkeypatch):
     for n in (1, 2, 3, 100, 1025):
         assert sorted(token_output.permuted(np.arange(n), n, "k").tolist()) == list(range(n))
     known = token_counts.load("byte_bpe_50k.tiktoken")
-    part = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    part = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"))
+    tasks = part.rdd.mapPartitionsWithIndex(lambda k, it: [(k, [(-1 if r[0] is None else r[0], r[1]) for r in it])]).collect()
+    want = plain_records(known, [rows for _, rows in sorted(tasks)], 64, "some key")
+    monkeypatch.setattr(token_output, "WRITERS", 3)
     path = "file://" + str(tmp_path / "out")
-    info = token_output.write(part, path, length=64, shard=16).collect()
-    size = sum(r["n"] for r in info)
+    info = token_output.write(part, path, length=64, shard=16, key="some key").collect()
     rows = sorted(token_output.read(spark, path, length=64, ids=True).collect(), key=lambda r: r["slot"])
-    assert [r["slot"] for r in rows] == list(range(size))
-    want = Counter()
-    for r in part.collect():
-        want.update([*known.encoding.encode_ordinary(r["text"] or ""), known.end])
-    assert Counter(i for r in rows for i in r["ids"]) == want
-    rest = list(token_output.read_from(path, size - 20, length=64, shard=16))
-    assert [s for s, _ in rest] == list(range(size - 20, size)) and rest[0][1].tolist() == rows[size - 20]["ids"]
+    assert {r["slot"]: (r["doc_id"], r["ids"]) for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        assert r["crc32"] == zlib.crc32(np.array(r["ids"], "<u2").tobytes()) and r["n_tokens"] == len(r["ids"])
+    assert sorted((r["shard"], r["first_slot"], r["n"]) for r in info) == [(k, 16 * k, min(16, len(want) - 16 * k)) for k in range(-(-len(want) // 16))]
+    rest = list(token_output.read_from(path, len(want) - 20, length=64, shard=16))
+    assert [(s, x.tolist()) for s, x in rest] == [(s, want[s][1]) for s in range(len(want) - 20, len(want))]
     assert token_output.materialised(part.limit(0)).count() == 0
+    rows = token_output.rows_of(part, "doc_id", "text").coalesce(1)
+    with pytest.raises(Exception, match="split otherwise"):
+        token_output.sequences(rows, {0: 0}, len(want) + 9, "byte_bpe_50k.tiktoken", 64, "k").count()
+
+
+def test_registered_token_output_equals_a_plain_version(spark):
+    known = token_counts.load("byte_bpe_50k.tiktoken")
+    tasks = token_output.rows_of(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id", "text").rdd.mapPartitionsWithIndex(lambda k, it: [(k, [tuple(r) for r in it])]).collect()
+    want = plain_records(known, [rows for _, rows in sorted(tasks)], token_output.SEQUENCE, "order")
+    got = text_queries.op10_token_output(spark, DATA).collect()
+    assert {(r["slot"], r["doc_id"], r["n_tokens"], r["crc32"], r["shard"]) for r in got} == {
+        (s, d, len(x), zlib.crc32(np.array(x, "<u2").tobytes()), s // token_output.SHARD) for s, (d, x) in want.items()
+    }
 
 
 def test_pipeline_keeps_columns_and_agrees(spark):

@@ -2,11 +2,14 @@
 
 A merge list decides whether a boundary between two symbols survives by looking a bounded number of symbols to the right of it
 (``sufficient_lookahead``). The transducer therefore keeps a window of a few times that size: whatever ends at least that many
-symbols before the window's end is final and is emitted, whatever the rest of the text says. Memory doesn't depend on the text's
-or a word's length. Decoding turns token ids to bytes, and bytes to text through an incremental UTF-8 state machine.
-
-Null texts count as empty; empty texts give no ids and an empty text. Repeated rows give repeated results; further columns of the
-input are ignored. A byte sequence that isn't UTF-8 decodes to U+FFFD.
+symbols before the window's end is final and is emitted, whatever the rest of the text says; a word's end makes the rest final. Its
+memory doesn't depend on a word's length. As a word's tokens depend on nothing else, each distinct word of some texts runs through it
+once, and a bounded number of words is remembered between them. Ids are decoded by a byte-to-text state machine, stretch by stretch:
+a stretch may end within a character.
+
+Null texts count as empty; empty texts give no ids and an empty text. Very long texts and words are read whole; what a text takes
+besides itself are its ids. Repeated rows give repeated results; further columns of the input are ignored. An empty table gives an
+empty result. A byte sequence that isn't UTF-8 decodes to U+FFFD.
 """
 
 from __future__ import annotations
@@ -21,20 +24,26 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from tidegate.llm.common import text_batches, vocabulary
+from tidegate.llm.common import distinct_pieces, joined_batches, spread, text_batches, texts_of, vocabulary
 
 NEVER = 1 << 60
-#: Words up to this length are remembered and merged in batches.
-SHORT = 40
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-#: Words that a Python worker remembers; all are forgotten when there are more.
-REMEMBERED = 400_000
+#: Spaces that the pattern or str.split knows besides the six ASCII ones, and those that only one of them knows.
+OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Pretokens that a Python worker remembers, and the longest of them; all are forgotten when there are more.
+REMEMBERED, LONGEST = 250_000, 64
+#: Bytes of text whose distinct words are looked up together; ids that are decoded at a time.
+TOGETHER, STRETCH = 4 << 20, 1 << 16
+#: Words whose windows are merged side by side.
+SIDE = 1 << 12
 
 
 def byte_symbols() -> list[str]:
@@ -70,7 +79,6 @@ class Bpe:
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.decimal = {i: str(i).encode() for i in self.tokens}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         # Beyond Latin letters, the library's own tables say what is a letter, a composed or a lower-case character.
@@ -88,7 +96,10 @@ class Bpe:
         self.lookahead = sufficient_lookahead(rules, lambda t: len(t.removesuffix(self.suffix)))
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.ids)
         self.window = self.lookahead + 4 * self.longest
-        self.words: dict[str, tuple[bytes, str, int]] = {}
+        self.known: dict[str, bytes] = {}
+        everything = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        self.decimals = pa.array([f"{i} ".encode() for i in range(len(everything))], pa.large_binary())
+        self.names = pa.array([f"{t} ".encode() for t in everything], pa.large_binary())
 
     def merged(self, ids: list[int]) -> list[int]:
         """The merge list applied to a few symbols: the rule of lowest rank first, leftmost first."""
@@ -115,7 +126,6 @@ class Bpe:
         """Token ids of one word's symbols, each as soon as no later symbol can change it."""
         window: list[int] = []
         for s in symbols:
-            window.append(s)
             if len(window) == self.window:
                 used, stable = 0, self.window - self.lookahead
                 for t in self.merged(window[:]):
@@ -125,6 +135,7 @@ class Bpe:
                     yield t
                     used += n
                 del window[:used]
+            window.append(s)
         yield from self.merged(window)
 
     def pretokens(self, word: str) -> list[str]:
@@ -143,12 +154,8 @@ class Bpe:
         out[-1] = self.last[raw[-1]]
         return out
 
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of a text without spaces."""
-        return [i for p in self.pretokens(word) for i in self.transduce(self.symbols(p))]
-
     def flush_many(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """What ``merged`` gives for many short windows at once: ids in rows padded with -1, and how many of them count."""
+        """What ``transduce`` gives for many words that end within their first window: ids in rows padded with -1, and how many count."""
         raw = [p.encode() for p in pretokens]
         n = np.fromiter(map(len, raw), np.int64, len(raw))
         width, ends, flat = int(n.max()), n.cumsum(), np.frombuffer(b"".join(raw), np.uint8)
@@ -184,40 +191,33 @@ class Bpe:
         at = np.searchsorted(self.pair_keys, key)
         return np.where((a >= 0) & (b >= 0) & (self.pair_keys[at] == key), self.pair_values[at], NEVER)
 
-    def learn(self, unseen: set[str], split: list[list[list[str] | int]]) -> None:
-        """Remembers the pieces of words not seen before; such words fit the window whole, so that all of it is final."""
-        if len(self.words) + len(unseen) > REMEMBERED:
-            self.words.clear()
-            unseen = {w for parts in split for part in parts if not isinstance(part, int) for w in part}
-        words = [w for w in unseen if len(w) <= SHORT]
-        parts = [self.pretokens(w) for w in words]
-        unique = list({p for x in parts for p in x})
-        if not unique:
-            return
-        ids, n = self.flush_many(unique)
-        names, decimal, pieces = self.tokens, self.decimal, {}
-        for p, row, k in zip(unique, ids.tolist(), n.tolist()):
-            row = row[:k]
-            pieces[p] = (b" ".join([decimal[i] for i in row]), " ".join([names[i] for i in row]), k)
-        known = self.words
-        for w, x in zip(words, parts):
-            if len(x) == 1:
-                known[w] = pieces[x[0]]
-            elif len(x) == 2:
-                a, b = pieces[x[0]], pieces[x[1]]
-                known[w] = (a[0] + b" " + b[0], a[1] + " " + b[1], a[2] + b[2])
-            elif x:
-                got = [pieces[p] for p in x]
-                known[w] = (b" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got]))
-
-    def word(self, word: str) -> tuple[bytes, str, int]:
-        """Decimal ids and token texts, each joined by spaces, and their number."""
-        got = self.words.get(word)
-        if got is None:
-            ids = self.word_ids(word)
-            got = (b" ".join([self.decimal[i] for i in ids]), " ".join([self.tokens[i] for i in ids]), len(ids))
+    def learn(self, pretokens: set[str]) -> dict[str, bytes]:
+        """Ids of pretokens, as little-endian 32-bit numbers: short ones side by side, longer ones symbol by symbol; short ones are remembered."""
+        if len(self.known) + len(pretokens) > REMEMBERED:
+            self.known.clear()
+        short = sorted((p for p in pretokens if len(p) <= LONGEST), key=len)  # words of like length make narrow tables
+        got = {}
+        for i in range(0, len(short), SIDE):
+            ids, n = self.flush_many(short[i : i + SIDE])
+            data, ends = ids[np.arange(ids.shape[1]) < n[:, None]].astype("<u4").tobytes(), (4 * n.cumsum()).tolist()
+            got |= {p: data[x:y] for p, x, y in zip(short[i : i + SIDE], [0, *ends], ends)}
+        if len(got) <= REMEMBERED:
+            self.known |= got
+        for p in pretokens:
+            if len(p) > LONGEST:
+                got[p] = np.array(list(self.transduce(self.symbols(p))), "<u4").tobytes()
         return got
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of texts without spaces."""
+        parts = [self.pretokens(w) if w else [] for w in words]
+        known = self.known
+        unseen = {p for x in parts for p in x if p not in known}
+        now = {p: known[p] for x in parts for p in x if p in known} if len(known) + len(unseen) > REMEMBERED else known
+        new = self.learn(unseen)
+        get = lambda p: new[p] if p in new else now[p]
+        return [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in parts]
+
     def normal(self, text: str) -> str:
         """Composed, in lower case character by character (no final sigma)."""
         if text.isascii():
@@ -239,29 +239,44 @@ class Bpe:
             out.append([w for w in regex.split(r"[^\S\x1c-\x1f]+", part) if w] if odd else part.split())
         return out
 
-    def pieces_of_many(self, texts: list[str]) -> Iterator[list[tuple[bytes, str, int]]]:
-        """Of each text, the pieces of its space-separated words and special tokens; words that a batch brings are learnt together."""
-        known, split = self.words, [self.parts(t) for t in texts]
-        self.learn({w for parts in split for part in parts if not isinstance(part, int) for w in part if w not in known}, split)
-        get, word = known.get, self.word
-        for parts in split:
-            out: list[tuple[bytes, str, int]] = []
-            for part in parts:
-                if isinstance(part, int):
-                    out.append((self.decimal[part], self.tokens[part], 1))
-                else:
-                    out += [get(w) or word(w) for w in part]
-            yield out
-
-    def pieces(self, text: str) -> list[tuple[bytes, str, int]]:
-        return next(self.pieces_of_many([text]))
-
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _, _ in self.pieces(text or "") for i in ids.split()]
-
-    def decode_tokens(self, ids: Iterable[int]) -> str:
-        """Token texts joined by one space, as the library gives for a file without a decoder."""
-        return " ".join(self.tokens[i] for i in ids)
+    def plain(self, text: str) -> bool:
+        """Has no special token and no spaces but the six ASCII ones."""
+        if "<|" in text and self.special.search(text):
+            return False
+        if text.isascii():
+            return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return OTHER_SPACES.search(text) is None
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of one text, word after word."""
+        out = []
+        for part in self.parts(text or ""):
+            out += [np.array([part], "<u4").tobytes()] if isinstance(part, int) else self.words(part)
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def encode_many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; each distinct word of them is looked up once."""
+        whole = texts.to_pylist()
+        plain = [self.plain(t) for t in whole]
+        split = pc.ascii_split_whitespace(pa.array([self.normal(t) if ok else "" for t, ok in zip(whole, plain)], pa.large_string()))
+        words, numbers, offsets = distinct_pieces(split)
+        data, cut = spread(self.words(words), numbers, offsets)
+        for t, ok, i, j in zip(whole, plain, cut.tolist(), cut[1:].tolist()):
+            yield np.frombuffer(data[i:j], "<u4") if ok else self.encode(t)
+
+    def stretches(self, table: pa.Array, ids: np.ndarray) -> Iterator[bytes]:
+        """Bytes of the ids' entries in a table, each with a space after it but for the last one, some ids at a time."""
+        for k in range(0, ids.size, STRETCH):
+            part = ids[k : k + STRETCH]
+            data, ends = spread(table, part, np.array([0, part.size]))
+            yield bytes(data[: int(ends[1]) - (k + part.size == ids.size)])
+
+    def decode_tokens(self, ids: np.ndarray) -> Iterator[str]:
+        """Token texts joined by one space, as the library gives for a file without a decoder, through the state machine."""
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        for data in self.stretches(self.names, ids):
+            yield machine.decode(data)
+        yield machine.decode(b"", True)
 
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
         """Readable text, piece by piece: bytes go through an incremental UTF-8 state machine, word ends become spaces."""
@@ -283,27 +298,33 @@ def load(name: str) -> Bpe:
     return Bpe(vocabulary(name))
 
 
+def digest(parts: Iterable[bytes]) -> str:
+    out = hashlib.sha256()
+    for x in parts:
+        out.update(x)
+    return out.hexdigest()
+
+
 def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, its number of tokens, the SHA-256 of its ids in decimal joined by spaces, and of the decoded text.
+    """Each row's id, its number of tokens, the SHA-256 of its ids in decimal joined by spaces, and of the text decoded from these ids.
 
     Rows stay where they are read: there is no shuffle.
     """
     text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for b in batches:
+        for b in joined_batches(batches, TOGETHER):
             rows = []
-            for got in bpe.pieces_of_many([t or "" for t in b["t"]]):
-                ids, back = hashlib.sha256(b" ".join([x[0] for x in got])), hashlib.sha256(" ".join([x[1] for x in got]).encode())
-                rows.append((sum([x[2] for x in got]), ids.hexdigest(), back.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, id_col, b["k"].to_numpy())  # as text: numbers beside nulls would become floats
-            yield out
+            for ids in bpe.encode_many(texts_of(b["t"])):
+                rows.append((ids.size, digest(bpe.stretches(bpe.decimals, ids)), digest(x.encode() for x in bpe.decode_tokens(ids))))
+            n, x, y = zip(*rows) if rows else ((), (), ())
+            key = b["k"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.known.clear()
 
-    schema = f"`{id_col}` string, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
-    return rows.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType))
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def encode_ids(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +335,7 @@ def encode_ids(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: st
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(tokenizer)
         for t in texts:
-            yield t.map(bpe.encode)
+            yield t.map(lambda x: bpe.encode(x).astype(np.int32))
 
     return docs.select(id_col, ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 

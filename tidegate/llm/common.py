@@ -149,3 +149,20 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
         h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     return h, np.searchsorted(starts, offsets)
+
+
+def distinct_pieces(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of lists of texts: the distinct texts, the number of each in order, and where each list's begin and end."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), offsets - offsets[0]
+
+
+def spread(pieces: list[bytes] | pa.Array, numbers: np.ndarray, offsets: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The pieces with these numbers, one after the other, and where each list's bytes begin and end."""
+    if not numbers.size:
+        return memoryview(b""), np.zeros(offsets.size, np.int64)
+    whole = pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.large_binary())
+    taken = whole.take(pa.array(numbers))
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+    return memoryview(taken.buffers()[2]), ends[offsets]

@@ -3,8 +3,8 @@
 Each whole text is encoded once for its length; the histogram has a row for each length that occurs. Suffix sums over it are taken
 in two levels, within blocks of lengths and over the blocks, so that no single task orders all lengths.
 
-Null and empty texts have length 0. Repeated rows count as often as they occur. Other columns are ignored. An empty table gives an
-empty histogram, totals of 0 and null quantiles.
+Null and empty texts have length 0; very long texts are encoded whole. Repeated rows count as often as they occur. Other columns are
+ignored. An empty table gives an empty histogram, totals of 0 and null quantiles.
 """
 
 from __future__ import annotations
@@ -16,23 +16,25 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import text_batches, vocabulary
+from tidegate.llm.common import joined_batches, spread, text_batches, texts_of, vocabulary, written
 
-#: Segments that a Python worker remembers.
-REMEMBERED = 400_000
+#: Bytes of text whose distinct segments are encoded together.
+TOGETHER = 12 << 20
 #: Lengths of a block of the histogram.
 BLOCK = 1_024
 
 
-class Segments(dict):
-    """Encoded ids, as little-endian 16-bit numbers, of a text's stretches that follow a space, with that space.
+class Segments:
+    """Encodes a text's stretches that follow a space, with that space; ids are little-endian 16-bit numbers.
 
     The pattern of these vocabularies never looks past a space that stands before anything but white space, so that each stretch
-    is encoded alone. Texts where white space follows a space are encoded whole.
+    is encoded alone, and the distinct ones of many texts at once. Texts where white space follows a space are encoded whole.
     """
 
     MIXED = re.compile(r" \s")
@@ -45,6 +47,8 @@ class Segments(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = len(ranks)
+        self.begins = np.zeros(len(ranks), bool)  # of a segment: only its first token has a space, in front
+        self.begins[[i for token, i in ranks.items() if token[:1] == b" "]] = True
 
     def ids(self, text: str) -> bytes:
         got = array("H", self.encoding.encode_ordinary(text))
@@ -52,21 +56,47 @@ class Segments(dict):
             got.byteswap()
         return got.tobytes()
 
-    def __missing__(self, segment: str) -> bytes:
-        got = self.ids(" " + segment)
-        if len(segment) <= 48:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[segment] = got
-        return got
-
-    def pieces(self, text: str) -> list[bytes]:
-        if not text:
-            return []
-        if self.MIXED.search(text):
-            return [self.ids(text)]
-        first, *rest = text.split(" ")
-        return [self.ids(first), *map(self.__getitem__, rest)]
+    def of(self, segments: pa.Array) -> pa.Array:
+        """Ids of each segment with a space before it. None but the last may be empty or begin with white space."""
+        joined = " " + " ".join(segments.to_numpy(zero_copy_only=False))
+        ids = self.encoding.encode_to_numpy(joined).astype("<u2")
+        at = np.flatnonzero(self.begins[ids])
+        if at.size != len(segments):
+            raise RuntimeError("a token of this vocabulary has a space within")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), at.size, [None, pa.py_buffer(np.append(at, ids.size) * 2), pa.py_buffer(ids)])
+
+    def encode_many(self, texts: pa.Array) -> tuple[list[bytes], memoryview, np.ndarray]:
+        """Of texts: the ids that stand before the rest or, of whole texts, alone; the bytes of the rest, and where each text's begin and end."""
+        whole = texts.to_pylist()
+        mixed = [self.MIXED.search(t) is not None for t in whole]
+        heads = [(t, "", "") if x else t.partition(" ") for t, x in zip(whole, mixed)]
+        first = [self.ids(h[0]) for h in heads]
+        first = [x + self.ids(" ") if h[1] and not h[2] else x for x, h in zip(first, heads)]
+        rest = pc.split_pattern(pa.array([h[2] or None for h in heads], pa.large_string()), " ")
+        ends = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(rest), 0).to_numpy()])
+        coded = rest.flatten().dictionary_encode()
+        if not len(coded):
+            return first, memoryview(b""), np.zeros(len(whole) + 1, np.int64)
+        words = coded.dictionary
+        last = pc.index(words, pa.scalar("", words.type)).as_py()  # of texts that end in a space
+        order = np.arange(len(words))
+        if last >= 0:
+            order = np.append(np.delete(order, last), last)
+        place = np.empty_like(order)
+        place[order] = np.arange(order.size)
+        data, cut = spread(self.of(words.take(pa.array(order))), place[coded.indices.to_numpy()], ends)
+        return first, data, cut
+
+    def encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text."""
+        first, data, cut = self.encode_many(texts)
+        for x, i, j in zip(first, cut.tolist(), cut[1:].tolist()):
+            yield x + data[i:j]
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Ids of each text, counted."""
+        first, _, cut = self.encode_many(texts)
+        return (np.fromiter(map(len, first), np.int64, len(first)) + np.diff(cut)) // 2
 
 
 @lru_cache(maxsize=2)
@@ -75,22 +105,22 @@ def load(name: str) -> Segments:
 
 
 def lengths(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", text_col: str = "text") -> DataFrame:
-    """Adds n_tokens to all rows."""
+    """n_tokens of all rows."""
     text_batches(docs.sparkSession)
 
-    @F.pandas_udf("long")
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = load(tokenizer)
-        for t in texts:
-            yield pd.Series([sum(map(len, known.pieces(x or ""))) // 2 for x in t], dtype="int64")
+        for b in joined_batches(batches, TOGETHER):
+            yield pa.RecordBatch.from_arrays([pa.array(known.lengths(texts_of(b["text"])))], ["n_tokens"])
 
-    return docs.withColumn("n_tokens", count(F.col(text_col)))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "n_tokens long")
 
 
 def histogram(counted: DataFrame) -> DataFrame:
     """n_tokens, n_docs with the sums from each length up and down, and truncated_tokens: the total if that length were the limit."""
     counts = counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    counts = written(counts, "lengths")  # a row for each length; it is read twice
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     over = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()

@@ -1,14 +1,17 @@
 """Token ids in training order: a keyed permutation gives every sequence its slot, shards of fixed stride hold the slots in order.
 
 Texts are encoded, an end token after each, and the ids of a task's texts run through sequences of fixed length; only a task's last
-one is padded. Encoding runs twice: the first pass counts each task's sequences, so that the second knows the number of its first
-one, and tells if the two disagree. A Feistel network with a key permutes the numbers; cycle-walking keeps it within their range.
-Slots are dealt to shards by range; each shard is a file of records of equal size, in order of slots, so that a reader that stopped
-goes on at any record by its place alone. A file appears under its name when it is whole.
+one is padded. The number of all sequences must be known before the first gets its slot. Encoding runs twice for that, as keeping all
+ids from a first run beside the shuffle and the shards would take more disk than encoding takes time: the first pass counts each
+task's sequences, so that the second knows the number of its first one, and raises if it makes more or fewer. A Feistel network
+with a key permutes the numbers; cycle-walking keeps it within their range. Slots are dealt by range to a bounded number of tasks,
+each of which writes its consecutive shards: files of records of equal size, in order of slots, so that a reader that stopped goes on
+at any record by its place alone. A file appears under its name when it is whole.
 
 A record is its slot, first document, the ids that count (16 bytes, little-endian) and the ids. Null and empty texts give their
-end token. Repeated rows are written as often as they occur; a null document id is written as -1. An empty table writes no shard.
-The order depends on how Spark splits the input, which for a table of files is the same at every run with the same settings.
+end token; very long texts run through as many sequences as they need. Repeated rows are written as often as they occur; a null
+document id is written as -1. Further columns are ignored. An empty table writes no shard. The order depends on how Spark splits the
+input, which for a table of files is the same at every run with the same settings.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import fresh_path, text_batches, written
-from tidegate.llm.token_counts import load
+from tidegate.llm.common import fresh_path, joined_batches, text_batches, texts_of, written
+from tidegate.llm.token_counts import TOGETHER, load
 
 SEQUENCE = 512
 #: Sequences of a shard.
 SHARD = 4_096
+#: Tasks that write shards, at most; each writes a run of them.
+WRITERS = 10_000
 #: Slot, first document, ids that count.
 HEAD = "<qqi"
 HEAD_BYTES = struct.calcsize(HEAD)
@@ -62,7 +68,7 @@ def permuted(numbers: np.ndarray, size: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -70,20 +76,20 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def counted(rows: DataFrame, tokenizer: str, length: int) -> list[tuple[int, int]]:
     """(task, its sequences): two numbers for each task come to the driver."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = load(tokenizer), 0
-        for b in batches:
-            n += sum(sum(map(len, known.pieces(t))) + 2 for t in b["text"])
-        yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "n": [-(-n // (2 * length))]})
+        for b in joined_batches(batches, TOGETHER):
+            n += int(known.lengths(texts_of(b["text"])).sum()) + b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-n // length)], pa.int64())], ["task", "n"])
 
-    return sorted(map(tuple, rows.mapInPandas(run, "task int, n long").collect()))
+    return sorted(map(tuple, rows.mapInArrow(run, "task int, n long").collect()))
 
 
 def sequences(rows: DataFrame, first: dict[int, int], size: int, tokenizer: str, length: int, key: str) -> DataFrame:
     """slot, record of each sequence."""
     shared = rows.sparkSession.sparkContext.broadcast(first)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = load(tokenizer)
         end = struct.pack("<H", known.end)
         task = TaskContext.get().partitionId()
@@ -91,21 +97,20 @@ def sequences(rows: DataFrame, first: dict[int, int], size: int, tokenizer: str,
         stop = shared.value.get(task + 1, size)
         rest, owner = b"", -1
 
-        def packed(chunks: list[tuple[int, int, bytes]]) -> pd.DataFrame:
+        def packed(chunks: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
             nonlocal number
+            if number + len(chunks) > stop:
+                raise RuntimeError("the input was split otherwise than when its sequences were counted")
             slots = permuted(np.arange(number, number + len(chunks)), size, key)
             number += len(chunks)
-            if number > stop:
-                raise RuntimeError("the input was split otherwise than when its sequences were counted")
-            return pd.DataFrame({"slot": slots, "record": [struct.pack(HEAD, s, d, n) + x for s, (d, n, x) in zip(slots.tolist(), chunks)]})
+            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([struct.pack(HEAD, s, d, n) + x for s, (d, n, x) in zip(slots.tolist(), chunks)], pa.binary())], ["slot", "record"])
 
-        for b in batches:
+        for b in joined_batches(batches, TOGETHER):
             out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                got = b"".join(known.pieces(text)) + end
+            for doc, got in zip(b["doc_id"].to_pylist(), known.encoded(texts_of(b["text"]))):
                 if not rest:
                     owner = doc
-                held = rest + got
+                held = rest + got + end
                 cut = len(held) - len(held) % width
                 for i in range(0, cut, width):
                     out.append((owner if i == 0 else doc, length, held[i : i + width]))
@@ -116,8 +121,10 @@ def sequences(rows: DataFrame, first: dict[int, int], size: int, tokenizer: str,
                 yield packed(out)
         if rest:
             yield packed([(owner, len(rest) // 2, rest.ljust(width, b"\0"))])
+        if number != stop:
+            raise RuntimeError("the input was split otherwise than when its sequences were counted")
 
-    return rows.mapInPandas(run, "slot long, record binary")
+    return rows.mapInArrow(run, "slot long, record binary")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.tiktoken", key: str = "order", length: int = SEQUENCE, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +133,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.tiktoken",
 
     system, folder = fs.FileSystem.from_uri(path)
     system.create_dir(folder, recursive=True)  # there even if no shard is
-    rows = texts_of(docs, id_col, text_col)
+    rows = rows_of(docs, id_col, text_col)
     counts = counted(rows, tokenizer, length)
     first, size = {}, 0
     for task, n in counts:
@@ -135,10 +142,11 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.tiktoken",
     for task in range(max(first, default=-1), -1, -1):
         first.setdefault(task, first.get(task + 1, size))
     shards = -(-size // shard) or 1
-    dealt = sequences(rows, first, size, tokenizer, length, key).withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("slot")
+    run = -(-shards // WRITERS)  # shards of a task
+    dealt = sequences(rows, first, size, tokenizer, length, key)
+    dealt = dealt.repartitionById(-(-shards // run), F.floor(F.col("slot") / (shard * run)).cast("int")).sortWithinPartitions("slot")
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, folder = fs.FileSystem.from_uri(path)
@@ -151,22 +159,25 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.tiktoken",
             told.append((now, now * shard, n, digest.hexdigest()))
 
         for b in batches:
-            for number, part in b.groupby("shard", sort=True):
-                if number != now:
+            numbers = b.column("slot").to_numpy() // shard
+            cut = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else [0]
+            for i, j in zip(cut, cut[1:]):
+                if numbers[i] != now:
                     if out is not None:
                         done()
-                    now, n, digest = int(number), 0, hashlib.sha256()
+                    now, n, digest = int(numbers[i]), 0, hashlib.sha256()
                     draft = f"{folder}/draft-{now:08d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(draft)
-                data = b"".join(part["record"])
+                data = b"".join(b.column("record").slice(i, j - i).to_pylist())
                 out.write(data)
                 digest.update(data)
-                n += len(part)
+                n += j - i
         if out is not None:
             done()
-        yield pd.DataFrame(told, columns=["shard", "first_slot", "n", "sha256"])
+        columns = zip(*told) if told else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["shard", "first_slot", "n", "sha256"])
 
-    return dealt.mapInPandas(store, "shard int, first_slot long, n long, sha256 string")
+    return dealt.mapInArrow(store, "shard int, first_slot long, n long, sha256 string")
 
 
 def read(spark: SparkSession, path: str, length: int = SEQUENCE, ids: bool = False) -> DataFrame:
