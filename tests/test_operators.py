@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
-from tidegate.operators import disclose, gate, identity, intervals, metrics, nearest, rules, runs, sampling
+from tidegate.operators import disclose, features, gate, identity, intervals, metrics, nearest, rules, runs, sampling
 from tidegate.sources import readers
 from tidegate.streaming import incremental
 
@@ -183,3 +183,68 @@ def test_bootstrap_modes_by_hand(spark):
             assert abs(got[rep] - sum(want) / len(want)) < 1e-9
     with pytest.raises(Exception, match="at least 2 sites"):
         metrics.bootstrap_means(rows.filter("site = 'a'"), "site", "v", 5, 3, "cluster").collect()
+
+
+def plain_pools(sizes, k):
+    """The smallest group joins the next smallest until all have k."""
+    groups = sorted((n, s, [s]) for s, n in sizes.items() if n > 0)
+    while len(groups) > 1 and groups[0][0] < k:
+        (n, _, a), (m, first, b), *rest = groups
+        groups = sorted([(n + m, first, b + a), *rest])
+    pools = {s: "+".join(sorted(g)) for _, _, g in groups for s in g}
+    return {s: pools.get(s, s) for s in sizes}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 4, "b": 9, "c": 9, "d": 50}, {"a": 4, "b": 3}, {"a": 12, "b": 10}, {"a": 0, "b": 5, "c": 11, "d": 2}, {"a": 5}, {c: i for i, c in enumerate("abcdefghij")}])
+def test_no_pool_is_small(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "site string, n long")
+    got = {r["site"]: r["pool"] for r in disclose.pooled_sites(rows, "site", 10).collect()}
+    assert got == plain_pools(sizes, 10)
+    total = {}
+    for s, p in got.items():
+        total[p] = total.get(p, 0) + sizes[s]
+    assert all(n >= 10 or n == 0 for n in total.values()) or sum(sizes.values()) < 10
+
+
+def followed(latest, a, max_hops):
+    """One record after another, no further than the last id before one that was passed."""
+    passed, at = {a}, latest[a]
+    for _ in range(max_hops):
+        onward = latest.get(at)
+        if onward is None or onward in passed:
+            return at
+        passed.add(at)
+        at = onward
+    return at
+
+
+def test_merges_equal_following_one_by_one(spark):
+    pairs = {1: 2, 2: 3, 3: 4, 4: 1, 10: 11, 11: 12, 12: 10, 13: 10, 14: 13, 20: 20, 21: 20, 30: 31, 40: 41, 41: 40, 42: 41}
+    pairs |= {k: k + 1 for k in range(100, 140)} | {200 + k: 200 + (k + 1) % 7 for k in range(7)} | {210: 203, 211: 210}
+    old = [(k, k + 5000, 0) for k in pairs] + [(k, k + 6000, None) for k in pairs]
+    rows = spark.createDataFrame([(k, v, 1) for k, v in pairs.items()] + old, "old long, new long, mod int")
+    for hops in (20, 3, 1):
+        got = {r["old"]: r["survivor"] for r in identity.resolved(rows, hops).collect()}
+        assert got == {k: followed(pairs, k, hops) for k in pairs}
+    assert identity.resolved(rows.limit(0)).count() == 0
+
+
+def test_only_acute_intervals_are_hops(spark):
+    rows = [(1, 1, hours(-90), hours(-40), False, 5), (1, 2, hours(-60), hours(-45), False, 1), (1, 3, hours(-30), hours(3), False, 1), (1, 4, hours(-99), hours(-31), True, 1)]
+    i = spark.createDataFrame(rows, "entity_id long, interval_id long, t_start timestamp_ntz, t_end timestamp_ntz, open boolean, class_rank int")
+    m = spark.createDataFrame([(7, 1, T0, hours(-30))], "point_id long, entity_id long, t timestamp_ntz, t_start timestamp_ntz")
+    assert intervals.chained_start(m, i, 24, "class_rank <= 2").first()["start"] == hours(-60)
+    assert intervals.chained_start(m, i, 24).first()["start"] == hours(-90)
+    assert intervals.chained_start(m, i, 24, "class_rank > 9").first()["start"] == hours(-30)
+
+
+def test_features_refuse_what_isnt_gated(spark):
+    e, ix = made(spark, BASE), index_of(spark)
+    f = [features.Feature("a", "latest", "lab", "a")]
+    shown = gate.as_of_presentation(e, ix, ["lab", "drug"], 6)
+    for frame in (e, shown, shown.withColumnRenamed("hours_before_t0_event", "hours_since_event")):
+        with pytest.raises(ValueError):
+            features.matrix(frame, ix, f)
+        with pytest.raises(ValueError):
+            gate.violations(frame)
+    assert features.matrix(gate.as_of(e, ix), ix, f).count() == 2

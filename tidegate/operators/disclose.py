@@ -63,11 +63,23 @@ def with_totals(cells: DataFrame, site: str, part: str, k: int = SMALL) -> DataF
 
 
 def pooled_sites(sizes: DataFrame, site: str, k: int) -> DataFrame:
-    """site, pool: small sites join the next ones by size until a pool has k rows; what is left over joins the largest pool."""
-    w = Window.orderBy("n", site).rowsBetween(Window.unboundedPreceding, 0)
-    small = sizes.filter(F.col("n") < k).withColumn("run", F.sum("n").over(w))
-    named = small.select(site, F.concat(F.lit("pool_"), F.floor((F.col("run") - F.col("n")) / k)).alias("pool"))
-    return sizes.join(named, site, "left").select(site, F.coalesce("pool", F.col(site).cast("string")).alias("pool"))
+    """site, pool: while a group has fewer than k rows, the smallest joins the next smallest; a pool is named by its sites, joined by +.
+
+    Of equal groups the one that began with the lowest site comes first. A site without rows is a group of its own. The fold runs over
+    one array with an entry for each site, so that the table of sites, not of rows, has to fit a row.
+    """
+    name = F.col(site).cast("string")
+    group = F.struct(F.col("n").cast("long").alias("n"), F.col(site).alias("first"), F.array(name).alias("sites"))
+    groups = sizes.filter("n > 0").agg(F.sort_array(F.collect_list(group)).alias("g"))
+
+    def merge(g: Column, _: Column) -> Column:
+        a, b = F.get(g, F.lit(0)), F.get(g, F.lit(1))
+        both = F.struct((a["n"] + b["n"]).alias("n"), b["first"].alias("first"), F.concat(b["sites"], a["sites"]).alias("sites"))
+        return F.when((F.size(g) > 1) & (a["n"] < k), F.sort_array(F.concat(F.array(both), F.slice(g, 3, F.size(g))))).otherwise(g)
+
+    groups = groups.select(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("g"))), F.col("g"), merge).alias("g"))
+    pools = groups.select(F.explode("g").alias("g")).select(F.array_join(F.sort_array("g.sites"), "+").alias("pool"), F.explode("g.sites").alias("_s"))
+    return sizes.join(pools, name.eqNullSafe(F.col("_s")), "left").select(site, F.coalesce("pool", name).alias("pool"))
 
 
 def pseudonyms(rows: DataFrame, site: str) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.operators.gate import checked
+
 
 @dataclass(frozen=True)
 class Feature:
@@ -57,8 +59,11 @@ def dose_share(window_h: float) -> Column:
 
 
 def matrix(gated: DataFrame, index: DataFrame, features: list[Feature], missing: bool = True) -> DataFrame:
-    """A row for each entity of the index: features in order, each unknown-able one with its __miss indicator."""
-    wide = gated.groupBy("entity_id").agg(*[aggregate(f).alias(f.name) for f in features])
+    """A row for each entity of the index: features in order, each unknown-able one with its __miss indicator.
+
+    Raises for frames that haven't passed the gate.
+    """
+    wide = checked(gated).groupBy("entity_id").agg(*[aggregate(f).alias(f.name) for f in features])
     out = index.select("entity_id").join(wide, "entity_id", "left")
     cols = ["entity_id"]
     for f in features:

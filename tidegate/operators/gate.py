@@ -36,9 +36,8 @@ def as_of(events: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def violations(gated: DataFrame) -> DataFrame:
-    """One row of counts that are all 0 in a gated frame; raises for a frame that isn't gated."""
-    if "t_end_raw" in gated.columns or not {"t0", "ongoing", "t_end"} <= set(gated.columns):
-        raise ValueError("these events haven't passed the gate")
+    """One row of counts that are all 0 in a gated frame; raises for a frame that can't be a gated one."""
+    checked(gated)
     bad = {
         "late": F.col("t_avail") > F.col("t0"),
         "unknown": F.col("t_avail").isNull() | F.col("t0").isNull(),
@@ -49,11 +48,24 @@ def violations(gated: DataFrame) -> DataFrame:
 
 
 def as_of_presentation(events: DataFrame, index: DataFrame, domains: list[str], after_h: float) -> DataFrame:
-    """The bounded exception: some domains up to a few hours after t0; hours stay relative to t0 itself."""
+    """The bounded exception: some domains up to a few hours after t0; hours stay relative to t0 itself.
+
+    The frame tells until when it reaches and has names of its own for the hours: it can't be taken for a gated one.
+    """
     late = index.select("entity_id", F.col("t0").alias("true_t0"), F.timestamp_add("SECOND", F.lit(int(after_h * 3600)), F.col("t0")).alias("t0"))
-    gated = as_of(events.filter(F.col("domain").isin(domains)), late).join(late.select("entity_id", "true_t0"), "entity_id")
-    hours = {f"hours_since_{k}": hours_between(t, "true_t0") for k, t in (("event", "t_event"), ("avail", "t_avail"))}
-    return gated.withColumns(hours).drop("t0").withColumnRenamed("true_t0", "t0")
+    shown = as_of(events.filter(F.col("domain").isin(domains)), late).join(late.select("entity_id", "true_t0"), "entity_id")
+    hours = {f"hours_before_t0_{k}": hours_between(t, "true_t0") for k, t in (("event", "t_event"), ("avail", "t_avail"))}
+    shown = shown.withColumns(hours).drop("hours_since_event", "hours_since_avail")
+    return shown.withColumnRenamed("t0", "shown_until").withColumnRenamed("true_t0", "t0")
+
+
+def checked(frame: DataFrame) -> DataFrame:
+    """The frame itself if it has passed the gate; raises for raw events and for presentation frames."""
+    if "t_end_raw" in frame.columns or not {"t0", "ongoing", "t_end", "hours_since_event"} <= set(frame.columns):
+        raise ValueError("these events haven't passed the gate")
+    if "shown_until" in frame.columns:
+        raise ValueError("a presentation frame reaches beyond t0")
+    return frame
 
 
 def encounter_start(index: DataFrame, intervals: DataFrame, fallback_days: int) -> DataFrame:

@@ -47,9 +47,12 @@ def covering(points: DataFrame, intervals: DataFrame, slack_h: float, long_h: fl
     return points.select("point_id").join(best.select("point_id", "interval_id", "t_start", "cover"), "point_id", "left")
 
 
-def chained_start(matches: DataFrame, intervals: DataFrame, gap_h: float) -> DataFrame:
-    """One hop back: the earliest start of a closed interval that overlaps the match or ends shortly before it, at most t."""
-    prior = intervals.filter("NOT open").select("entity_id", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"))
+def chained_start(matches: DataFrame, intervals: DataFrame, gap_h: float, acute: str = "true") -> DataFrame:
+    """One hop back: the earliest start of an acute interval with a known end that overlaps the match or ends shortly before it, at most t.
+
+    acute is a condition on an interval: its class or its length.
+    """
+    prior = intervals.filter("NOT open").filter(acute).select("entity_id", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"))
     hop = (
         matches.filter("t_start IS NOT NULL")
         .join(prior, "entity_id")

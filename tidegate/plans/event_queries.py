@@ -79,9 +79,16 @@ def violations(spark: SparkSession, d: str) -> DataFrame:
     return gate.violations(gated(spark, d))
 
 
+@query("ao02_spoilt", "WITH " + GATED + " SELECT count(*) FILTER (t_avail + to_hours(12) > t0) AS late, count(*) FILTER (key = 'k0') AS unknown, count(*) FILTER (ongoing) AS open_end, 0::bigint AS end_after, count(*) AS rows FROM (SELECT * REPLACE (CASE WHEN key <> 'k0' THEN t_avail END AS t_avail) FROM g)")
+def spoilt(spark: SparkSession, d: str) -> DataFrame:
+    """A frame into which late availabilities, unknown ones and open ends were smuggled."""
+    g = gated(spark, d).withColumn("t_avail", F.when(F.col("key") != "k0", F.timestamp_add("HOUR", F.lit(12), F.col("t_avail"))))
+    return gate.violations(g.withColumn("t_end", F.when(F.col("ongoing"), F.col("t0")).otherwise(F.col("t_end"))))
+
+
 @query("ao03_presentation", "WITH " + INDEX + " SELECT event_id, entity_id, t0, coalesce(t_end_raw > t0 + to_hours(6), false) AS ongoing, round(date_diff('microsecond', t_event, t0) / 3.6e9, 6) AS hours_since_event FROM ev JOIN (SELECT entity_id, t0 FROM ix) USING (entity_id) WHERE domain IN ('error', 'view') AND t_avail <= t0 + to_hours(6)")
 def presentation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(gate.as_of_presentation(events(spark, d), index(spark, d), ["error", "view"], 6).select("event_id", "entity_id", "t0", "ongoing", "hours_since_event"))
+    return rounded(gate.as_of_presentation(events(spark, d), index(spark, d), ["error", "view"], 6).select("event_id", "entity_id", "t0", "ongoing", F.col("hours_before_t0_event").alias("hours_since_event")))
 
 
 def last_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -154,12 +161,12 @@ def covering(spark: SparkSession, d: str) -> DataFrame:
     return intervals.covering(points(spark, d), compact(spark, d), 24)
 
 
-@query("jn04_chained_start", "WITH " + COVER + """, h AS (SELECT point_id, min(iv.t_start) AS e FROM mt JOIN iv USING (entity_id) WHERE mt.t_start IS NOT NULL AND NOT iv.open AND iv.t_start <= mt.t_start
+@query("jn04_chained_start", "WITH " + COVER + """, h AS (SELECT point_id, min(iv.t_start) AS e FROM mt JOIN iv USING (entity_id) WHERE mt.t_start IS NOT NULL AND NOT iv.open AND (iv.class_rank <= 2 OR iv.t_end > iv.t_start + to_days(90)) AND iv.t_start <= mt.t_start
   AND date_diff('microsecond', iv.t_end, mt.t_start) / 3.6e9 <= 48 GROUP BY 1) SELECT point_id, least(coalesce(e, t_start), t) AS start FROM mt LEFT JOIN h USING (point_id)""")
 def chained_start(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     m = intervals.covering(p, compact(spark, d), 24).join(p, "point_id")
-    return intervals.chained_start(m, compact(spark, d), 48)
+    return intervals.chained_start(m, compact(spark, d), 48, "class_rank <= 2 OR t_end > timestampadd(DAY, 90, t_start)")
 
 
 @query("jn05_chain_back", """WITH RECURSIVE o AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent, o_orderdate AS t FROM orders),

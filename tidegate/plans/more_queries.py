@@ -91,7 +91,7 @@ def study_window(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("e").alias("entity_id")).agg(large.alias("large_error"), F.count_distinct(F.when(F.col("domain") == "view", F.col("key"))).alias("view_keys"))
 
 
-@query("jn24_membership", "WITH " + MERGES + ", m AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0) SELECT c_custkey, c_custkey IN (SELECT k FROM m) OR coalesce(c_custkey IN (SELECT survivor FROM mg JOIN m ON m.k = mg.old), false) AS member FROM customer")
+@query("jn24_membership", "WITH " + MERGES + ", m AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') SELECT c_custkey, c_custkey IN (SELECT k FROM m) OR coalesce(c_custkey IN (SELECT survivor FROM mg JOIN m ON m.k = mg.old), false) AS member FROM customer")
 def membership(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")).distinct()
     old = m.join(identity.resolved(merges(spark, d)), F.col("k") == F.col("old")).select(F.col("survivor").alias("k"))

@@ -52,7 +52,7 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mt04_bootstrap", "WITH " + PREDICTIONS + """, x AS (SELECT site, entity, avg(y) AS v FROM pr WHERE y IS NOT NULL AND label = 'quality' GROUP BY 1, 2),
   n AS (SELECT site, v, row_number() OVER (PARTITION BY site ORDER BY entity) - 1 AS row, count(*) OVER (PARTITION BY site) AS n FROM x),
-  s AS (SELECT site, rep, ('0x' || substr(md5(concat_ws('|', '7', rep, site, row)), 1, 8))::bigint % n AS row FROM n, range(20) t(rep))
+  s AS (SELECT site, rep, ('0x' || substr(md5(concat_ws('|', '7', rep, site, row)), 1, 8))::bigint % n AS row FROM n, range(2000) t(rep))
   SELECT rep, round(avg(n.v), 6) AS mean FROM s JOIN n USING (site, row) GROUP BY 1""")
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     v = predictions(spark, d).filter("y IS NOT NULL AND label = 'quality'").select("site", "entity", F.col("y").cast("double").alias("v"))
@@ -61,7 +61,7 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mt06_interval", "WITH " + PREDICTIONS + """, x AS (SELECT site, entity, y - 0.8::double AS v FROM pr WHERE y IS NOT NULL AND label = 'quality'),
   n AS (SELECT site, v, row_number() OVER (PARTITION BY site ORDER BY entity) - 1 AS row, count(*) OVER (PARTITION BY site) AS n FROM x),
-  s AS (SELECT site, rep, ('0x' || substr(md5(concat_ws('|', '7', rep, site, row)), 1, 8))::bigint % n AS row FROM n, range(20) t(rep)), m AS (SELECT rep, avg(n.v) AS mean FROM s JOIN n USING (site, row) GROUP BY 1)
+  s AS (SELECT site, rep, ('0x' || substr(md5(concat_ws('|', '7', rep, site, row)), 1, 8))::bigint % n AS row FROM n, range(2000) t(rep)), m AS (SELECT rep, avg(n.v) AS mean FROM s JOIN n USING (site, row) GROUP BY 1)
   SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round((count(*) FILTER (mean >= 0) + 1) / (count(*) + 1), 6) AS p FROM m""")
 def interval(spark: SparkSession, d: str) -> DataFrame:
     v = predictions(spark, d).filter("y IS NOT NULL AND label = 'quality'").select("site", "entity", (F.col("y") - F.lit(0.8)).alias("v"))
@@ -180,7 +180,11 @@ def share_cells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(disclose.shares(c))
 
 
-@query("pv07_pooled_sites", "WITH s AS (SELECT c_nationkey AS site, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY n, site) AS run FROM s WHERE n < 60) SELECT s.site, coalesce('pool_' || ((r.run - r.n) // 60)::bigint, s.site::varchar) AS pool FROM s LEFT JOIN r USING (site)")
+@query("pv07_pooled_sites", """WITH RECURSIVE s AS (SELECT c_nationkey AS site, count(*) AS n FROM customer GROUP BY 1),
+  f AS (SELECT list_sort(list(struct_pack(n := n, first := site, sites := [site::varchar]))) AS g FROM s
+    UNION ALL SELECT list_sort(list_prepend(struct_pack(n := g[1].n + g[2].n, first := g[2].first, sites := list_concat(g[2].sites, g[1].sites)), g[3:])) FROM f WHERE len(g) > 1 AND g[1].n < 60),
+  e AS (SELECT unnest(g) AS p FROM f WHERE len(g) = 1 OR g[1].n >= 60)
+  SELECT s.site, array_to_string(list_sort(p.sites), '+') AS pool FROM s JOIN e ON list_contains(p.sites, s.site::varchar)""")
 def site_pools(spark: SparkSession, d: str) -> DataFrame:
     return disclose.pooled_sites(table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("site")).agg(F.count("*").alias("n")), "site", 60)
 

@@ -88,7 +88,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("point_id"), F.timestamp_add("HOUR", F.lit(12), F.col("o_orderdate")).alias("t"))
 
 
-POINTS = "pt AS (SELECT o_custkey AS entity_id, o_orderkey AS point_id, o_orderdate + to_hours(12) AS t FROM orders WHERE o_orderkey % 7 = 0)"
+POINTS = "pt AS (SELECT o_custkey AS entity_id, o_orderkey AS point_id, o_orderdate + to_hours(12) AS t FROM orders)"
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
