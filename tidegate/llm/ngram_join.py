@@ -2,9 +2,10 @@
 
 A text's set is its distinct shingles of five words (lower-cased A-Z); two texts link if their sets' intersection is at least 75
 hundredths of their union. The search follows DivideSkip. A set of n shingles needs T = ceil(0.75 n) common ones, so its T - c longest
-lists can be set aside: a partner occurs in at least c of the others (c is 1 to 8, by n), and only these are built and dealt by
+lists can be set aside: a partner occurs in at least c of the others (c is 1 to 128, by n), and only these are built and dealt by
 shingle. A bucket of shingles heap-merges each node's lists into partners with their occurrences; occurrences are summed over the
-buckets, pairs with c are retained, and the lists set aside are probed by binary search in the partner's sorted set.
+buckets, pairs with c are retained if parity signatures leave them enough in common, and the lists set aside are probed by binary
+search in the partner's sorted set.
 
 - One pass makes each text's set digest and counts its chunk's frequent shingles. Texts of equal sets form a class; one node stands
   for it. The frequent shingles (a table of bounded size) only fix the order that makes lists short: any order gives right results.
@@ -42,7 +43,7 @@ WORDS = 5
 #: Links need 100 * intersection >= 75 * union.
 SIMILARITY = 75
 #: Occurrences in short lists that make a candidate: one for so many shingles, at most COMMON.
-COMMON, COMMON_SHARE = 8, 24
+COMMON, COMMON_SHARE = 128, 24
 #: Lists of more nodes are long.
 SHORT_LIST = 16
 #: Shingles of a chunk, whose frequent ones are counted together; how often one must occur there, and how many are told.
@@ -55,8 +56,8 @@ FREQUENT = 500_000
 BROADCAST_IDS = 1_000_000
 #: Nodes of a hub's block, and of either side of a tile.
 BLOCK, TILE = 512, 2_048
-#: Bits of a set's parity signature, and pairs whose signatures are compared at a time.
-BITS, PAIRS = 2_048, 1 << 14
+#: Bits of a set's parity signature, those of the finer one of sets of at least so many shingles, and signatures compared at a time.
+BITS, FINE_BITS, FINE_FROM, PAIRS = 2_048, 16_384, 1_024, 1 << 14
 POSTING = np.dtype([("h", "<i8"), ("v", "<i8"), ("n", "<i4"), ("p", "<i4")])
 MARK = -1
 
@@ -245,18 +246,37 @@ def merge_lists(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([one, two.astype({"h": "Int64"})], ignore_index=True)
 
 
-def signature(s: np.ndarray) -> bytes:
+def signature(s: np.ndarray, bits: int) -> bytes:
     """Bits that say if an odd number of shingles falls on each: two signatures differ in no more bits than their sets in shingles."""
-    return np.packbits(np.bincount((s >> np.uint64(17)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes()
+    return np.packbits(np.bincount((s >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1).tobytes()
+
+
+def signature_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts with their node v: size, signature and, of large sets, the finer one."""
+    for b in batches:
+        sets = shingle_sets(texts_of(b.column("text")))
+        coarse = pa.array([signature(s, BITS) for s in sets], pa.binary())
+        fine = pa.array([signature(s, FINE_BITS) if s.size >= FINE_FROM else None for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("v"), pa.array([s.size for s in sets], pa.int64()), coarse, fine], ["v", "n", "bits", "fine"])
 
 
 def sets_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = shingle_sets(texts_of(b.column("text")))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("v"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.binary())],
-            ["v", "s", "bits"],
-        )
+        yield pa.RecordBatch.from_arrays([b.column("v"), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "s"])
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures don't rule out a link: the overlap is at most half of both sizes less what differs."""
+    for b in batches:
+        keep = []
+        for n, m, x, y, fx, fy in zip(*(b.column(k).to_pylist() for k in ("n", "m", "x", "y", "fx", "fy"))):
+            if fx is not None and fy is not None:
+                x, y = fx, fy
+            apart = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum(dtype=np.int64))
+            keep.append(100 * min(n, m) >= SIMILARITY * max(n, m) and (100 + SIMILARITY) * (n + m - apart) >= 2 * SIMILARITY * (n + m))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
 
 def linking(s: np.ndarray, t: np.ndarray) -> bool:
@@ -287,19 +307,36 @@ def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, keep: Scratch) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets link. A set moves once for each pair as b, and once for each BLOCK pairs as a."""
+def possible(pairs: DataFrame, signatures: DataFrame, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) that signatures don't rule out."""
+    x = signatures.select(F.col("v").alias("i"), "n", F.col("bits").alias("x"), F.col("fine").alias("fx"))
+    y = signatures.select(F.col("v").alias("j"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("fine").alias("fy"))
+    both = pairs.join(x, pairs["a"] == x["i"]).join(y, F.col("b") == y["j"])
+    return keep(both.select("a", "b", "n", "m", "x", "y", "fx", "fy").mapInArrow(bounded, "a long, b long").distinct(), "possible")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) of class ids whose sets link. Sets are made of these ids' texts alone; one moves once for each pair as b, and
+    once for each BLOCK pairs as a."""
     hubs = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     hubs = keep(hubs, "hubs")
-    rest = pairs.join(hubs, pairs["a"] == hubs["hub"]).select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
-    members = rest.join(sets, rest["b"] == sets["v"]).select("a", "block", "b", "s")
-    first = hubs.join(sets, hubs["hub"] == sets["v"]).select(F.col("hub").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "s")
-    rows = first.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    members = pairs.join(hubs, pairs["a"] == hubs["hub"]).select(F.col("b").alias("i"), "a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b")
+    heads = hubs.select(F.col("hub").alias("i"), F.col("hub").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
+    roles = keep(heads.unionByName(members), "roles")
+    sets = of_ids(texts, roles.select(F.col("i").alias("id")).distinct(), keep).mapInArrow(sets_pass, "v long, s binary")
+    rows = sets.hint("merge").join(roles, sets["v"] == roles["i"]).select("a", "block", "b", "s")
+    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     out = keep(rows.mapInArrow(probe, "a long, b long"), "linked")
-    keep.drop(hubs)
+    keep.drop(hubs, roles)
     return out
 
 
+def of_ids(texts: DataFrame, ids: DataFrame, keep: Scratch) -> DataFrame:
+    """v, text of the rows with these ids."""
+    ids = keep(ids, "ids")
+    return picked(texts, ids, texts["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("v"), "text")
+
+
 def components(links: DataFrame, keep: Scratch) -> DataFrame:
     """id, component (its smallest id) of all ids in links (a, b): label propagation and pointer jumping until nothing changes."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -319,7 +356,7 @@ def components(links: DataFrame, keep: Scratch) -> DataFrame:
         labels = new
 
 
-def picked(docs: DataFrame, ids: DataFrame, on, kind: str, keep: Scratch) -> DataFrame:
+def picked(docs: DataFrame, ids: DataFrame, on, kind: str) -> DataFrame:
     """A semi or anti join with a written table of ids, broadcast if they are few."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, kind)
 
@@ -358,14 +395,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = keep(hub_pairs(many, keep), "hubs")
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("v")).distinct()
-    ids = keep(ids, "ids")
-    chosen = picked(texts, ids, texts["doc_id"] == ids["id"], "left_semi", keep).select(F.col("doc_id").alias("v"), "text")
-    found = keep(chosen.mapInArrow(sets_pass, "v long, s binary, bits binary"), "sets")
-    links = linked(pairs.unionByName(hubs), found, keep)
+    signatures = keep(of_ids(texts, ids, keep).mapInArrow(signature_pass, "v long, n long, bits binary, fine binary"), "signatures")
+    links = linked(possible(pairs.unionByName(hubs), signatures, keep), texts, keep)
     labels = components(links, keep)
-    rest = keep(tile_pairs(many, labels, found, keep), "rest")
+    rest = possible(tile_pairs(many, labels, signatures, keep), signatures, keep)
     if not rest.isEmpty():
-        more = linked(rest, found, keep)
+        more = linked(rest, texts, keep)
         if not more.isEmpty():
             labels = merged_labels(labels, more, keep)
     keep.drop_all_but(members, labels)
@@ -403,7 +438,7 @@ def hub_pairs(many: DataFrame, keep: Scratch) -> DataFrame:
     return best.select(F.col("top.hub").alias("a"), F.col("v").alias("b"))
 
 
-def tile_pairs(many: DataFrame, labels: DataFrame, sets: DataFrame, keep: Scratch) -> DataFrame:
+def tile_pairs(many: DataFrame, labels: DataFrame, signatures: DataFrame, keep: Scratch) -> DataFrame:
     """Pairs (a, b) of different components, one of them not in its list's largest, that may still link by all bounds.
 
     Any pair that links shares one of its first n - T + 1 shingles at least, so that later places of lists need no tiles.
@@ -413,7 +448,7 @@ def tile_pairs(many: DataFrame, labels: DataFrame, sets: DataFrame, keep: Scratc
     by_component = rows.groupBy("h", "c").agg(F.count("*").alias("k"))
     tops = by_component.groupBy(F.col("h").alias("th")).agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("size"))
     tops = keep(tops.filter("most.k < size").select("th", F.col("most.c").alias("main"), F.ceil(F.col("size") / TILE).alias("nb"), F.ceil((F.col("size") - F.col("most.k")) / TILE).alias("ob")), "tops")
-    bits = sets.select(F.col("v").alias("bv"), "bits")
+    bits = signatures.select(F.col("v").alias("bv"), "bits")
     inside = rows.join(tops, rows["h"] == tops["th"]).drop("th")
     inside = inside.join(bits, inside["v"] == bits["bv"]).drop("bv")
     column, row = F.pmod(F.xxhash64("v"), "nb"), F.pmod(F.xxhash64("v"), "ob")
@@ -422,7 +457,7 @@ def tile_pairs(many: DataFrame, labels: DataFrame, sets: DataFrame, keep: Scratc
     them = inside.withColumn("i", all_of("ob")).select(*fields, "i", column.alias("j"), F.lit(1).alias("side"))
     us = inside.filter("c <> main").withColumn("j", all_of("nb")).select(*fields, row.alias("i"), "j", F.lit(0).alias("side"))
     tiles = us.unionByName(them).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return tiles.mapInArrow(compared, "a long, b long").distinct()
+    return keep(tiles.mapInArrow(compared, "a long, b long").distinct(), "rest")
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,7 +506,7 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = unused(docs, "gone")
     gone = keep(found.filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     again = keep(found.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select(F.col("doc_id").alias(name)), "again")
-    kept = picked(docs, gone, docs[id_col].cast("long") == gone[name], "left_anti", keep)
+    kept = picked(docs, gone, docs[id_col].cast("long") == gone[name], "left_anti")
     if again.isEmpty():
         return kept
     same = kept[id_col].cast("long") == again[name]
