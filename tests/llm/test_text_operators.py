@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -84,6 +85,48 @@ def test_toxicity_on_held_out_rows(spark, odd):
     assert toxicity.scored(empty(spark), net).count() == 0
 
 
+def plain_score(net, text):
+    """One window at a time, one word after the other."""
+    p, s = net.p, toxicity.SIZE
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0.0
+    n, worst = len(words), -np.inf
+    for first in sorted({min(k, max(n - 64, 0)) for k in range(0, max(n - 16, 1), 48)}):
+        inputs = []
+        for w in words[first : first + 64]:
+            bare = w.strip(toxicity.STRIP)
+            x = b"^" + bare + b"$$"
+            code = [(((x[i] * 31 + x[i + 1]) * 31 + x[i + 2]) * 2654435761 >> 7) % toxicity.TRIPLES for i in range(len(x) - 2)]
+            inputs.append(np.concatenate([p["words"][net.words.get(bare, 0)], p["chars"][code].mean(0)]) @ p["x"] + p["b"])
+        states = []
+        for d, order in ((0, range(len(inputs))), (1, range(len(inputs) - 1, -1, -1))):
+            h, told = np.zeros(s), {}
+            for t in order:
+                x, g = inputs[t][3 * s * d : 3 * s * (d + 1)], h @ p["h"][d]
+                z, r = 1 / (1 + np.exp(-(x[:s] + g[:s]))), 1 / (1 + np.exp(-(x[s : 2 * s] + g[s : 2 * s])))
+                h = z * h + (1 - z) * np.tanh(x[2 * s :] + r * g[2 * s :])
+                told[t] = h
+            states.append(np.array([told[t] for t in range(len(inputs))]))
+        both = np.concatenate(states, 1)
+        e = np.exp(np.tanh(both @ p["a"]) @ p["v"])
+        worst = max(worst, (e / e.sum()) @ both @ p["o"] + p["c"][0])
+    return 1 / (1 + np.exp(-worst))
+
+
+def test_scores_equal_a_plain_version(spark, odd):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["good", "idiot,", "day", "Moron!", "w%d" % rng.randrange(99)]) for _ in range(rng.choice([1, 5, 63, 64, 65, 112, 113, 300]))) for _ in range(60)]
+    net = toxicity.train(texts[:40], np.array([int("idiot" in t) for t in texts[:40]]))
+    rows = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)] + [(100, None), (101, "x " * 5000)], "doc_id long, text string")
+    got = toxicity.scored(rows.withColumn("held", toxicity.held_out()), net).collect()
+    for r in got:
+        assert abs(r["score"] - plain_score(net, r["text"])) < 1e-4 and r["held"] in (True, False)
+    many = rows.limit(1).unionByName(spark.createDataFrame([(5, "idiot " * k) for k in range(1, 60)] + [(6, "good " * 40_000)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(many, labels) is None  # the long text isn't learnt from, the repeated id once
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.train(["good day " * 30, "bad idiot day " * 30] * 3, np.array([0, 1] * 3))
@@ -111,12 +154,20 @@ def test_chat_layouts_and_round_trip(spark):
         {"prompt": "p", "response": "r"}, {"instruction": "i", "input": "x", "output": "o"}, {"instruction": "i", "input": "", "output": "o"},
         {"messages": [{"role": "user", "content": t} for t in nasty] + [{"role": "assistant", "content": t} for t in nasty]},
         {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, {"unknown": 1},
+        {"id": 7, "prompt": '{"a": [1]}', "response": "[r]", "meta": {"a": {"b": [1]}}}, {"messages": []},
+        {"messages": [{"role": "user", "content": "t", "name": "n"}, {"role": "assistant", "content": None}]}, {"messages": ["a"]}, [1],
     ]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(98, None), (99, "not json")], "conv_id long, record string")
     got = chat_format.parsed(chat_format.formatted(chat_format.canonical_records(df, "conv_id", "record"))).collect()
     turns = {r["conv_id"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in got}
     assert turns[0] == [("user", "p"), ("assistant", "r")] and turns[1] == [("user", "i\n\nx"), ("assistant", "o")] and turns[2] == [("user", "i"), ("assistant", "o")]
     assert turns[4] == [("user", "h"), ("assistant", "g")] and turns[5] is None and turns[98] is None and turns[99] is None
+    assert turns[6] == [("user", '{"a": [1]}'), ("assistant", "[r]")] and turns[7] == [] and turns[9] is None and turns[10] is None
+    assert turns[8] == [("user", "t"), ("assistant", "")] and {r["formatted"] for r in got if r["conv_id"] == 7} == {""}
+    told = {r["fingerprint"]: r["n"] for r in chat_format.unknown(chat_format.canonical_records(df, "conv_id", "record")).collect()}
+    assert told == {None: 3, chat_format.path_hash({".unknown"}): 1, chat_format.path_hash({".messages[]*"}): 1}
+    for i, x in enumerate(records[:-1]):
+        assert next(r["fingerprint"] for r in got if r["conv_id"] == i) == chat_format.path_hash(chat_format.example_paths(x))
     for r in got:
         if r["turns"] is not None:
             assert r["read_turns"] == r["turns"]
@@ -125,6 +176,11 @@ def test_chat_layouts_and_round_trip(spark):
     got = {r["conv_id"]: r for r in chat_format.parsed(chat_format.formatted(chat_format.canonical_rows(rows.withColumn("turns", F.lit(1))))).collect()}
     assert [tuple(t) for t in got[1]["read_turns"]] == [("odd\nrole<|x", "t"), ("b", "")] and got[None]["read_turns"][0]["text"] == "z"
     assert chat_format.formatted(chat_format.canonical_rows(rows.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, 1, "user", "x<|" * 100_000), (1, 1, "user", "x<|" * 100_000)], "conv_id long, turn long, role string, text string")
+    (r,) = chat_format.parsed(chat_format.formatted(chat_format.canonical_rows(long))).collect()
+    assert [t["text"] for t in r["read_turns"]] == ["x<|" * 100_000] * 2
+    with pytest.raises(ValueError, match="no row layout"):
+        chat_format.canonical_rows(long.drop("role"))
 
 
 def plain_groups(rows):
@@ -221,6 +277,8 @@ def test_mixing_targets_and_caps(spark, docs, odd):
         for s in order:
             assert abs(target[s] - want[s]) < 1e-6 * max(1, want[s]) and abs(taken[s] - want[s]) <= 1
     assert sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, mixing.mixed(docs.repartition(7)).collect()))
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("draws", "_id", "size", "row", "block", "shard", "pass", "key", "mark")])
+    assert sorted(map(str, mixing.mixed_documents(clash).drop(*clash.columns[7:]).collect())) == sorted(map(str, mixing.mixed_documents(odd).collect()))
     assert mixing.mixed(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).columns == DOC_COLUMNS
 
 
@@ -256,6 +314,30 @@ def test_mixing_keeps_texts_whole(spark, docs):
     assert all(r["taken"] == got[r["doc_id"]] * r["size"] for r in told)
 
 
+def test_mixing_counts_repeated_rows_by_themselves(spark):
+    rng = random.Random(8)
+    rows = [(i % 7, "w " * 50, "en", f"s{i % 4}", 0, "", "") for i in range(300)] + [(i, "w " * rng.randrange(1, 90), "en", f"s{i % 4}", 0, "", "") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOC)
+    target, taken = {}, Counter()
+    for r in mixing.mixed(docs).collect():
+        target[r["source"]] = r["target"]
+    for r in mixing.mixed_documents(docs).collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[s] - target[s]) <= 46 for s in target)
+
+
+def test_mixing_takes_what_the_tree_deals(spark, docs, monkeypatch):
+    """Each shard's rows stand together, shuffled; without the tree's runs nothing is taken."""
+    drawn = mixing.draws_of(docs, shards=4).withColumn("at", F.spark_partition_id()).collect()
+    assert {r["shard"] for r in drawn} == {r["at"] for r in drawn} == set(range(4))
+    for k in range(4):
+        places = [r["place"] for r in drawn if r["at"] == k]
+        assert places == sorted(places) and len(places) > 10
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, seed=0: tree(q, n, seed).filter("shard = 1"))
+    assert mixing.draws_of(docs, shards=4).count() == sum(r["shard"] == 1 for r in drawn)
+
+
 def test_splitting_tree_is_exact(spark):
     q = {"a": 1000, "b": 1, "c": 77, None: 250}
     got = mixing.splitting_tree(spark.createDataFrame(list(q.items()), "source string, blocks long"), 8, 3).collect()
@@ -266,6 +348,14 @@ def test_splitting_tree_is_exact(spark):
     for r in got:
         sizes[r["shard"]] += r["blocks"]
     assert max(sizes.values()) - min(sizes.values()) <= 1
+    # of 6 and 4 blocks, 5 go left: the first source's share is hypergeometric
+    nodes = spark.range(400).selectExpr("int(id) AS shard", "array(named_struct('source', 'a', 'blocks', 6L), named_struct('source', 'b', 'blocks', 4L)) AS q")
+    start = F.struct(F.lit(5).cast("long").alias("room"), F.lit(10).cast("long").alias("rest"), F.array().cast("array<bigint>").alias("left"))
+    drawn = nodes.select(F.aggregate("q", start, mixing.left_draw(0, 1), lambda a: a["left"]).alias("left")).collect()
+    assert all(sum(r["left"]) == 5 for r in drawn)
+    seen = Counter(r["left"][0] for r in drawn)
+    want = {k: 400 * math.comb(6, k) * math.comb(4, 5 - k) / math.comb(10, 5) for k in range(1, 6)}
+    assert set(seen) <= set(want) and sum((seen[k] - x) ** 2 / x for k, x in want.items()) < 18.5
 
 
 def test_top_k(spark):
@@ -375,6 +465,13 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     for cut in range(0, len(data), 997):
         parts = list(warc.salvage(data[:cut]))
         assert sum(x[1] for k, x in parts if k == "gap") <= cut
+    quoted = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    warc.write(spark.createDataFrame([(1, "u", quoted + "tail"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1), path + "q")
+    (file,) = [f for f in (tmp_path / "wq").iterdir() if f.name.startswith("part")]
+    bad = bytearray(file.read_bytes())
+    bad[bad.index(b"tail")] ^= 1
+    found = list(warc.salvage(bytes(bad)))
+    assert [k for k, _ in found] == ["gap", "record"] and found[1][1]["h"]["warc-record-id"] == "<urn:page:2>"
     members = b"".join(gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\n" + bytes([97 + i]) * 3 + b"\r\n\r\n") for i in range(5))
     assert [k for k, _ in warc.members(members)] == ["record"] * 5
     broken = bytearray(members)

@@ -1,51 +1,88 @@
 """Chat formatting: schema fingerprints choose declarative mappings into canonical turns.
 
-A record's fingerprint is the hash of its nested field paths, sorted, without values and list positions. Each known fingerprint
-names a mapping: which fields hold prompt, instruction or messages, and which role each gets. Mappings turn any known layout into
-an array of (role, text); records of unknown layouts come out with null turns and their fingerprint, so that they can be told.
+A fingerprint is the hash of nested field paths, sorted, without values and list positions. Each layout needs some paths, and the
+hash of these is the layout's own: a record or table has the layout if its paths among those hash to it, whatever further fields
+there are. Of several, the one that needs most paths holds. Its mapping says which fields hold prompt, instruction or messages, and
+which role each gets, and turns the record into an array of (role, text); records of unknown layouts come out with null turns and
+their own fingerprint, by which ``unknown`` counts them.
 
 The template marks turns with control strings that begin with ``<|``. In a role or text, every run ``<\\...\\|`` gets one backslash
 more, so that no control string can arise; reading takes it off again. Line feeds in roles become a control string.
 
-Null texts and roles count as empty. Turns come in the order of their number, then role and text; null numbers come first.
+Null texts and roles count as empty. Turns come in the order of their number, then role and text; null numbers come first; repeated
+rows are turns of their own. Very long texts are formatted whole; a conversation is one value, so that its turns have to fit a task.
 Conversations without turns don't exist in row layouts and format to an empty string in record layouts. A null conversation id is
 an id of its own. Other columns are left out. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Objects within objects whose paths are told; what lies deeper counts as a value.
+DEPTH = 3
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths of a Spark type; lists are marked and have no positions."""
+    """Nested field paths of a Spark type; lists are marked and have no positions; values in lists end in a star."""
     if isinstance(kind, T.StructType):
         return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}")]
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, at + "[]")
-    return [at]
+    return [at + "*"] if at.endswith("[]") else [at]
+
+
+def example_paths(value: object, at: str = "", depth: int = DEPTH) -> set[str]:
+    """Nested field paths of a parsed JSON record, as ``record_paths`` tells them."""
+    if isinstance(value, dict):
+        return {p for k, v in value.items() for p in ({f"{at}.{k}"} if depth == 1 else example_paths(v, f"{at}.{k}", depth - 1))}
+    if isinstance(value, list):
+        return {p for v in value for p in (example_paths(v, at + "[]", depth) if isinstance(v, dict) else {at + "[]*"})} or {at + "[]"}
+    return {at}
+
+
+def path_hash(paths: set[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 def fingerprint(paths: Column) -> Column:
-    """Of an array of field paths."""
-    return F.sha2(F.array_join(F.sort_array(F.array_distinct(paths)), "\\n"), 256)
+    """The same of an array of field paths."""
+    return F.sha2(F.array_join(F.sort_array(F.array_distinct(paths)), "\n"), 256)
 
 
-def record_fingerprint(record: Column) -> Column:
-    """Of a JSON text: Spark writes a record's schema as text; names followed by types leave nested names and brackets."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    return F.sha2(F.regexp_replace(shape, r"(?<=: )(BIGINT|STRING|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|VARIANT)", "_"), 256)
+def record_paths(value: Column, depth: int = DEPTH) -> Column:
+    """Nested field paths of a variant; null if it is no object."""
+
+    def of(entry: Column) -> Column:
+        at, kind = F.concat(F.lit("."), entry["key"]), F.schema_of_variant(entry["value"])
+        if depth == 1:
+            return F.array(at)
+        below = lambda v: F.coalesce(record_paths(v, depth - 1), F.array().cast("array<string>"))
+        listed = F.transform(
+            entry["value"].try_cast("array<variant>"),
+            lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), below(x)).otherwise(F.array(F.lit("*"))),
+        )
+        inside = F.transform(F.flatten(listed), lambda p: F.concat(at, F.lit("[]"), p))
+        return (
+            F.when(kind.startswith("OBJECT"), F.transform(below(entry["value"]), lambda p: F.concat(at, p)))
+            .when(kind.startswith("ARRAY"), F.when(F.size(inside) > 0, inside).otherwise(F.array(F.concat(at, F.lit("[]")))))
+            .otherwise(F.array(at))
+        )
+
+    return F.array_distinct(F.flatten(F.transform(F.map_entries(value.try_cast("map<string,variant>")), of)))
 
 
 def message_list(path: str, role: str, text: str, roles: dict[str, str] | None = None) -> str:
     """SQL of a mapping from a list of messages in the JSON text ``record``."""
     renamed = f"coalesce(element_at(map({', '.join(f"'{a}', '{b}'" for a, b in (roles or {}).items())}), m.r), m.r)" if roles else "m.r"
     parsed = f"from_json(get_json_object(record, '{path}'), 'array<struct<{role}:string,{text}:string>>')"
-    return f"transform(transform({parsed}, m -> struct(m.{role} AS r, m.{text} AS t)), m -> struct({renamed} AS role, m.t AS text))"
+    return f"transform(transform({parsed}, m -> struct(m.{role} AS r, m.{text} AS t)), m -> struct(coalesce({renamed}, '') AS role, coalesce(m.t, '') AS text))"
 
 
 def single_fields(*fields: tuple[str, str]) -> str:
@@ -66,18 +103,26 @@ LAYOUTS: tuple[tuple[str, str], ...] = (
     ('{"instruction": "i", "output": "o"}', single_fields(("user", "instruction"), ("assistant", "output"))),
     ('{"instruction": "i", "input": "x", "output": "o"}', single_fields(("user", "instruction+input"), ("assistant", "output"))),
     ('{"system": "s", "prompt": "p", "response": "r"}', single_fields(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    ('{"messages": []}', "array()"),
+    ('{"conversations": []}', "array()"),
     ('{"messages": [{"role": "r", "content": "t"}]}', message_list("$.messages", "role", "content")),
     ('{"conversations": [{"from": "r", "value": "t"}]}', message_list("$.conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
 )
 
 
 def canonical_records(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """id, fingerprint, turns of JSON records of mixed layouts; turns is null where no mapping has the fingerprint."""
-    known = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record"), record_fingerprint(F.col(record_col)).alias("fingerprint"))
+    """conv_id, fingerprint, turns of JSON records of mixed layouts; turns is null where no layout has the fingerprint."""
+    known = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record")).withColumn("paths", record_paths(F.try_parse_json("record")))
     turns = F.lit(None).cast(TURNS)
-    for example, mapping in reversed(LAYOUTS):
-        turns = F.when(F.col("fingerprint") == record_fingerprint(F.lit(example)), F.expr(mapping).cast(TURNS)).otherwise(turns)
-    return known.withColumn("turns", turns).drop("record")
+    for needed, mapping in sorted(((example_paths(json.loads(example)), mapping) for example, mapping in LAYOUTS), key=lambda x: len(x[0])):
+        own = fingerprint(F.array_intersect("paths", F.array(*map(F.lit, sorted(needed)))))
+        turns = F.when(own == F.lit(path_hash(needed)), F.expr(mapping).cast(TURNS)).otherwise(turns)
+    return known.select("conv_id", fingerprint(F.col("paths")).alias("fingerprint"), turns.alias("turns"))
+
+
+def unknown(canonical: DataFrame) -> DataFrame:
+    """fingerprint, n of the records that no mapping turned into turns; null for what is no JSON object."""
+    return canonical.filter(F.col("turns").isNull()).groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
 #: Column sets of tables with a row for each turn: conversation, order, role, text.
@@ -89,20 +134,19 @@ ROW_LAYOUTS: tuple[tuple[str, str, str, str], ...] = (
 
 
 def canonical_rows(rows: DataFrame, layout: tuple[str, str, str, str] | None = None) -> DataFrame:
-    """conv_id, fingerprint, turns of a table with a row for each turn.
+    """conv_id, fingerprint, turns of a table with a row for each turn; the table's field paths choose the layout as a record's do.
 
-    The table's own field paths are its fingerprint; where further columns hide a known layout, the first layout whose columns all
-    are there holds. A conversation is one value of the result, so that its turns have to meet in one task; only conversations do.
+    A conversation is one value of the result, so that its turns have to meet in one task; only conversations do.
     """
-    names = {f.name for f in rows.schema.fields}
-    layout = layout or next((x for x in ROW_LAYOUTS if set(x) <= names), None)
+    paths = set(schema_paths(rows.schema))
+    known = {path_hash({f".{c}" for c in x}): x for x in ROW_LAYOUTS}
+    layout = layout or next((y for x in ROW_LAYOUTS if (y := known.get(path_hash(paths & {f".{c}" for c in x})))), None)
     if layout is None:
-        raise ValueError(f"no row layout has the field paths {sorted(schema_paths(rows.schema))}")
+        raise ValueError(f"no row layout has the field paths {sorted(paths)}")
     conv, turn, role, text = (F.col(f"`{x}`") for x in layout)
     item = F.struct(turn.alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    paths = F.array(*[F.lit("." + x) for x in layout])
     listed = rows.select(conv.alias("conv_id"), item.alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    return listed.select("conv_id", fingerprint(paths).alias("fingerprint"), F.transform("xs", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    return listed.select("conv_id", F.lit(path_hash(paths)).alias("fingerprint"), F.transform("xs", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def escaped(text: Column) -> Column:

@@ -1,14 +1,17 @@
 """Mixing sources to target weights by exact block quotas.
 
 Each source's rows fall into numbered blocks by a keyed hash of their ids; because the key deals them at random, the numbers are
-already a random order of the source's blocks. A target is planned as whole passes over all blocks and then a run of blocks, the
-last of them to the word; the mix takes the text at that cut whole or leaves it out, so that every text stays as it came. A splitting tree hands every source's quota of blocks down to the output shards: at each node the
-number of a source's blocks that go left is one draw of a multivariate hypergeometric distribution, so that the shards' quotas
-are exact and the blocks that they hold are disjoint runs. Within a shard, rows are put in an order of their own hash.
-
-Words are runs of anything but the six ASCII spaces. Null and empty texts have size 0 and are taken 0 times. A null source is a
-source, after all others. Rows that share an id share their order, in any order of theirs. Other columns are kept out of the plan.
-An empty table gives an empty plan. The plan is a function of ids, sizes, sources and seed: reruns agree.
+already a random order of the source's blocks. A target makes a quota of block draws: whole passes over all blocks and then a run of
+blocks, the last of them to the word; the mix takes the text at that cut whole or leaves it out, so that every text stays as it came.
+A splitting tree hands every source's quota down to the output shards: at each node the number of a source's blocks that go left is a
+draw of the multivariate hypergeometric distribution, made block by block without replacement, so that the shards' quotas are exact
+and the draws that they hold are disjoint runs. A document is taken once for each draw of its block that a shard of the tree holds.
+Within a shard, rows are put in an order of their own hash.
+
+Words are runs of anything but the six ASCII spaces. Null and empty texts have size 0 and are taken 0 times; very long texts are
+counted and taken whole. A null source is a source, after all others. Rows that share an id share their block; each counts by itself,
+and rows equal in id and text stand in any order at a cut. Columns of any name stay as they are. An empty table gives an empty plan.
+The plan is a function of ids, texts, sources and seed: reruns agree.
 """
 
 from __future__ import annotations
@@ -16,22 +19,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import WORD, written
+from tidegate.llm.common import WORD, Scratch
 
 #: Weights of the sources by code point, again from the start after the last.
 WEIGHTS = (5, 2, 1)
 #: No source, and so no row, is taken more often.
 REPEATS = 3
-#: Words that a block holds, as long as a source has no more blocks than MOST_BLOCKS.
-BLOCK_WORDS = 16_384
-MOST_BLOCKS = 16_384
+#: A source of n words has the square root of n over this blocks: blocks and their words grow alike with the source.
+SPREAD = 8
+#: Draws of blocks that a shard holds, about.
+SHARD_DRAWS = 64
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, and mark, the text's hash: all that the plan needs."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """row, all columns of the input, with doc_id, source, size, mark, the text's hash, and key, the id's."""
     n = F.regexp_count(F.col(text_col), F.lit(WORD))
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(n, F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("mark")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        F.coalesce(n, F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(text_col).alias("mark"),
+        F.xxhash64(F.lit(seed), id_col).alias("key"),
     )
 
 
@@ -68,17 +77,24 @@ def uniform(*of: Column | str | int) -> Column:
 
 
 def left_draw(level: int, seed: int):
-    """The step of an aggregate over a node's sources: how many of a source's blocks go left, given what is left to fill."""
+    """The step of an aggregate over a node's sources: how many of a source's blocks go left, given what is left to fill.
+
+    Block after block goes left with the chance of the places that are left there among all: an exact hypergeometric draw.
+    """
 
     def draw(a: Column, x: Column) -> Column:
         n, room, rest = x["blocks"], a["room"], a["rest"]
-        low, high = F.greatest(F.lit(0).cast("long"), n - (rest - room)), F.least(n, room)
-        p = F.when(rest > 0, room / rest).otherwise(F.lit(0.0))
-        spread = F.sqrt(F.greatest(F.lit(0.0), n * p * (1 - p) * F.when(rest > 1, (rest - n) / (rest - 1)).otherwise(F.lit(0.0))))
-        u, v = uniform(F.lit(seed), F.lit(2 * level), "shard", x["source"]), uniform(F.lit(seed), F.lit(2 * level + 1), "shard", x["source"])
-        normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.lit(3.141592653589793) * v)
-        k = F.least(high, F.greatest(low, F.round(n * p + spread * normal).cast("long")))
-        return F.struct((room - k).alias("room"), (rest - n).alias("rest"), F.concat(a["left"], F.array(k)).alias("left"))
+        each = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
+
+        def block(k: Column, i: Column) -> Column:
+            chance = uniform(F.lit(seed), F.lit(level), "shard", x["source"], i)
+            return k + F.when(chance * (rest - i + 1) < room - k, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+
+        k = F.aggregate(each, F.lit(0).cast("long"), block)
+        # an array of one draw: the lambda's value is worked out once
+        return F.transform(
+            F.array(k), lambda got: F.struct((room - got).alias("room"), (rest - n).alias("rest"), F.concat(a["left"], F.array(got)).alias("left"))
+        )[0]
 
     return draw
 
@@ -87,8 +103,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """source, blocks -> source, shard, first, blocks: each source's run of block draws for each shard.
 
     shards is a power of two. A node's draw for a source follows the hypergeometric distribution of its blocks among the slots that
-    go left, given what the sources before it took: the normal approximation of that draw, within its exact bounds. So that sums
-    are exact, the last source takes what is left. The state is one row for each source and node.
+    go left, given what the sources before it took, so that sums are exact. The state is one row for each source and node.
     """
     assert shards & (shards - 1) == 0, "shards must be a power of two"
     nodes = quotas.select("source", F.lit(0).cast("long").alias("first"), F.col("blocks").cast("long").alias("blocks"), F.lit(0).alias("shard"))
@@ -116,73 +131,79 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return nodes
 
 
-def planned(rows: DataFrame, seed: int = 0) -> DataFrame:
-    """sizes() with source_size, target, each row's block, the whole passes over its source, and part: words of the last, partial one."""
-    by_source = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    cut = F.floor("target").cast("long")
-    plan = by_source.withColumns(
-        {
-            "n_blocks": F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long"),
-            "passes": F.when(F.col("source_size") > 0, F.floor(cut / F.col("source_size"))).otherwise(0).cast("long"),
-        }
-    ).withColumn("extra", cut - F.col("passes") * F.col("source_size"))
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    placed = joined(rows.withColumn("key", key), plan).withColumn("block", F.when(F.col("n_blocks") > 0, F.pmod("key", F.col("n_blocks"))).otherwise(0))
-    blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.first("extra").alias("extra"))
-    run = Window.partitionBy("source").orderBy("block")
-    blocks = blocks.withColumn("before", F.sum("block_size").over(run) - F.col("block_size")).filter(F.col("before") < F.col("extra"))
-    blocks = written(blocks.select("source", "block", (F.col("extra") - F.col("before")).alias("room"), "block_size"), "blocks")
-    edge = blocks.select(F.col("source").alias("bs"), F.col("block").alias("bb"), "room", "block_size")
-    marked = placed.join(edge, F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb")), "left").withColumn(
-        "cut", F.coalesce(F.col("room") < F.col("block_size"), F.lit(False))
-    )
-    inside = marked.filter(~F.col("cut")).withColumn("part", F.when(F.col("room").isNotNull(), F.col("size")).otherwise(0))
-    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = marked.filter("cut").withColumn(
-        "part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.coalesce(F.sum("size").over(order), F.lit(0)))).cast("long")
-    )
-    columns = ["doc_id", "source", "size", "mark", "source_size", "target", "block", "n_blocks", "key", "passes", F.col("part").cast("long").alias("part")]
-    return inside.select(*columns).unionByName(at_edge.select(*columns))
-
-
-def joined(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+def with_source(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     """With the source's row. Sources are few against rows, but not of a fixed number: Spark chooses how to join by the table's size."""
     s = by_source.withColumnRenamed("source", "s")
     return rows.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
-def mixed(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
-    """A row for each document with its planned draws: pass, words (all of the text's, or the target's rest at the cut), shard and place there.
+def planned(rows: DataFrame, keep: Scratch, shards: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """The sources (source, source_size, target, n_blocks, passes), their blocks with draws (pass, shard) and cut, and the number of shards.
 
-    A source's block draws run through pass 0, 1, 2 in the order of its blocks; the splitting tree gives each shard a run of them.
+    room is the words that a block gives in the last pass, null if it isn't in it.
     """
-    rows = planned(written(sizes(docs), "sizes"), seed)
-    draws = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.col("passes").cast("int")),
-            lambda p: F.struct(
-                p.alias("pass"),
-                F.when(p < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"),
-                (p * F.col("n_blocks") + F.col("block")).alias("draw"),
-            ),
-        ),
-        lambda x: x["words"] > 0,
-    )
-    rows = written(rows.withColumn("draws", draws), "plan")
-    quotas = rows.groupBy("source").agg(F.max(F.array_max(F.transform("draws", lambda x: x["draw"] + 1))).alias("blocks")).filter("blocks > 0")
-    runs = splitting_tree(quotas, shards, seed).filter("blocks > 0").groupBy("source").agg(F.collect_list(F.struct("first", "blocks", "shard")).alias("runs"))
-    runs = written(runs, "runs").withColumnRenamed("source", "s")
-    dealt = rows.join(runs, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    placed = F.transform(
-        "draws",
+    by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    cut = F.floor("target").cast("long")
+    by_source = by_source.withColumns(
+        {
+            "n_blocks": F.greatest(F.lit(1), F.ceil(F.sqrt("source_size") / SPREAD)).cast("long"),
+            "passes": F.when(F.col("source_size") > 0, F.floor(cut / F.col("source_size"))).otherwise(0).cast("long"),
+        }
+    ).withColumn("extra", cut - F.col("passes") * F.col("source_size"))
+    by_source = keep(by_source, "sources")
+    blocks = with_source(rows, by_source).groupBy("source", F.pmod("key", "n_blocks").alias("block")).agg(F.sum("size").alias("block_size"))
+    blocks = with_source(blocks, by_source)
+    run = Window.partitionBy("source").orderBy("block")
+    blocks = blocks.withColumn("room", F.col("extra") - F.sum("block_size").over(run) + F.col("block_size"))
+    blocks = blocks.withColumn("room", F.when(F.col("room") > 0, F.least("room", "block_size")))
+    blocks = keep(blocks.select("source", "block", "block_size", "room", "passes", "n_blocks"), "blocks")
+    most = F.max(F.when(F.col("room").isNotNull(), F.col("block") + 1))
+    quotas = blocks.groupBy("source").agg((F.first("passes") * F.first("n_blocks") + F.coalesce(most, F.lit(0))).alias("blocks"))
+    quotas = keep(quotas.filter("blocks > 0"), "quotas")
+    if shards is None:
+        total = quotas.agg(F.sum("blocks")).first()[0] or 1
+        shards = 1 << max(0, (total // SHARD_DRAWS).bit_length() - 1)
+    runs = splitting_tree(quotas, shards, seed).filter("blocks > 0")
+    dealt = runs.select(F.col("source").alias("ds"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("draw"))
+    own = F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("room").isNull(), 1).otherwise(0))
+    own = F.when((F.col("passes") > 0) | F.col("room").isNotNull(), own).otherwise(F.array().cast("array<bigint>"))
+    wanted = blocks.select("source", "block", "n_blocks", F.explode(own).alias("pass"))
+    wanted = wanted.select("source", "block", "pass", (F.col("pass") * F.col("n_blocks") + F.col("block")).alias("number"))
+    held = wanted.join(dealt, F.col("source").eqNullSafe(F.col("ds")) & (F.col("number") == F.col("draw"))).groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("held"))
+    held = held.select(F.col("source").alias("hs"), F.col("block").alias("hb"), "held")
+    whole = blocks.join(held, F.col("source").eqNullSafe(F.col("hs")) & (F.col("block") == F.col("hb")), "left")
+    whole = whole.select(F.col("source").alias("bs"), F.col("block").alias("bb"), "room", (F.col("room") < F.col("block_size")).alias("cut"), "held")
+    whole = keep(whole, "plan")
+    keep.drop(blocks, quotas)
+    return by_source, whole, shards
+
+
+def drawn(rows: DataFrame, sources: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """sizes() with source_size, target and draws: pass, words (all of the text's, or the target's rest at the cut), shard and place there."""
+    placed = with_source(rows, sources).withColumn("block", F.pmod("key", "n_blocks"))
+    placed = placed.join(blocks, F.col("source").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb")), "left").drop("bs", "bb")
+    inside = placed.filter(~F.coalesce("cut", F.lit(False))).withColumn("part", F.when(F.col("room").isNotNull(), F.col("size")).otherwise(0).cast("long"))
+    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(order), F.lit(0))
+    at_edge = placed.filter("cut").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - before)).cast("long"))
+    draws = F.transform(
+        F.coalesce("held", F.array().cast("array<struct<pass:bigint,shard:int>>")),
         lambda x: F.struct(
             x["pass"].alias("pass"),
-            x["words"].alias("words"),
-            F.filter("runs", lambda r: (x["draw"] >= r["first"]) & (x["draw"] < r["first"] + r["blocks"]))[0]["shard"].alias("shard"),
-            F.xxhash64(F.lit(seed + 1), x["pass"], F.col("key")).alias("place"),
+            F.when(x["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"),
+            x["shard"].alias("shard"),
+            F.xxhash64(F.lit(seed + 1), x["pass"], "key", "mark").alias("place"),
         ),
     )
-    return dealt.select("doc_id", "source", "size", "mark", "source_size", "target", placed.alias("draws"))
+    return inside.unionByName(at_edge).withColumn("draws", F.filter(draws, lambda x: x["words"] > 0))
+
+
+def mixed(docs: DataFrame, shards: int | None = None, seed: int = 0) -> DataFrame:
+    """A row for each document with its draws from the tree's shards."""
+    keep = Scratch(docs.sparkSession)
+    rows = keep(sizes(docs, seed=seed).drop("row"), "sizes")
+    sources, blocks, _ = planned(rows, keep, shards, seed)
+    return drawn(rows, sources, blocks, seed).select("doc_id", "source", "size", "mark", "source_size", "target", "draws")
 
 
 def whole_draws(draws: str = "draws", size: str = "size") -> Column:
@@ -191,18 +212,21 @@ def whole_draws(draws: str = "draws", size: str = "size") -> Column:
     return F.transform(taken, lambda x: x.withField("words", F.col(size)))
 
 
-def draws_of(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
-    """The mix itself: a row for each draw. Sort by shard and place, within partitions of shards, for the training order."""
-    return mixed(docs, shards, seed).select("doc_id", "source", F.explode(whole_draws()).alias("d")).select("doc_id", "source", "d.*")
+def mixture(docs: DataFrame, shards: int | None = None, seed: int = 0) -> DataFrame:
+    """The mix itself: a row for each draw with row, source, pass, words, shard and place; a partition is a shard, in the order of place."""
+    keep = Scratch(docs.sparkSession)
+    counted = keep(sizes(docs, seed=seed).drop("row"), "sizes")
+    sources, blocks, n = planned(counted, keep, shards, seed)
+    keep.drop(counted)
+    taken = drawn(sizes(docs, seed=seed), sources, blocks, seed).select("row", "doc_id", "source", F.explode(whole_draws()).alias("d"))
+    return taken.select("row", "doc_id", "source", "d.*").repartitionById(n, F.col("shard")).sortWithinPartitions("place", "pass")
 
 
-def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
-    """The documents of the mix, one row for each draw, with their columns; texts are whole.
+def draws_of(docs: DataFrame, shards: int | None = None, seed: int = 0) -> DataFrame:
+    """doc_id, source, pass, words, shard, place of each draw, shuffled within its shard."""
+    return mixture(docs, shards, seed).drop("row")
 
-    Rows that repeat id and text get the same draws.
-    """
-    plan = mixed(docs, shards, seed).withColumn("draws", whole_draws()).filter(F.size("draws") > 0)
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "draws")
-    plan = written(plan.dropDuplicates(["_id", "_mark"]), "draws")
-    rows = docs.withColumn("_own", F.xxhash64("text")).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")))
-    return rows.withColumn("_d", F.explode("draws")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 0) -> DataFrame:
+    """The documents of the mix, one row for each draw, with their columns, shard after shard and shuffled within; texts are whole."""
+    return mixture(docs, shards, seed).select("row.*")

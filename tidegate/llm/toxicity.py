@@ -5,8 +5,12 @@ words start every 48 words, the last one at the text's end, so that every word o
 of its worst window. Labels are learnt from a bounded sample; as a label says only that some window is toxic, each epoch trains on
 the window that the network at present finds worst. Scoring happens where the rows are: the network is a few hundred KB.
 
-Null and empty texts, and texts without a word, score 0. Repeated rows score alike; other columns stay, but for those named as the
-result's. An empty table gives an empty one. If the sample lacks one of the two labels, all scores are 0.
+A known word's embedding starts at its log odds in the sample in the first component, and the first choice of worst windows is by
+the sums of these odds; training moves both.
+
+Null and empty texts, and texts without a word, score 0. Very long texts are read to their end. Repeated rows score alike; other
+columns stay, but for those named as the result's. A null id isn't held out, as no label can belong to it. An empty table gives an
+empty one. If the sample lacks one of the two labels, all scores are 0.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from tidegate.llm.common import text_batches
 WINDOW, STRIDE = 64, 48
 #: Bounds of the labelled sample: documents of label 1 and of label 0, first ones by the hash of their ids.
 SAMPLE = {1: 800, 0: 1_600}
+#: Characters of a text of the sample, at most: longer ones aren't learnt from, so that the sample's size is bounded. Scores know no bound.
+MOST_CHARS = 100_000
 #: Known words: those in so many sampled documents, the most frequent ones.
 LEAST_DOCS, MOST_WORDS = 5, 20_000
 TRIPLES = 4_096
@@ -36,12 +42,12 @@ CHOICES = 4
 HELD_OUT = 5
 THRESHOLD = 0.5
 #: Word projections that a Python worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 STRIP = b".,;:!?|\"'()[]*"
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -106,12 +112,17 @@ class Network:
             self.table = self.with_pad(np.empty((0, 6 * SIZE), np.float32))
         if unseen:
             new = list(unseen)
-            first = len(self.table)
+            first = len(self.rows) + 1
             self.rows.update(zip(new, range(first, first + len(new))))
-            self.table = np.concatenate([self.table, self.projected(new)])
+            if first + len(new) > len(self.table):  # twice the room, so that rows are seldom copied
+                self.table = np.concatenate([self.table, np.empty((first + len(new), 6 * SIZE), np.float32)])
+            self.table[first : first + len(new)] = self.projected(new)
         get = self.rows.__getitem__
         return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
 
+    def forget(self) -> None:
+        self.rows, self.table = {}, None
+
     def logits(self, windows: np.ndarray) -> np.ndarray:
         """Of windows of table rows; 0 pads."""
         out = np.empty(len(windows), np.float32)
@@ -262,7 +273,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 p[name] -= (RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
-    net.table, net.rows = None, {}
+    net.forget()
     return net
 
 
@@ -300,8 +311,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part = usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
     # broadcast: at most the rows of SAMPLE
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id"))
-    got = rows.select("id", "text", "y").toPandas().sort_values(["id", "text"], kind="stable")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter(F.length("text") <= MOST_CHARS)
+    rows = rows.join(F.broadcast(ids), F.col("doc") == F.col("id"))
+    # one text for each id, however often it occurs
+    got = rows.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).toPandas().sort_values(["id", "text"], kind="stable")
     return train(got["text"].tolist(), got["y"].to_numpy())
 
 
@@ -312,8 +325,12 @@ def score_column(spark: SparkSession, net: Network | None, text: Column) -> Colu
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        for t in texts:
-            yield pd.Series(score_texts(model, t.tolist()))
+        try:
+            for t in texts:
+                yield pd.Series(score_texts(model, t.tolist()))
+        finally:
+            if model is not None:
+                model.forget()
 
     return score(text)
 

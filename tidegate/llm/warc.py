@@ -3,11 +3,12 @@
 Writing is one text file per task, whose line ends are the blank lines that end a record; Spark's writer commits whole files only.
 Of pages with equal payloads, by digest and length, the one with the largest id is a response; the others are revisits that name it.
 Reading checks each record: version line, headers, length, the blank lines after its block, the digest of a response's payload. After
-a failed check, the reader looks for the next version line (in gzip archives: the next member that opens with one) and goes on there;
-the bytes between are told as a gap with the reason. Archive files are read whole, so that RECORDS bounds them.
+a failed check, the reader goes on at the record's own end if another record or the archive's end is there, so that records quoted in
+a damaged payload aren't taken for real ones; else it looks for the next version line (in gzip archives: the next member that opens
+with one). The bytes between are told as a gap with the reason. Archive files are read whole, so that RECORDS bounds them.
 
 Null html is an empty payload, and empty payloads are equal too. A null url has no target header. A null id counts as smaller than
-any other. Rows that repeat the largest id of a payload are all responses. Other columns are ignored; an empty table gives no records.
+any other. Rows that repeat the largest id of a payload are all responses. Very long pages are records like others. Other columns are ignored; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tidegate.llm.common import fresh_path, written
 RECORDS = 2_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+#: Bytes of a member that are inflated at a time.
+PART = 1 << 20
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -73,54 +76,57 @@ def headers(raw: bytes) -> dict[str, str]:
     return out
 
 
-def record(data: bytes, at: int) -> tuple[dict, int] | str:
-    """The record that begins at a place and where it ends, or why there is none."""
+def record(data: bytes, at: int) -> tuple[dict | str, int | None]:
+    """The record that begins at a place and where it ends, or why there is none, and its end if that can still be told."""
     version = VERSION.match(data, at)
     if not version:
-        return "no version line"
+        return "no version line", None
     stop = data.find(b"\r\n\r\n", version.end() - 2)
     if stop < 0:
-        return "headers don't end"
+        return "headers don't end", None
     h = headers(data[version.end() : stop])
     length = h.get("content-length", "")
     if not length.isdigit():
-        return "no length"
+        return "no length", None
     end = stop + 4 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
-        return "the block doesn't end where its length says"
+        return "the block doesn't end where its length says", None
     block = data[stop + 4 : end]
     cut = block.find(b"\r\n\r\n")
     payload = block[cut + 4 :] if h.get("content-type", "").startswith("application/http") and cut >= 0 else block
     digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
     if h.get("warc-type") == "response" and digest and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-        return "the payload has another digest"
+        return "the payload has another digest", end + 4 if end + 4 == len(data) or VERSION.match(data, end + 4) else None
     return {"h": h, "payload": payload, "digest": digest}, end + 4
 
 
 def salvage(data: bytes, at: int = 0) -> Iterator[tuple[str, object]]:
     """('record', ...) of each whole record and ('gap', (start, bytes, reason)) of what lies between."""
     while at < len(data):
-        got = record(data, at)
+        got, end = record(data, at)
         if isinstance(got, str):
-            later = VERSION.search(data, at + 1)
-            end = later.start() if later else len(data)
+            if end is None:
+                later = VERSION.search(data, at + 1)
+                end = later.start() if later else len(data)
             yield "gap", (at, end - at, got)
-            at = end
         else:
-            yield "record", got[0]
-            at = got[1]
+            yield "record", got
+        at = end
 
 
 def members(data: bytes) -> Iterator[tuple[str, object]]:
     """The same for an archive of gzip members, each of one or more records."""
-    at = 0
+    at, whole = 0, memoryview(data)
     while at < len(data):
-        inflate, reason = zlib.decompressobj(31), "no member"
+        inflate, parts, end = zlib.decompressobj(31), [], at
         try:
-            text = inflate.decompress(data[at:])
+            while not inflate.eof and end < len(data):
+                parts.append(inflate.decompress(whole[end : end + PART]))
+                end = min(end + PART, len(data))
+            text = b"".join(parts)
             if inflate.eof and VERSION.match(text):
                 yield from salvage(text)
-                at = len(data) - len(inflate.unused_data)
+                at = end - len(inflate.unused_data)
                 continue
             reason = "the member doesn't end" if not inflate.eof else "no version line"
         except zlib.error as e:
