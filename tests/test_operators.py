@@ -1,5 +1,6 @@
 """Hand-made cases: boundaries, leaks, repairs, ties, hidden cells, streams and sources."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
-from tidegate.operators import disclose, features, gate, identity, intervals, metrics, nearest, rules, runs, sampling
+from tidegate.operators import audits, disclose, features, gate, identity, intervals, metrics, nearest, rules, runs, sampling
 from tidegate.sources import readers
 from tidegate.streaming import incremental
 
@@ -248,3 +249,47 @@ def test_features_refuse_what_isnt_gated(spark):
         with pytest.raises(ValueError):
             gate.violations(frame)
     assert features.matrix(gate.as_of(e, ix), ix, f).count() == 2
+
+
+def plain_flow(steps, k):
+    """Lines [step, unit, excluded, remaining] of one site's flow."""
+    lines, wait, out, n, unit = [], [], 0, None, None
+
+    def last():
+        lines[-1] = [lines[-1][0] + " + " + " + ".join(wait), unit, (lines[-1][2] or 0) + out, n]
+
+    for step, u, left, start in steps:
+        if start or n is None:
+            lines.append([step, u, None, left])
+        else:
+            if wait and u != unit and len(lines) > 1:
+                last()
+                wait, out = [], 0
+            wait, out = [*wait, step], out + n - left
+            if out >= k:
+                lines.append([" + ".join(wait), u, out, left])
+                wait, out = [], 0
+        n, unit = left, u
+    if wait and len(lines) > 1:
+        last()
+    elif wait:
+        lines.append([" + ".join(wait), unit, out, None])
+    return [tuple(x) for x in lines]
+
+
+def test_small_exclusions_merge(spark):
+    rng = random.Random(6)
+    sites = {"tail": [("a", "n", 100, True), ("b", "n", 80, False), ("c", "n", 75, False)], "few": [("a", "n", 50, True), ("b", "n", 48, False), ("c", "n", 45, False)], "unit": [("a", "n", 100, True), ("b", "n", 80, False), ("c", "n", 76, False), ("d", "p", 60, False)]}
+    for i in range(25):
+        left, rows = 300, []
+        for j in range(rng.randrange(1, 8)):
+            left -= rng.choice([0, 1, 4, 7, 15, 40]) if j else 0
+            rows.append((f"s{j}", "n" if j < 4 else "p", left, j == 0))
+        sites[f"r{i}"] = rows
+    made_rows = [(s, i, *x) for s, steps in sites.items() for i, x in enumerate(steps)]
+    rng.shuffle(made_rows)
+    got = {}
+    for r in audits.merged_flow(spark.createDataFrame(made_rows, "site string, stage int, step string, unit string, remaining long, start boolean"), "site", 11).orderBy("site", "row").collect():
+        got.setdefault(r["site"], []).append((r["step"], r["unit"], r["n_excluded"], r["n_remaining"]))
+    assert got == {s: plain_flow(x, 11) for s, x in sites.items()}
+    assert all(x[2] is None or x[2] >= 11 for s, lines in got.items() for x in lines if x[3] is not None)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tidegate.plans import builder_queries, event_queries, evidence_queries, more_queries, statistic_queries
+from tidegate.plans import audit_queries, builder_queries, event_queries, evidence_queries, more_queries, statistic_queries
 
 FLAGSHIP = "ao_gate_matrix"
 
 
 def queries() -> dict:
-    return event_queries.QUERIES | statistic_queries.QUERIES | more_queries.QUERIES | builder_queries.QUERIES | evidence_queries.QUERIES
+    return event_queries.QUERIES | statistic_queries.QUERIES | more_queries.QUERIES | builder_queries.QUERIES | evidence_queries.QUERIES | audit_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return event_queries.SQL | statistic_queries.SQL | more_queries.SQL | builder_queries.SQL | evidence_queries.SQL
+    return event_queries.SQL | statistic_queries.SQL | more_queries.SQL | builder_queries.SQL | evidence_queries.SQL | audit_queries.SQL
