@@ -167,13 +167,13 @@ def qc_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("channel", "n", "passed", *[F.get("_q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]))
 
 
-@query("sg11_burden", "WITH " + EVENTS + ", s AS (SELECT entity_id AS rec_id, date_diff('microsecond', TIMESTAMP '2024-01-01', t_event) / 3.6e9 AS t, least(1, value / 50) AS p FROM ev WHERE value IS NOT NULL), w AS (SELECT DISTINCT entity_id AS rec_id, k AS \"window\", k * 240.0 AS lo, k * 240.0 + 240 AS hi FROM ev, range(3) r(k)) SELECT w.rec_id, \"window\", count(*) AS n, round(avg(p), 5) AS mean, round(quantile_cont(p, 0.9), 5) AS p90, round(avg((p >= 0.5)::int), 5) AS burden FROM s JOIN w ON s.rec_id = w.rec_id AND t >= lo AND t < hi GROUP BY 1, 2")
+@query("sg11_burden", "WITH " + EVENTS + ", s AS (SELECT entity_id AS rec_id, date_diff('microsecond', TIMESTAMP '2024-01-01', t_event) / 3.6e9 AS t, least(1, value / 50) AS p FROM ev WHERE value IS NOT NULL), w AS (SELECT DISTINCT entity_id AS rec_id, k AS \"window\", k * 240.0 AS lo, k * 240.0 + 240 AS hi FROM ev, range(3) r(k)) SELECT w.rec_id, \"window\", count(*) AS n, round(avg(p), 8) AS mean, round(quantile_cont(p, 0.9), 8) AS p90, round(avg((p >= 0.5)::int), 8) AS burden FROM s JOIN w ON s.rec_id = w.rec_id AND t >= lo AND t < hi GROUP BY 1, 2")
 def burden(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     hours = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("t_event")) / F.lit(3.6e9)
     s = e.filter("value IS NOT NULL").select(F.col("entity_id").alias("rec_id"), hours.alias("t"), F.least(F.lit(1.0), F.col("value") / 50).alias("p"))
     w = e.select(F.col("entity_id").alias("rec_id")).distinct().select("rec_id", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")).alias("window"))
-    return rounded(audits.burden(s, w.withColumns({"lo": F.col("window") * 240.0, "hi": F.col("window") * 240.0 + 240})), 5)
+    return rounded(audits.burden(s, w.withColumns({"lo": F.col("window") * 240.0, "hi": F.col("window") * 240.0 + 240})), 8)
 
 
 @query("sg12_segments", "WITH v AS (SELECT vec_id, list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND x >= -0.15 AND x <= 0.3) AS o, len(embedding) AS k FROM embeddings) SELECT vec_id, round(len(o) / k, 6) AS valid, round(list_sum(list_transform(o, lambda x: x::double)) / len(o), 6) AS pooled FROM v WHERE len(o) / k >= 0.8")
