@@ -32,16 +32,16 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from tidegate.llm.common import distinct_pieces, joined_batches, spread, text_batches, texts_of, vocabulary
+from tidegate.llm.common import distinct_pieces, joined_batches, releasing, spread, text_batches, texts_of, vocabulary
 
 NEVER = 1 << 60
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: Spaces that the pattern or str.split knows besides the six ASCII ones, and those that only one of them knows.
 OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Pretokens that a Python worker remembers, and the longest of them; all are forgotten when there are more.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Bytes of text whose distinct words are looked up together; ids that are decoded at a time.
-TOGETHER, STRETCH = 4 << 20, 1 << 16
+TOGETHER, STRETCH = 2 << 20, 1 << 15
 #: Words whose windows are merged side by side.
 SIDE = 1 << 12
 
@@ -312,6 +312,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_c
     """
     text_batches(docs.sparkSession)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for b in joined_batches(batches, TOGETHER):

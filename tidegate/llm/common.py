@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegate.sources.shared import Scratch, fresh_path, shared_folder, written  # noqa: F401  the operators take them from here
+
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -25,54 +29,6 @@ PART = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset and Spark runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a table written to the shared folder: later work doesn't depend on executors that made them."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables of one run in the shared folder; those that the result doesn't read are dropped when they are done with."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: list[tuple[DataFrame, str]] = []
-
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        path = fresh_path(self.spark, name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths.append((out, path))
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for df, path in [x for x in self.paths if any(x[0] is t for t in tables)]:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths = [x for x in self.paths if not any(x[0] is t for t in tables)]
-
-    def drop_all_but(self, *tables: DataFrame) -> None:
-        self.drop(*[x[0] for x in self.paths if not any(x[0] is t for t in tables)])
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name like this that the table doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -87,6 +43,27 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and an executor's workers share its memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's generator that releases memory at its end."""
+
+    @wraps(task)
+    def run(*given):
+        try:
+            yield from task(*given)
+        finally:
+            release()
+
+    return run
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, as installed on driver and executors."""
     import public_tokenizers

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import ODD, Scratch, text_batches, texts_of, unused, word_hashes
+from tidegate.llm.common import ODD, Scratch, release, releasing, text_batches, texts_of, unused, word_hashes
 
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union.
@@ -47,9 +47,9 @@ COMMON, COMMON_SHARE = 128, 24
 #: Lists of more nodes are long.
 SHORT_LIST = 16
 #: Shingles of a chunk, whose frequent ones are counted together; how often one must occur there, and how many are told.
-CHUNK, OFTEN, TOLD = 1 << 21, 4, 20_000
+CHUNK, OFTEN, TOLD = 1 << 20, 3, 10_000
 #: Postings that a task sorts at a time.
-POSTINGS = 1 << 19
+POSTINGS = 1 << 18
 #: Frequent shingles that order the lists: 16 bytes each reach every executor.
 FREQUENT = 500_000
 #: Ids up to this number are broadcast to pick their texts: 8 bytes each; more are shuffled.
@@ -115,6 +115,7 @@ def similar_lengths(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | bo
     return 100 * np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)
 
 
+@releasing
 def digest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, n, digest, node) of texts and (h, count) of a chunk's frequent shingles."""
     names = ["doc_id", "n", "digest", "node", "h", "count"]
@@ -153,6 +154,7 @@ def digest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
+@releasing
 def posting_pass(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """Short-list postings of each set, packed by bucket of the shingle; kind 1: members of lists that are long in this task alone."""
     often, rank = frequent
@@ -242,6 +244,8 @@ def merge_lists(bucket: pd.DataFrame) -> pd.DataFrame:
     pair = np.array(pairs, np.int64).reshape(-1, 4)
     many = np.concatenate(far) if far else np.empty(0, POSTING)
     one = pd.DataFrame({"h": pd.array([None] * len(pair), "Int64"), "a": pair[:, 0], "b": pair[:, 1], "n": pair[:, 2], "p": pair[:, 3]})
+    del pairs
+    release()
     two = pd.DataFrame({"h": many["h"], "a": many["v"], "b": 0, "n": many["n"], "p": many["p"]})
     return pd.concat([one, two.astype({"h": "Int64"})], ignore_index=True)
 
@@ -251,6 +255,7 @@ def signature(s: np.ndarray, bits: int) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1).tobytes()
 
 
+@releasing
 def signature_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of texts with their node v: size, signature and, of large sets, the finer one."""
     for b in batches:
@@ -260,12 +265,14 @@ def signature_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("v"), pa.array([s.size for s in sets], pa.int64()), coarse, fine], ["v", "n", "bits", "fine"])
 
 
+@releasing
 def sets_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = shingle_sets(texts_of(b.column("text")))
         yield pa.RecordBatch.from_arrays([b.column("v"), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "s"])
 
 
+@releasing
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose signatures don't rule out a link: the overlap is at most half of both sizes less what differs."""
     for b in batches:
@@ -289,6 +296,7 @@ def linking(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * common >= SIMILARITY * (s.size + t.size - common)
 
 
+@releasing
 def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows ordered by a and block, each hub's own set (b null) first: the pairs that link. One set is held at a time."""
     now, hubs = None, []
@@ -460,6 +468,7 @@ def tile_pairs(many: DataFrame, labels: DataFrame, signatures: DataFrame, keep:
     return keep(tiles.mapInArrow(compared, "a long, b long").distinct(), "rest")
 
 
+@releasing
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of tiles, row after row: the pairs that no bound rules out. A tile has at most some thousands of nodes."""
     now, held = None, []

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import joined_batches, spread, text_batches, texts_of, vocabulary, written
+from tidegate.llm.common import joined_batches, releasing, spread, text_batches, texts_of, vocabulary, written
 
 #: Bytes of text whose distinct segments are encoded together.
 TOGETHER = 12 << 20
@@ -108,6 +108,7 @@ def lengths(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", text_col:
     """n_tokens of all rows."""
     text_batches(docs.sparkSession)
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = load(tokenizer)
         for b in joined_batches(batches, TOGETHER):

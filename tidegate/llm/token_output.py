@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import fresh_path, joined_batches, text_batches, texts_of, written
+from tidegate.llm.common import fresh_path, joined_batches, releasing, text_batches, texts_of, written
 from tidegate.llm.token_counts import TOGETHER, load
 
 SEQUENCE = 512
@@ -76,6 +76,7 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def counted(rows: DataFrame, tokenizer: str, length: int) -> list[tuple[int, int]]:
     """(task, its sequences): two numbers for each task come to the driver."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = load(tokenizer), 0
         for b in joined_batches(batches, TOGETHER):
@@ -89,6 +90,7 @@ def sequences(rows: DataFrame, first: dict[int, int], size: int, tokenizer: str,
     """slot, record of each sequence."""
     shared = rows.sparkSession.sparkContext.broadcast(first)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = load(tokenizer)
         end = struct.pack("<H", known.end)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import text_batches
+from tidegate.llm.common import release, text_batches
 
 WINDOW, STRIDE = 64, 48
 #: Bounds of the labelled sample: documents of label 1 and of label 0, first ones by the hash of their ids.
@@ -42,7 +42,7 @@ CHOICES = 4
 HELD_OUT = 5
 THRESHOLD = 0.5
 #: Word projections that a Python worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 STRIP = b".,;:!?|\"'()[]*"
 
 
@@ -126,9 +126,9 @@ class Network:
     def logits(self, windows: np.ndarray) -> np.ndarray:
         """Of windows of table rows; 0 pads."""
         out = np.empty(len(windows), np.float32)
-        for i in range(0, len(windows), 2048):
-            w = windows[i : i + 2048]
-            out[i : i + 2048] = self.forward(self.table[w], w > 0)[0]
+        for i in range(0, len(windows), 512):
+            w = windows[i : i + 512]
+            out[i : i + 512] = self.forward(self.table[w], w > 0)[0]
         return out
 
     def forward(self, x: np.ndarray, live: np.ndarray, keep: bool = False):
@@ -331,6 +331,7 @@ def score_column(spark: SparkSession, net: Network | None, text: Column) -> Colu
         finally:
             if model is not None:
                 model.forget()
+            release()
 
     return score(text)
 
