@@ -3,12 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
-from tidegate.operators import audits, disclose, features, gate, identity, intervals, metrics, nearest, rules, runs, sampling
+from tidegate.operators import audits, disclose, features, gate, identity, intervals, metrics, nearest, ranks, rules, runs, sampling
 from tidegate.sources import readers
 from tidegate.streaming import incremental
 
@@ -293,3 +294,27 @@ def test_small_exclusions_merge(spark):
         got.setdefault(r["site"], []).append((r["step"], r["unit"], r["n_excluded"], r["n_remaining"]))
     assert got == {s: plain_flow(x, 11) for s, x in sites.items()}
     assert all(x[2] is None or x[2] >= 11 for s, lines in got.items() for x in lines if x[3] is not None)
+
+
+def test_ranks_of_a_group_over_many_partitions(spark):
+    rng = random.Random(2)
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"s{i % 7}", rng.randrange(40), i, None if i % 11 == 0 else rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "site string, day int, id long, x double").repartition(7)
+    got = ranks.ranked(df, ["site"], [F.desc("day"), "id"], ("day",)).withColumn("tile", ranks.ntile(7)).collect()
+    by = {}
+    for site, day, i, _ in rows:
+        by.setdefault(site, []).append((-day, i))
+    for site, members in by.items():
+        want, total, n = {}, 0, len(members)
+        for k, (day, i) in enumerate(sorted(members)):
+            total -= day
+            base, more = divmod(n, 7)
+            tile = k // (base + 1) if k < more * (base + 1) else more + (k - more * (base + 1)) // max(base, 1)
+            want[i] = (k + 1, n, total, tile + 1)
+        assert {r["id"]: (r["_rank"], r["_size"], r["_sum_day"], r["tile"]) for r in got if r["site"] == site} == want
+    parts = ranks.ranked(df, ["site"], ["day", "id"]).filter("site = 'hot'").select(F.floor(F.col("_rank") / 400)).distinct().count()
+    assert parts >= 4
+    q = {r["site"]: (r["n"], r["m"], r["h"]) for r in ranks.quantiles(df, ["site"], "x", {"m": 0.5, "h": 0.9}).collect()}
+    for site in by:
+        x = [v for s, _, _, v in rows if s == site and v is not None]
+        assert q[site][0] == len(x) and np.allclose(q[site][1:], np.quantile(x, [0.5, 0.9]))

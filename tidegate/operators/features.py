@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.operators import ranks
 from tidegate.operators.gate import checked
 
 
@@ -100,5 +101,8 @@ def binned(rows: DataFrame, metric: str, site: str, bins: str) -> DataFrame:
 
 def quantiles(rows: DataFrame, by: str, value: str, qs: tuple[float, ...] = (0.25, 0.5, 0.75), least: int = 11) -> DataFrame:
     """Linear quantiles of groups with enough rows; others get none."""
-    out = rows.groupBy(by).agg(F.count(value).alias("n"), F.percentile(value, [F.lit(q) for q in qs][0]).alias("_0") if len(qs) == 1 else F.expr(f"percentile({value}, array({', '.join(map(str, qs))}))").alias("_q"))
-    return out.select(by, "n", *[F.when(F.col("n") >= least, F.get("_q", F.lit(i))).alias(f"q{round(100 * q)}") for i, q in enumerate(qs)])
+    names = {f"q{round(100 * q)}": q for q in qs}
+    known = ranks.quantiles(rows, [by], value, names)
+    groups = rows.select(F.col(by).alias("_g")).distinct()
+    out = groups.join(known, F.col("_g").eqNullSafe(F.col(by)), "left")
+    return out.select(F.col("_g").alias(by), F.coalesce("n", F.lit(0)).alias("n"), *[F.when(F.col("n") >= least, F.col(q)).alias(q) for q in names])

@@ -22,17 +22,18 @@ def compacted(raw: DataFrame, open_when: str, open_days: int) -> DataFrame:
 
 
 def backward_as_of(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """For each point (entity_id, point_id, t), the interval that started last at or before it, if it hasn't ended by then."""
-    x = intervals.select("entity_id", "interval_id", "t_start", "t_end")
-    last = (
-        points.join(x, "entity_id")
-        .filter(F.col("t_start") <= F.col("t"))
-        .groupBy("point_id")
-        .agg(F.max(F.struct("t_start", "interval_id", "t_end")).alias("m"))
-    )
-    return points.join(last, "point_id", "left").select(
-        "point_id", F.when(F.coalesce(F.col("m.t_end") >= F.col("t"), F.lit(False)), F.col("m.interval_id")).alias("interval_id")
-    )
+    """For each point (entity_id, point_id, t), the interval that started last at or before it, if it hasn't ended by then.
+
+    Points and starts of an entity are put in one order of time, and each point takes the last start before it: no pairs are made.
+    """
+    no = F.lit(None)
+    started = F.struct("t_start", "interval_id", "t_end")
+    starts = intervals.select("entity_id", F.col("t_start").alias("_t"), F.lit(0).alias("_kind"), F.col("interval_id").alias("_id"), started.alias("_m"), no.cast(points.schema["point_id"].dataType).alias("point_id"))
+    wanted = points.select("entity_id", F.col("t").alias("_t"), F.lit(1).alias("_kind"), no.cast(intervals.schema["interval_id"].dataType).alias("_id"), no.cast(starts.schema["_m"].dataType).alias("_m"), "point_id")
+    order = Window.partitionBy("entity_id").orderBy("_t", "_kind", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = starts.filter("_t IS NOT NULL").unionByName(wanted).withColumn("_last", F.last("_m", ignorenulls=True).over(order)).filter("_kind = 1")
+    open_still = F.col("entity_id").isNotNull() & F.coalesce(F.col("_last.t_end") >= F.col("_t"), F.lit(False))
+    return last.select("point_id", F.when(open_still, F.col("_last.interval_id")).alias("interval_id"))
 
 
 def covering(points: DataFrame, intervals: DataFrame, slack_h: float, long_h: float = 24.0) -> DataFrame:
@@ -42,9 +43,12 @@ def covering(points: DataFrame, intervals: DataFrame, slack_h: float, long_h: fl
     j = j.filter((hours_between("t", "t_start") <= slack) & (hours_between("t_end", "t") <= slack))
     exact = (F.col("t_start") <= F.col("t")) & (F.col("t_end") >= F.col("t"))
     long = hours_between("t_start", "t_end") >= long_h
-    order = Window.partitionBy("point_id").orderBy((~exact).cast("int"), (~long).cast("int"), (F.col("t_start") > F.col("t")).cast("int"), "class_rank", F.desc("t_start"), "interval_id")
-    best = j.withColumn("cover", F.when(exact, "exact").otherwise("slack")).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return points.select("point_id").join(best.select("point_id", "interval_id", "t_start", "cover"), "point_id", "left")
+    late = -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("t_start"))
+    key = F.struct((~exact).alias("a"), (~long).alias("b"), (F.col("t_start") > F.col("t")).alias("c"), F.col("class_rank").alias("d"), late.alias("e"), F.col("interval_id").alias("f"))
+    row = F.struct("interval_id", "t_start", F.when(exact, "exact").otherwise("slack").alias("cover"))
+    # the best row is an aggregate: it combines before the shuffle
+    best = j.groupBy("point_id").agg(F.min_by(row, key).alias("_b")).select(F.col("point_id").alias("_p"), "_b.*")
+    return points.select("point_id").join(best, F.col("point_id") == F.col("_p"), "left").drop("_p")
 
 
 def chained_start(matches: DataFrame, intervals: DataFrame, gap_h: float, acute: str = "true") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import portable_hash
+from tidegate.operators import ranks
 
 
 def fitted(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
@@ -55,18 +56,16 @@ def out_of_fold(rows: DataFrame, columns: list[str], y: str, fold: str, entity:
 
 def drawn_roles(rows: DataFrame, site: str, entity: str, dev: float, seed: int) -> DataFrame:
     """role dev for the first rounded share of each site by hash, eval for the rest."""
-    w = Window.partitionBy(site).orderBy(portable_hash(F.lit(str(seed)), F.col(entity).cast("string")), entity)
-    n = F.count("*").over(Window.partitionBy(site))
-    return rows.withColumn("role", F.when(F.row_number().over(w) <= F.round(n * dev), "dev").otherwise("eval"))
+    placed = ranks.ranked(rows.withColumn("_h", portable_hash(F.lit(str(seed)), F.col(entity).cast("string"))), [site], ["_h", entity])
+    return placed.withColumn("role", F.when(F.col("_rank") <= F.round(F.col("_size") * dev), "dev").otherwise("eval")).drop("_h", "_rank", "_size")
 
 
 def permuted(rows: DataFrame, within: list[str], entity: str, value: str, seed: int) -> DataFrame:
     """value dealt anew within groups: the row that is k-th by id gets the value of the k-th by hash."""
-    by_id = Window.partitionBy(*within).orderBy(entity)
-    by_hash = Window.partitionBy(*within).orderBy(portable_hash(F.lit(str(seed)), F.col(entity).cast("string")), entity)
-    a = rows.drop(value).withColumn("_k", F.row_number().over(by_id))
-    b = rows.select(*within, F.col(value), F.row_number().over(by_hash).alias("_k"))
-    return a.join(b, [*within, "_k"]).drop("_k")
+    a = ranks.ranked(rows.drop(value), within, [entity]).drop("_size")
+    hashed = rows.select(*within, entity, value, portable_hash(F.lit(str(seed)), F.col(entity).cast("string")).alias("_h"))
+    b = ranks.ranked(hashed, within, ["_h", entity]).select(*within, value, "_rank")
+    return a.join(b, [*within, "_rank"]).drop("_rank")
 
 
 def concentration(deltas: DataFrame, site: str) -> DataFrame:

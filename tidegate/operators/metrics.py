@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import log_loss, portable_hash
+from tidegate.operators import ranks
+from tidegate.sources.shared import written
 
 
 def auroc(rows: DataFrame, by: list[str], y: str = "y", score: str = "p") -> DataFrame:
@@ -100,8 +102,8 @@ def bootstrap_means(rows: DataFrame, site: str, value: str, replicates: int, see
     assert mode in MODES, f"mode must be one of {MODES}"
     if mode == "cluster":
         return drawn_sites(rows, site, value, replicates, seed).groupBy("rep").agg((F.sum("total") / F.sum("n")).alias("mean"))
-    w = Window.partitionBy(site).orderBy("entity")
-    numbered = rows.select(site, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("row"), F.count("*").over(Window.partitionBy(site)).alias("n"))
+    placed = ranks.ranked(rows.select(site, "entity", value), [site], ["entity"])
+    numbered = written(placed.select(site, F.col(value).alias("v"), (F.col("_rank") - 1).alias("row"), F.col("_size").alias("n")), "numbered")
     slots = numbered.select(site, F.col("row").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // PIECE))).alias("piece"))
     slots = slots.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), site, "slot", "piece")
     if mode == "two_stage":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.operators import ranks
+
 from tidegate.functions.expressions import hours_between
 
 
@@ -44,17 +46,17 @@ def day_islands(days: DataFrame, least: int, bridge: int = 1) -> DataFrame:
 
 def rank_bins(rows: DataFrame, site: str, order: tuple[str, ...], bins: int) -> DataFrame:
     """bin = floor(rank0 * bins / n) per site: sizes differ from ntile's."""
-    w = Window.partitionBy(site).orderBy(*order)
-    return rows.withColumn("bin", F.floor((F.row_number().over(w) - 1) * bins / F.count("*").over(Window.partitionBy(site))).cast("int"))
+    r = ranks.ranked(rows, [site], list(order))
+    return r.withColumn("bin", F.floor((F.col("_rank") - 1) * bins / F.col("_size")).cast("int")).drop("_rank", "_size")
 
 
 def tenths(rows: DataFrame, site: str, order: tuple[str, ...]) -> DataFrame:
-    return rows.withColumn("tenth", F.ntile(10).over(Window.partitionBy(site).orderBy(*order)))
+    return ranks.ranked(rows, [site], list(order)).withColumn("tenth", ranks.ntile(10)).drop("_rank", "_size")
 
 
 def late_holdout(rows: DataFrame, site: str, seconds: str, fraction: float, embargo_s: float) -> DataFrame:
     """role test from the site's late quantile on, train before it less the embargo, else none."""
-    cut = rows.groupBy(site).agg(F.percentile(seconds, F.lit(1 - fraction)).alias("cut"))
+    cut = ranks.quantiles(rows, [site], seconds, {"cut": 1 - fraction}).drop("n")
     role = F.when(F.col(seconds) >= F.col("cut"), "test").when(F.col(seconds) < F.col("cut") - embargo_s, "train").otherwise("none")
     return rows.join(cut, site).withColumn("role", role).drop("cut")
 
@@ -69,9 +71,8 @@ def leave_one_out(rows: DataFrame, site: str) -> DataFrame:
 
 def cumulative_risk(rows: DataFrame, site: str) -> DataFrame:
     """Coverage and mean risk of the most confident rows up to each: rows (id, risk, conf), within a site."""
-    w = Window.partitionBy(site).orderBy(F.desc("conf"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count("*").over(Window.partitionBy(site))
-    return rows.select(site, "id", (F.count("*").over(w) / n).alias("coverage"), F.avg("risk").over(w).alias("risk"))
+    r = ranks.ranked(rows.select(site, "id", F.col("risk").cast("double").alias("risk"), "conf"), [site], [F.desc("conf"), "id"], ("risk",))
+    return r.select(site, "id", (F.col("_rank") / F.col("_size")).alias("coverage"), (F.col("_sum_risk") / F.col("_rank")).alias("risk"))
 
 
 def top_values(rows: DataFrame, site: str, value: str, k: int) -> DataFrame:

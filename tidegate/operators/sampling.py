@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import portable_hash
+from tidegate.operators import ranks
 
 
 def allocated(sizes: DataFrame, stratum: str, total: int) -> DataFrame:
@@ -20,9 +21,9 @@ def allocated(sizes: DataFrame, stratum: str, total: int) -> DataFrame:
 def drawn(frame: DataFrame, stratum: str, key: str, takes: DataFrame, seed: int) -> DataFrame:
     """The first rows of each stratum by hash, with inclusion probability and weight."""
     h = portable_hash(F.lit(str(seed)), F.col(key).cast("string"))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(h, key))
-    picked = frame.withColumn("_r", rank).join(takes.select(stratum, "size", "take"), stratum).filter(F.col("_r") <= F.col("take"))
-    return picked.withColumn("inclusion_prob", F.col("take") / F.col("size")).withColumn("weight", F.col("size") / F.col("take")).drop("_r")
+    placed = ranks.ranked(frame.withColumn("_h", h), [stratum], ["_h", key]).drop("_size", "_h")
+    picked = placed.join(takes.select(stratum, "size", "take"), stratum).filter(F.col("_rank") <= F.col("take"))
+    return picked.withColumn("inclusion_prob", F.col("take") / F.col("size")).withColumn("weight", F.col("size") / F.col("take")).drop("_rank")
 
 
 def effective_size(rows: DataFrame, by: list[str], weight: str = "weight") -> DataFrame:
@@ -42,8 +43,8 @@ def assignments(cases: DataFrame, raters: list[str], batch: int, seed: int) -> D
     """Each rater's own order of all cases, in batches. Raters are a short list."""
     each = cases.select("case_id").withColumn("rater", F.explode(F.array(*map(F.lit, raters))))
     h = portable_hash(F.lit(str(seed)), F.col("rater"), F.col("case_id").cast("string"))
-    place = F.row_number().over(Window.partitionBy("rater").orderBy(h, "case_id"))
-    return each.withColumn("place", place).withColumn("batch", F.floor((F.col("place") - 1) / batch).cast("int"))
+    placed = ranks.ranked(each.withColumn("_h", h), ["rater"], ["_h", "case_id"]).withColumn("place", F.col("_rank").cast("int"))
+    return placed.withColumn("batch", F.floor((F.col("place") - 1) / batch).cast("int")).drop("_h", "_rank", "_size")
 
 
 def weighted_prevalence(rows: DataFrame, by: list[str], y: str, weight: str) -> DataFrame:
