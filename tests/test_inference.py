@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegate.operators import inference
+from tidegate.operators import inference, ladder
 
 
 def plain_line(y, x, slope_free=True):
@@ -52,3 +52,19 @@ def test_fleiss_by_hand(spark):
     r = inference.fleiss(spark.createDataFrame(rows, "label string, case long, v int"), "label", "case", "v").first()
     observed, p = np.mean([1, 1, 1 / 3, 1 / 3]), 6 / 12
     assert r["cases"] == 4 and abs(r["kappa"] - (observed - 0.5) / 0.5) < 1e-9 and p == 0.5
+
+
+def test_recalibration_equals_a_plain_fit(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(300):
+        p = float(rng.uniform(0.05, 0.95))
+        rows.append(("a", "dev" if i % 2 else "eval", float(rng.uniform() < 0.3 + 0.4 * p), p))
+    rows += [("thin", "dev", 1.0, 0.7), ("thin", "eval", None, 0.2)]
+    df = spark.createDataFrame(rows, "label string, role string, y double, p double")
+    dev = [(y, p) for g, r, y, p in rows if g == "a" and r == "dev"]
+    y, x = np.array([d[0] for d in dev]), np.log([d[1] / (1 - d[1]) for d in dev])
+    a, b = plain_line(y, x)
+    for r in ladder.recalibrated(df, "label", "role").collect():
+        want = r["p"] if r["label"] == "thin" else 1 / (1 + np.exp(-(a + b * np.log(r["p"] / (1 - r["p"])))))
+        assert abs(r["recalibrated"] - want) < 1e-6

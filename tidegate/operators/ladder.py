@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions.expressions import portable_hash
-from tidegate.operators import ranks
+from tidegate.functions.expressions import log_loss, logit, portable_hash
+from tidegate.operators import inference, ranks
 
 
 def fitted(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
@@ -72,3 +72,40 @@ def concentration(deltas: DataFrame, site: str) -> DataFrame:
     """The largest site's share of all gain, of rows (site, delta); a delta below zero is a gain."""
     gain = deltas.groupBy(site).agg(F.greatest(F.lit(0.0), -F.sum("delta")).alias("g"))
     return gain.agg(F.count("*").alias("sites"), F.try_divide(F.max("g"), F.sum("g")).alias("share"))
+
+
+def recalibrated(rows: DataFrame, label: str, role: str, p: str = "p", y: str = "y", least: int = 20) -> DataFrame:
+    """Adds recalibrated: each label's logit line, fitted on its dev rows, applied to all; p itself where dev has fewer of either outcome.
+
+    Labels are a few; so are the fitted lines.
+    """
+    dev = rows.filter((F.col(role) == "dev") & F.col(y).isNotNull())
+    enough = dev.groupBy(F.col(label).alias("_l")).agg(F.count_if(F.col(y) == 1).alias("_a"), F.count_if(F.col(y) == 0).alias("_b")).filter((F.col("_a") >= least) & (F.col("_b") >= least))
+    lines = inference.calibration_line(dev, label, y, p).join(enough, F.col(label) == F.col("_l")).select("_l", "slope", "intercept")
+    out = rows.join(lines, F.col(label) == F.col("_l"), "left").drop("_l")
+    z = F.col("intercept") + F.col("slope") * logit(F.col(p))
+    return out.withColumn("recalibrated", F.coalesce(1 / (1 + F.exp(-z)), F.col(p))).drop("slope", "intercept")
+
+
+def exposure_accounting(rows: DataFrame, exposures: DataFrame, site: str, entity: str) -> DataFrame:
+    """component, site, n, n_exposed: rows whose entity a component has seen. Rows without a site are counted under null."""
+    seen = exposures.select(F.col("component"), F.col(entity).alias("_e")).distinct()
+    names = exposures.select("component").distinct()
+    totals = rows.groupBy(site).agg(F.count("*").alias("n"))
+    hit = rows.join(seen, F.col(entity) == F.col("_e")).groupBy(F.col("component").alias("_c"), F.col(site).alias("_s")).agg(F.count("*").alias("_k"))
+    every = totals.crossJoin(names)  # components and sites are a few each
+    return every.join(hit, (F.col("component") == F.col("_c")) & F.col(site).eqNullSafe(F.col("_s")), "left").select("component", F.col(site).alias("site"), "n", F.coalesce("_k", F.lit(0)).alias("n_exposed"))
+
+
+def scored_subgroups(rows: DataFrame, masks: dict[str, str], a: str, b: str, y: str) -> DataFrame:
+    """subgroup, n, loss_a, loss_b, delta of the same predictions: nothing is fitted again. A row counts in each subgroup that it is in."""
+    names = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(m), F.lit(False)), F.lit(n)) for n, m in masks.items()]))
+    long = rows.filter(F.col(y).isNotNull()).withColumn("subgroup", F.explode(names))
+    la, lb = F.avg(log_loss(F.col(y), F.col(a))), F.avg(log_loss(F.col(y), F.col(b)))
+    return long.groupBy("subgroup").agg(F.count("*").alias("n"), la.alias("loss_a"), lb.alias("loss_b"), (lb - la).alias("delta"))
+
+
+def aggregate_table(results: DataFrame, by: list[str], n: str, values: list[str], k: int = 11) -> DataFrame:
+    """by, n and values; a row of fewer than k has neither, and says so."""
+    small = F.coalesce(F.col(n) < k, F.lit(True))
+    return results.select(*by, F.when(~small, F.col(n)).alias(n), *[F.when(~small, F.col(v)).alias(v) for v in values], small.alias("suppressed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 from tidegate.operators.disclose import aggregate_only
@@ -78,3 +78,33 @@ def write_report(report: DataFrame, path: str, known_ids: DataFrame | None = Non
 
 def write_records(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+
+
+def object_key(site: Column, folder: Column, session: Column, task: Column) -> Column:
+    """Where a recording lies, from its row alone: folders that lack their prefix get it, sites have their own tree."""
+    sub = F.when(F.lower(folder).startswith("sub-"), folder).otherwise(F.concat(F.lit("sub-"), folder))
+    name = F.format_string("%s_ses-%s_task-%s.edf", sub, session, task)
+    return F.when(site.isNotNull() & folder.isNotNull(), F.concat_ws("/", site, sub, F.concat(F.lit("ses-"), session), name))
+
+
+def primary_parts(parts: DataFrame, window: str, ids: DataFrame, passed: str) -> DataFrame:
+    """One row for each wanted recording (rec_id) of a window: one that passed its checks before others, then the last part."""
+    wanted = parts.filter(F.col("window") == window).join(ids.select("rec_id").distinct(), "rec_id", "left_semi")
+    row = F.struct(*[c for c in wanted.columns if c != "rec_id"])
+    best = wanted.groupBy("rec_id").agg(F.max_by(row, F.struct(F.coalesce(F.expr(passed), F.lit(False)), "part")).alias("r"))
+    return best.select("rec_id", "r.*")
+
+
+def long_ratings(export: DataFrame, case: str, form: str, columns: dict[str, str], codes: dict[str, int]) -> DataFrame:
+    """case, label, value of a flat export: the last form of a case holds, blank ids fall out, unknown codes are null."""
+    kept = export.filter(F.col(case).isNotNull() & (F.trim(F.col(case).cast("string")) != ""))
+    last = kept.groupBy(case).agg(F.max_by(F.struct(*columns), F.col(form)).alias("r")).select(case, *[F.col(f"r.{c}").cast("string").alias(n) for c, n in columns.items()])
+    known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
+    return last.unpivot(case, list(columns.values()), "label", "code").select(case, "label", known[F.col("code")].alias("value"))
+
+
+def listed_ids(lists: DataFrame, columns: list[str], split: str, pattern: str) -> DataFrame:
+    """id, splits, n: every id in any of the path-like columns, and the lists' splits that name it."""
+    cells = lists.select(split, F.explode(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])).alias("cell"))
+    ids = cells.select(split, F.explode(F.regexp_extract_all("cell", F.lit(pattern), F.lit(0))).alias("id"))
+    return ids.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set(split)), ",").alias("splits"), F.count("*").alias("n"))
