@@ -31,10 +31,14 @@ def all_matches(rows: DataFrame, column: str, rules: list[tuple[str, str]], labe
 
 
 def code_hits(rows: DataFrame, column: str, rules: DataFrame) -> DataFrame:
-    """rules (prefix, exclude or null, item): items whose prefix a distinct code has and whose exclusion it doesn't match."""
-    codes = rows.select(F.col(column).alias("_code")).distinct()
-    hit = F.col("_code").startswith(F.col("prefix")) & ~F.coalesce(F.expr("_code RLIKE exclude"), F.lit(False))
-    pairs = codes.join(F.broadcast(rules), hit).select("_code", "item")  # rules are written by hand
+    """rules (prefix, exclude or null, item): items whose prefix a distinct code has and whose exclusion it doesn't match.
+
+    Each code meets the rules by equality of its own prefixes, so that neither side has to be small.
+    """
+    codes = rows.select(F.col(column).alias("_code")).distinct().filter("_code IS NOT NULL")
+    own = F.transform(F.sequence(F.lit(0), F.length("_code")), lambda n: F.substr("_code", F.lit(1), n))
+    r = rules.select(F.col("prefix").alias("_p"), "exclude", "item")
+    pairs = codes.withColumn("_own", F.explode(own)).join(r, F.col("_own") == F.col("_p")).filter(~F.coalesce(F.expr("_code RLIKE exclude"), F.lit(False))).select("_code", "item")
     return rows.join(pairs, F.col(column) == F.col("_code")).drop("_code")
 
 
