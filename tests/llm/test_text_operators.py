@@ -538,8 +538,55 @@ def test_registered_token_output_equals_a_plain_version(spark):
     }
 
 
-def test_pipeline_keeps_columns_and_agrees(spark):
+def test_pipeline_equals_plain_stages(spark, docs):
+    """Each stage on what the one before kept, held to a plain version of its own."""
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    (_, toxic), (_, quality), (_, near), (_, mix), (_, encode) = corpus_pipeline.STAGES
+    net = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    # a plain score takes a second for a long text
+    scores = {r["doc_id"]: plain_score(net, r["text"]) for r in docs.filter("n_chars < 2500").collect()}
+    one = toxic(spark, docs, DATA)
+    kept = one.collect()
+    assert one.columns == docs.columns and {r["doc_id"] for r in kept} & set(scores) == {i for i, p in scores.items() if p < 0.5}
+    two = spark.createDataFrame(kept, docs.schema)
+    kept = quality(spark, two, DATA).collect()
+    for r in two.collect():
+        w, t = ngram_words(r["text"]), r["text"] or ""
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\f\r")]
+        chars, symbols, again = sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines))
+        bad = len(w) < 50 or 100 * plain_repeats(t) > 50 * len(w) or 100 * symbols > 30 * len(w)
+        bad |= len(lines) >= 4 and 100 * again > 50 * len(lines) or not 2 * len(w) <= chars <= 25 * len(w)
+        assert (r in kept) == (not bad)
+    three = spark.createDataFrame(kept, docs.schema)
+    kept = near(spark, three, DATA).collect()
+    groups = plain_groups([(r["doc_id"], r["text"]) for r in three.collect()])
+    assert {r["doc_id"] for r in kept} == {top for _, top in groups.values()} and len(kept) == len({top for _, top in groups.values()})
+    four = spark.createDataFrame(kept, docs.schema)
+    kept = mix(spark, four, DATA).collect()
+    size, taken, target, longest = Counter(), Counter(), {}, Counter()
+    for r in mixing.mixed(four).collect():
+        size[r["doc_id"]], target[r["source"]] = r["size"], r["target"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    for r in kept:
+        taken[r["source"]] += size[r["doc_id"]]
+    assert {tuple(r) for r in kept} <= {tuple(r) for r in four.collect()} and max(Counter(r["doc_id"] for r in kept).values()) <= 3
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1 for s in target)
+    lib = Tokenizer.from_file(bpe.vocabulary("word_bpe_49k.json"))
+    want = Counter()
+    for r in kept:
+        ids = lib.encode(r["text"], add_special_tokens=False).ids
+        want[r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in encode(spark, spark.createDataFrame(kept, docs.schema), DATA).collect()) == want
+
+
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    out = corpus_pipeline.run(spark, DATA)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
-    assert len(corpus_pipeline.STAGES) == 5
+    for name, rows, labels in (("odd", odd, [(4, 1)]), ("empty", empty(spark), [])):
+        folder = tmp_path / name
+        rows.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(folder / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(folder))
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert {r["doc_id"] for r in out.collect()} <= {6, 7}
