@@ -449,10 +449,10 @@ def hub_pairs(many: DataFrame, keep: Scratch) -> DataFrame:
 def tile_pairs(many: DataFrame, labels: DataFrame, signatures: DataFrame, keep: Scratch) -> DataFrame:
     """Pairs (a, b) of different components, one of them not in its list's largest, that may still link by all bounds.
 
-    Any pair that links shares one of its first n - T + 1 shingles at least, so that later places of lists need no tiles.
+    A pair that links and has too few short lists in common shares a long one among the first n - T + c places, wherever it stands
+    there: all of these places take part. At the first such list that it shares, the bound of ``tile`` holds.
     """
-    rows = many.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100))
-    rows = keep(rows.join(labels, rows["v"] == labels["id"], "left").select("h", "v", "n", "p", F.coalesce("component", "v").alias("c")), "labelled")
+    rows = keep(many.join(labels, many["v"] == labels["id"], "left").select("h", "v", "n", "p", F.coalesce("component", "v").alias("c")), "labelled")
     by_component = rows.groupBy("h", "c").agg(F.count("*").alias("k"))
     tops = by_component.groupBy(F.col("h").alias("th")).agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("size"))
     tops = keep(tops.filter("most.k < size").select("th", F.col("most.c").alias("main"), F.ceil(F.col("size") / TILE).alias("nb"), F.ceil((F.col("size") - F.col("most.k")) / TILE).alias("ob")), "tops")
