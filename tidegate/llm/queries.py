@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chat_format, mixing, ngram_join, quality_rules, token_counts, token_output, topk_search, toxicity, warc
+from tidegate.llm import bpe, chat_format, mixing, ngram_join, prefix_trie, quality_rules, token_counts, token_output, topk_search, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,6 +150,36 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.materialised(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    shared = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie.trie(prefix_trie.sequences(rows, conv - conv % 5, shared, 8)).drop("node", "parent")
+
+
+OP11_SQL = """
+WITH i AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, x:
+    list_reduce(list_concat([xor(a, x)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda s, z: xor(s >> 1, 3988292384 * (s & 1))))) % 9 AS h FROM i
+), t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations
+), b AS (
+  SELECT h.c, 0 AS k, p, r, x FROM h JOIN t ON t.c = h.c - h.c % 5 AND p <= h UNION ALL SELECT h.c, 1, p, r, x FROM h JOIN t ON t.c = h.c AND p > h
+), s AS (SELECT i.c, coalesce(q, []) AS q FROM i LEFT JOIN (SELECT c, list({'r': r, 'x': x} ORDER BY k, p) AS q FROM b GROUP BY c) USING (c)),
+e AS (SELECT c, q, unnest(range(len(q) + 1)) AS d FROM s),
+n AS (
+  SELECT q[1:d] AS p, d, min(c) AS c, count(*) AS n, coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (d = len(q)), '') AS m FROM e GROUP BY ALL
+), a AS (
+  SELECT v.p, v.d, count(*) FILTER (u.d = v.d + 1) AS k, count(*) FILTER (NOT EXISTS (SELECT 1 FROM n AS w WHERE w.d = u.d + 1 AND w.p[1:u.d] = u.p)) AS l,
+    sum((u.n - 1) * coalesce(strlen(u.p[u.d].x), 0)) AS b FROM n AS v JOIN n AS u ON u.d >= v.d AND u.p[1:v.d] = v.p GROUP BY v.p, v.d
+)
+SELECT n.c AS conv_id, n.d AS depth, o.c AS parent_conv_id, n.n AS n_convs, k AS n_children, l AS n_leaves, b::bigint AS saved_tokens, sha256(n.m) AS ends_sha256
+FROM n JOIN a ON a.d = n.d AND a.p = n.p LEFT JOIN n AS o ON o.d = n.d - 1 AND o.p = n.p[1:n.d - 1]
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -162,8 +192,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_warc": op9_warc,
         "op10_token_output": op10_token_output,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL, "op11_prefix_trie": OP11_SQL}
