@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chat_format, mixing, ngram_join, prefix_trie, quality_rules, token_counts, token_output, topk_search, toxicity, warc
+from tidegate.llm import bpe, chat_format, mixing, ngram_join, packing, prefix_trie, quality_rules, token_counts, token_output, topk_search, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,6 +180,10 @@ FROM n JOIN a ON a.d = n.d AND a.p = n.p LEFT JOIN n AS o ON o.d = n.d - 1 AND o
 """
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -193,6 +197,7 @@ def queries() -> dict[str, Query]:
         "op9_warc": op9_warc,
         "op10_token_output": op10_token_output,
         "op11_prefix_trie": op11_prefix_trie,
+        "op13_packing": op13_packing,
     }
 
 
