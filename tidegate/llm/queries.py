@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chat_format, mixing, ngram_join, packing, prefix_trie, quality_rules, token_counts, token_output, topk_search, toxicity, warc
+from tidegate.llm import bpe, chat_format, mixing, ngram_join, packing, prefix_trie, quality_rules, spelling, token_counts, token_output, topk_search, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,6 +180,35 @@ FROM n JOIN a ON a.d = n.d AND a.p = n.p LEFT JOIN n AS o ON o.d = n.d - 1 AND o
 """
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"), change=31)
+
+
+OP12_SQL = """
+WITH RECURSIVE c AS (
+  SELECT list(x ORDER BY k) AS c FROM (SELECT k, list_reduce(list_concat([k], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda s, z: xor(s >> 1, 3988292384 * (s & 1))) AS x FROM range(256) AS t(k))
+), r AS (
+  SELECT coalesce(doc_id::varchar, '') || ':' AS i, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), g AS (
+  SELECT w, count(*) AS k, flatten(list_transform(string_split(i || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::bigint] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS u
+  FROM r GROUP BY i, w
+), h AS (
+  SELECT w, k, xor(4294967295, list_reduce(list_concat([4294967295::bigint], u), lambda a, x: xor(a >> 8, c[(xor(a, x) & 255) + 1]))) AS h FROM g, c
+), v AS (
+  SELECT word, sum(k)::bigint AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), d AS (SELECT word, p, word[1:p - 1] || word[p + 1:] AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)),
+e AS (
+  SELECT a.word AS a, b.word AS b FROM d AS a JOIN d AS b ON a.p = b.p AND a.d = b.d AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.d = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.d = v.word
+), f AS (SELECT e.a AS word, count(*) AS n_near, first(v.word ORDER BY v.n DESC, v.word) AS w, max(v.n) AS m FROM e JOIN v ON v.word = e.b GROUP BY e.a),
+o AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN w END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN f USING (word)),
+z AS (SELECT word, word AS y, 0 AS k FROM o UNION ALL SELECT z.word, o.form, k + 1 FROM z JOIN o ON o.word = z.y WHERE o.form IS NOT NULL),
+l AS (SELECT word, max_by(y, k) AS root FROM z GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM o JOIN l USING (word)
+"""
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -197,9 +226,10 @@ def queries() -> dict[str, Query]:
         "op9_warc": op9_warc,
         "op10_token_output": op10_token_output,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_spelling": op12_spelling,
         "op13_packing": op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_topk_search": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_warc": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_spelling": OP12_SQL}
