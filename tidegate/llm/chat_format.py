@@ -1,10 +1,11 @@
 """Chat formatting: schema fingerprints choose declarative mappings into canonical turns.
 
-A fingerprint is the hash of nested field paths, sorted, without values and list positions. Each layout needs some paths, and the
-hash of these is the layout's own: a record or table has the layout if its paths among those hash to it, whatever further fields
-there are. Of several, the one that needs most paths holds. Its mapping says which fields hold prompt, instruction or messages, and
-which role each gets, and turns the record into an array of (role, text); records of unknown layouts come out with null turns and
-their own fingerprint, by which ``unknown`` counts them.
+A fingerprint is the hash of nested field paths, sorted, without values and list positions. Of a record's paths, those that any layout
+knows are hashed, and the layout with that very hash is the record's; fields that no layout knows don't count. Its mapping says which
+fields hold prompt, instruction or messages, and which role each gets, and turns the record into an array of (role, text). A record
+that mixes layouts, such as one with a prompt and both a response and a completion, has no layout, as one of its texts would be lost;
+nor has a list whose items don't all have the mapping's fields. Records without a layout come out with null turns and their own
+fingerprint, by which ``unknown`` counts them. A table with a row for each turn has the one row layout whose columns it has.
 
 The template marks turns with control strings that begin with ``<|``. In a role or text, every run ``<\\...\\|`` gets one backslash
 more, so that no control string can arise; reading takes it off again. Line feeds in roles become a control string.
@@ -82,7 +83,9 @@ def message_list(path: str, role: str, text: str, roles: dict[str, str] | None =
     """SQL of a mapping from a list of messages in the JSON text ``record``."""
     renamed = f"coalesce(element_at(map({', '.join(f"'{a}', '{b}'" for a, b in (roles or {}).items())}), m.r), m.r)" if roles else "m.r"
     parsed = f"from_json(get_json_object(record, '{path}'), 'array<struct<{role}:string,{text}:string>>')"
-    return f"transform(transform({parsed}, m -> struct(m.{role} AS r, m.{text} AS t)), m -> struct(coalesce({renamed}, '') AS role, coalesce(m.t, '') AS text))"
+    items = f"from_json(get_json_object(record, '{path}'), 'array<map<string,string>>')"
+    whole = f"forall({items}, m -> map_contains_key(m, '{role}') AND map_contains_key(m, '{text}'))"
+    return f"if(coalesce({whole}, false), transform(transform({parsed}, m -> struct(m.{role} AS r, m.{text} AS t)), m -> struct(coalesce({renamed}, '') AS role, coalesce(m.t, '') AS text)), NULL)"
 
 
 def single_fields(*fields: tuple[str, str]) -> str:
@@ -111,12 +114,13 @@ LAYOUTS: tuple[tuple[str, str], ...] = (
 
 
 def canonical_records(records: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """conv_id, fingerprint, turns of JSON records of mixed layouts; turns is null where no layout has the fingerprint."""
+    """conv_id, fingerprint, turns of JSON records of many layouts; turns is null where no layout has the hash of the known paths."""
     known = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record")).withColumn("paths", record_paths(F.try_parse_json("record")))
+    layouts = [(example_paths(json.loads(example)), mapping) for example, mapping in LAYOUTS]
+    known = known.withColumn("own", fingerprint(F.array_intersect("paths", F.array(*map(F.lit, sorted(set().union(*[x for x, _ in layouts])))))))
     turns = F.lit(None).cast(TURNS)
-    for needed, mapping in sorted(((example_paths(json.loads(example)), mapping) for example, mapping in LAYOUTS), key=lambda x: len(x[0])):
-        own = fingerprint(F.array_intersect("paths", F.array(*map(F.lit, sorted(needed)))))
-        turns = F.when(own == F.lit(path_hash(needed)), F.expr(mapping).cast(TURNS)).otherwise(turns)
+    for needed, mapping in layouts:
+        turns = F.when(F.col("own") == path_hash(needed), F.expr(mapping).cast(TURNS)).otherwise(turns)
     return known.select("conv_id", fingerprint(F.col("paths")).alias("fingerprint"), turns.alias("turns"))
 
 
@@ -139,8 +143,9 @@ def canonical_rows(rows: DataFrame, layout: tuple[str, str, str, str] | None = N
     A conversation is one value of the result, so that its turns have to meet in one task; only conversations do.
     """
     paths = set(schema_paths(rows.schema))
-    known = {path_hash({f".{c}" for c in x}): x for x in ROW_LAYOUTS}
-    layout = layout or next((y for x in ROW_LAYOUTS if (y := known.get(path_hash(paths & {f".{c}" for c in x})))), None)
+    if layout is None:
+        known = {path_hash({f".{c}" for c in x}): x for x in ROW_LAYOUTS}
+        layout = known.get(path_hash(paths & {f".{c}" for x in ROW_LAYOUTS for c in x}))
     if layout is None:
         raise ValueError(f"no row layout has the field paths {sorted(paths)}")
     conv, turn, role, text = (F.col(f"`{x}`") for x in layout)
