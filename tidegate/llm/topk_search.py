@@ -1,12 +1,13 @@
 """Exact top-k inner products: tiled matrix products of queries and shards, selection per tile, tree merging of top lists.
 
-Queries and candidates are dealt by the hash of their ids into tiles of bounded size; each pair of a query tile and a shard is one
+Queries and candidates are dealt by the hash of their rows into tiles of bounded size; each pair of a query tile and a shard is one
 group, whose scores are a few matrix products in blocks. A tile keeps k candidates of each query, with ties by id; lists of 16
 shards are merged at a time until one is left. Every query meets every shard: that is the stated set of queries against all rows.
 
 Vectors that are null or hold a null or non-finite component take no part. Shorter vectors count as filled up with zeros. Rows that
-share an id count as one, the smallest vector; a null id takes no part. Equal scores go to the smaller id. Scores are exact: floats
-multiply them only where every sum stays below 2**53. Other columns are ignored; an empty table, or one without queries, gives no rows.
+share an id are rows of their own, equal or not: each is a query if its id is, and a candidate for all queries but itself. A null id
+takes no part. Equal scores go to the smaller id. Scores are exact: floats multiply them only where every sum stays below 2**53. Other
+columns are ignored; an empty table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ FAN_IN = 16
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id, q: floor(scale * x) of each component as a double."""
+    """row, vec_id, q: floor(scale * x) of each component as a double, and a number of the row, to be written before it is used twice."""
     good = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = named.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(good, F.lit(False)))
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("q")).groupBy("vec_id").agg(F.min("q").alias("q"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("q"))
 
 
 def matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -41,8 +42,8 @@ def matrix(rows: pd.Series, width: int) -> np.ndarray:
 
 
 def tile_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score: each query's k best of these candidates, without the one of its own id."""
-    columns = ["query_id", "vec_id", "score"]
+    """query, query_id, vec_id, score: each query's k best of these candidates, without its own row."""
+    columns = ["query", "query_id", "vec_id", "score"]
     if queries.empty or candidates.empty:
         return pd.DataFrame({c: pd.Series([], dtype="int64") for c in columns})
     candidates = candidates.sort_values("vec_id")
@@ -51,12 +52,12 @@ def tile_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Data
     bound = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(width, 1)
     kind = np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 62 else object
     q, c = q.astype(kind), c.astype(kind)
-    qid, cid = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+    qid, qrow, cid, crow = (x.to_numpy() for x in (queries["vec_id"], queries["row"], candidates["vec_id"], candidates["row"]))
     out = []
     for i in range(0, len(q), BLOCK_Q):
         best_s, best_v = [[] for _ in qid[i : i + BLOCK_Q]], [[] for _ in qid[i : i + BLOCK_Q]]
         for j in range(0, len(c), BLOCK_C):
-            s, ids = q[i : i + BLOCK_Q] @ c[j : j + BLOCK_C].T, cid[j : j + BLOCK_C]
+            s, ids, rows = q[i : i + BLOCK_Q] @ c[j : j + BLOCK_C].T, cid[j : j + BLOCK_C], crow[j : j + BLOCK_C]
             take = min(k + 1, s.shape[1])
             if kind is object:
                 floor = np.sort(s, 1)[:, -take]
@@ -64,12 +65,12 @@ def tile_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Data
                 floor = np.partition(s, -take, axis=1)[:, -take]
             for r, (row, least) in enumerate(zip(s, floor)):
                 at = np.flatnonzero(row >= least)
-                at = at[np.argsort(-row[at], kind="stable")][:take]
+                at = at[np.argsort(-row[at], kind="stable")]
+                at = at[rows[at] != qrow[i + r]][:k]
                 best_s[r] += row[at].tolist()
                 best_v[r] += ids[at].tolist()
-        for own, ss, vs in zip(qid[i : i + BLOCK_Q].tolist(), best_s, best_v):
-            found = sorted((-int(s), v) for s, v in zip(ss, vs) if v != own)[:k]
-            out += [(own, v, -s) for s, v in found]
+        for number, own, ss, vs in zip(qrow[i : i + BLOCK_Q].tolist(), qid[i : i + BLOCK_Q].tolist(), best_s, best_v):
+            out += [(number, own, v, -s) for s, v in sorted((-int(s), v) for s, v in zip(ss, vs))[:k]]
     return pd.DataFrame(out, columns=columns)
 
 
@@ -78,22 +79,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = written(quantised(vectors, id_col, vector_col), "vectors")
     n, m = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     tiles, shards = -(-m // QUERIES) or 1, -(-n // SHARD) or 1
-    queries = rows.filter(is_query).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
+    queries = rows.filter(is_query).withColumn("tile", F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int"))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
-    candidates = rows.select(F.col("vec_id").alias("cand_id"), F.col("q").alias("cand_q"), shard.alias("cand_shard"))
+    shard = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shards)).cast("int")
+    candidates = rows.select(F.col("row").alias("cand_row"), F.col("vec_id").alias("cand_id"), F.col("q").alias("cand_q"), shard.alias("cand_shard"))
     candidates = candidates.withColumn("cand_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
 
     def tile(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = tile_top(a, b.rename(columns={"cand_id": "vec_id", "cand_q": "q"}), k)
+        out = tile_top(a, b.rename(columns={"cand_row": "row", "cand_id": "vec_id", "cand_q": "q"}), k)
         out["shard"] = key[1]
         return out
 
-    lists = queries.groupBy("tile", "shard").cogroup(candidates.groupBy("cand_tile", "cand_shard")).applyInPandas(tile, "query_id long, vec_id long, score long, shard int")
+    lists = queries.groupBy("tile", "shard").cogroup(candidates.groupBy("cand_tile", "cand_shard")).applyInPandas(tile, "query long, query_id long, vec_id long, score long, shard int")
     while True:
         shards = -(-shards // FAN_IN)
         lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN_IN).cast("int"))
-        order = Window.partitionBy("query_id", "shard").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("query", "shard").orderBy(F.desc("score"), "vec_id")
         lists = lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         if shards == 1:
             return lists.select("query_id", "rank", "vec_id", "score")
