@@ -4,8 +4,9 @@ Every rule is evaluated once over each whole text; the ledger holds the measurem
 policy is a version, a mask of the rules that count and how many of them may fail: applying another policy, or asking what each
 rule alone takes away, needs the masks only.
 
-Null and empty texts have no words and fail the rule on the number of words. Repeated rows get equal ledgers. Columns of the input
-stay as they are, but for those that the ledger itself names, which it replaces.
+Null and empty texts have no words and fail the rule on the number of words. Very long texts are measured whole, within their row.
+Repeated rows get equal ledgers. A rule on a rate holds at its limit: only what exceeds it fails. Columns of the input stay as they
+are, whatever they are called, but for those that the ledger itself names, which it replaces. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import SPACES, WORD
+from tidegate.llm.common import SPACES, WORD, unused
 
 
 @dataclass(frozen=True)
@@ -60,33 +61,34 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     within the row, so that nothing is shuffled: equal neighbours mark their places, and each place covers three positions less
     what the next one covers too.
     """
-    text, c = F.coalesce(F.col(text_col), F.lit("")), F.col
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words, lines, triples, ordered, places = (unused(docs, x) for x in ("_words", "_lines", "_triples", "_ordered", "_places"))
     staged = docs.withColumns(
         {
-            "_w": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
-            "_l": F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0),
+            words: F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
+            lines: F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0),
         }
     )
     windows = F.transform(
-        F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))
+        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
     )
-    staged = staged.withColumn("_t", windows)
-    ordered = F.sort_array(F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    staged = staged.withColumn("_o", F.when(F.size(F.array_distinct("_t")) < F.size("_t"), ordered))
-    twice = F.filter("_o", lambda x, i: (F.get("_o", i - 1)["t"] == x["t"]) | (F.get("_o", i + 1)["t"] == x["t"]))
-    staged = staged.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    covered = F.zip_with("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+    staged = staged.withColumn(triples, windows)
+    in_order = F.sort_array(F.transform(triples, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    staged = staged.withColumn(ordered, F.when(F.size(F.array_distinct(triples)) < F.size(triples), in_order))
+    twice = F.filter(ordered, lambda x, i: (F.get(ordered, i - 1)["t"] == x["t"]) | (F.get(ordered, i + 1)["t"] == x["t"]))
+    staged = staged.withColumn(places, F.sort_array(F.transform(twice, lambda x: x["i"])))
+    covered = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     measures = {
-        "n_words": F.size("_w"),
+        "n_words": F.size(words),
         "word_chars": F.length(F.translate(text, SPACES, "")),
         "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
-        "n_lines": F.size("_l"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)),
     }
     # out of a generator, below which Spark can't push a filter: pushed, it would repeat every measurement inside it
     one = F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])))
-    return staged.select(*[f"`{x}`" for x in docs.columns if x not in measures], one)
+    return staged.select(*[f"`{x}`" for x in docs.columns if x.lower() not in measures], one)
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
