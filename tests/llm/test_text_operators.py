@@ -183,6 +183,27 @@ def test_chat_layouts_and_round_trip(spark):
         chat_format.canonical_rows(long.drop("role"))
 
 
+def test_chat_layouts_that_would_lose_texts_are_unknown(spark):
+    message = {"role": "user", "content": "t"}
+    odd = [
+        {"prompt": "p", "response": "r", "completion": "c"},
+        {"messages": [message, {"from": "human", "value": "lost"}]},
+        {"messages": [message, "text"]},
+        {"messages": [message, {"role": "user"}]},
+        {"messages": [message], "system": "s"},
+        {"conversations": [{"from": "human", "value": "h"}], "prompt": "p", "response": "r"},
+        {"instruction": "i", "output": "o", "answer": "a"},
+    ]
+    fine = [{"messages": [message, {"role": "x", "content": "y", "value": "z"}]}, {"messages": [{"role": None, "content": None}]}, {"system": "s", "prompt": "p", "response": "r", "more": {"a": 1}}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(odd + fine)], "conv_id long, record string")
+    done = chat_format.canonical_records(df, "conv_id", "record")
+    turns = {r["conv_id"]: r["turns"] for r in done.collect()}
+    assert all(turns[i] is None for i in range(len(odd))) and [len(turns[len(odd) + i]) for i in range(3)] == [2, 1, 3]
+    assert sum(r["n"] for r in chat_format.unknown(done).collect()) == len(odd)
+    with pytest.raises(ValueError, match="no row layout"):  # which column holds the text can't be told
+        chat_format.canonical_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string, content string"))
+
+
 def plain_groups(rows):
     """Class of each id, by comparing all pairs that share a shingle."""
     sets = {}
@@ -363,17 +384,16 @@ def test_top_k(spark):
     v = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)] + [(i, [0.5] * 6) for i in range(300, 340)]
     v += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, [9.0]), (405, []), (50, [0.1] * 6), (None, [1.0])]
     got = topk_search.top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")), F.col("vec_id") % 50 == 0, 5).collect()
-    q = {}
-    for i, x in v:
-        if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x):
-            y = [int(np.floor(256 * c)) for c in x]
-            q[i] = min(q.get(i, y), y)
-    want = set()
-    for i in q:
+    q = [(i, [int(np.floor(256 * c)) for c in x]) for i, x in v if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    want = Counter()
+    for a, (i, x) in enumerate(q):
         if i % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:5]
-            want |= {(i, r + 1, j, -z) for r, (z, j) in enumerate(s)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+            s = sorted((-sum(c * d for c, d in zip(x, y)), j) for b, (j, y) in enumerate(q) if b != a)[:5]
+            want.update((i, r + 1, j, -z) for r, (z, j) in enumerate(s))
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+    same = spark.createDataFrame([(7, [1.0]), (7, [2.0]), (50, [1.0]), (50, [3.0]), (50, [3.0])], "vec_id long, embedding array<double>")
+    got = topk_search.top_k(same, F.col("vec_id") % 50 == 0, 5).collect()
+    assert len(got) == 12 and Counter(r["vec_id"] for r in got) == {7: 6, 50: 6}
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -401,10 +421,24 @@ def test_bpe_equals_the_library(spark, odd, docs):
     assert bpe.decode_ids(bpe.encode_ids(one)).first()["text"] == "hello , wörld 😀 <|endoftext|>"
 
 
+def test_bpe_runs_every_word_through_windows(monkeypatch):
+    b = bpe.load("word_bpe_49k.json")
+    rng = random.Random(6)
+    words = ["a", "sorting", "é" * 40] + ["".join(rng.choice("aeinorst") for _ in range(n)) for n in (63, 64, 65, 681, 682, 683, 700, 1500, 5000)]
+    want = [np.array(list(b.transduce(b.symbols(w))), "<u4").tobytes() for w in words]
+    assert b.transduce_many(words) == want and b.transduce_many([]) == []
+    before = b.encode("some sorting words").tolist()
+    monkeypatch.setattr(b, "emitted", lambda ids, n, final: (ids, np.arange(ids.shape[1]) < n[:, None], n))
+    b.known.clear()
+    assert b.encode("some sorting words").tolist() != before
+    b.known.clear()
+
+
 def test_bpe_streams_with_bounded_memory():
     b = bpe.load("word_bpe_49k.json")
     word = [b.inner[x] for x in (b"abcing" * 700)[:4_000]]
-    assert list(b.transduce(iter(word))) == b.merged(word[:])
+    ids, n = b.merge(np.array([[*word, -1]]), np.array([len(word)]))
+    assert list(b.transduce(iter(word))) == ids[0, : n[0]].tolist()
     fed, out = 0, b.transduce(b.inner[97] for _ in iter(int, 1))
     for fed, _ in zip(range(50), out):
         pass
@@ -431,6 +465,10 @@ def test_quality_ledger(spark, docs, odd):
             assert r["n_words"] == len(w) and r["word_chars"] == sum(map(len, w)) and r["n_repeat_words"] == plain_repeats(r["text"])
             assert r["n_symbols"] == sum((r["text"] or "").count(c) for c in "#*$%&|<>") and r["n_dup_lines"] == len(lines) - len(set(lines))
             assert bool(r["failed_rules"] & 3) == (len(w) < 50 or 100 * r["n_repeat_words"] > 50 * len(w))
+    clash = odd.select("*", *[F.lit(c).alias(c) for c in ("_w", "_l", "_words", "_LINES", "_triples", "_ordered", "_places", "failed_rules", "N_lines")])
+    for r in quality_rules.ledger(clash).collect():
+        assert r["_w"] == "_w" and r["_words"] == "_words" and r["_LINES"] == "_LINES" and r["_places"] == "_places" and isinstance(r["failed_rules"], int)
+    assert sorted(r["failed_rules"] for r in quality_rules.ledger(clash).collect()) == sorted(r["failed_rules"] for r in quality_rules.ledger(odd).collect())
     kept = quality_rules.passing(odd)
     assert kept.columns == odd.columns and {r["n_words"] for r in kept.collect()} <= {"clash"}
     rows = quality_rules.ledger(docs)

@@ -2,10 +2,11 @@
 
 A merge list decides whether a boundary between two symbols survives by looking a bounded number of symbols to the right of it
 (``sufficient_lookahead``). The transducer therefore keeps a window of a few times that size: whatever ends at least that many
-symbols before the window's end is final and is emitted, whatever the rest of the text says; a word's end makes the rest final. Its
-memory doesn't depend on a word's length. As a word's tokens depend on nothing else, each distinct word of some texts runs through it
-once, and a bounded number of words is remembered between them. Ids are decoded by a byte-to-text state machine, stretch by stretch:
-a stretch may end within a character.
+symbols before the window's end is final and is emitted, whatever the rest of the text says; a word's end makes the rest final. What
+it holds besides the word doesn't depend on the word's length. As a word's tokens depend on nothing else, each distinct word of some
+texts (2 MB at a time) runs through it once, many words' windows side by side as arrays; most words end within their first window. A
+bounded number of words is remembered between texts. Ids are decoded by a byte-to-text state machine, stretch by stretch: a stretch
+may end within a character.
 
 Null texts count as empty; empty texts give no ids and an empty text. Very long texts and words are read whole; what a text takes
 besides itself are its ids. Repeated rows give repeated results; further columns of the input are ignored. An empty table gives an
@@ -42,8 +43,8 @@ OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u20
 REMEMBERED, LONGEST = 150_000, 64
 #: Bytes of text whose distinct words are looked up together; ids that are decoded at a time.
 TOGETHER, STRETCH = 2 << 20, 1 << 15
-#: Words whose windows are merged side by side.
-SIDE = 1 << 12
+#: Words whose windows are merged side by side, and the most symbols of these.
+SIDE, CELLS = 1 << 12, 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -87,56 +88,45 @@ class Bpe:
         self.pretoken = regex.compile(steps[0]["pattern"]["Regex"])
         symbols = byte_symbols()
         self.bytes_of = {c: b for b, c in enumerate(symbols)}
-        self.inner, self.last = [self.ids[c] for c in symbols], [self.ids[c + self.suffix] for c in symbols]
+        self.inner, self.last = np.array([self.ids[c] for c in symbols]), np.array([self.ids[c + self.suffix] for c in symbols])
         rules = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         # pair of ids, as one number -> rank and the id of the merged token, as one number
-        self.merges = {self.ids[a] << 20 | self.ids[b]: rank << 20 | self.ids[a + b] for rank, (a, b) in enumerate(rules)}
-        keys = np.array(sorted(self.merges))
-        self.pair_keys, self.pair_values = np.append(keys, NEVER), np.append([self.merges[k] for k in keys.tolist()], NEVER)
+        merges = {self.ids[a] << 20 | self.ids[b]: rank << 20 | self.ids[a + b] for rank, (a, b) in enumerate(rules)}
+        keys = np.array(sorted(merges))
+        self.pair_keys, self.pair_values = np.append(keys, NEVER), np.append([merges[k] for k in keys.tolist()], NEVER)
         self.lookahead = sufficient_lookahead(rules, lambda t: len(t.removesuffix(self.suffix)))
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.ids)
         self.window = self.lookahead + 4 * self.longest
         self.known: dict[str, bytes] = {}
         everything = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         self.decimals = pa.array([f"{i} ".encode() for i in range(len(everything))], pa.large_binary())
+        #: symbols that each token covers
+        self.sizes = np.array([len(t.removesuffix(self.suffix)) for t in everything])
         self.names = pa.array([f"{t} ".encode() for t in everything], pa.large_binary())
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """The merge list applied to a few symbols: the rule of lowest rank first, leftmost first."""
-        get, none = self.merges.get, NEVER
-        ranks, a = [], None
-        for b in ids:
-            if a is not None:
-                ranks.append(get(a << 20 | b, none))
-            a = b
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best & 0xFFFFF]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
-        return ids
-
     def transduce(self, symbols: Iterable[int]) -> Iterator[int]:
         """Token ids of one word's symbols, each as soon as no later symbol can change it."""
         window: list[int] = []
         for s in symbols:
             if len(window) == self.window:
-                used, stable = 0, self.window - self.lookahead
-                for t in self.merged(window[:]):
-                    n = len(self.tokens[t].removesuffix(self.suffix))
-                    if used + n > stable:
-                        break
-                    yield t
-                    used += n
-                del window[:used]
+                ids, emit, used = self.emitted(np.array([[*window, -1]]), np.array([self.window]), np.array([False]))
+                yield from ids[emit].tolist()
+                del window[: int(used[0])]
             window.append(s)
-        yield from self.merged(window)
+        if window:
+            ids, emit, _ = self.emitted(np.array([[*window, -1]]), np.array([len(window)]), np.array([True]))
+            yield from ids[emit].tolist()
+
+    def emitted(self, ids: np.ndarray, n: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows, rows of n symbols padded with -1: their tokens, those that are final, and the symbols that these cover.
+
+        Where a word doesn't end with its window, what ends ``lookahead`` symbols before the window's end is final.
+        """
+        ids, n = self.merge(ids, n)
+        counts = np.arange(ids.shape[1]) < n[:, None]
+        cover = np.where(counts, self.sizes[ids], 0).cumsum(1)
+        emit = counts & (final[:, None] | (cover <= self.window - self.lookahead))
+        return ids, emit, np.where(emit, cover, 0).max(1, initial=0)
 
     def pretokens(self, word: str) -> list[str]:
         """Of a text without spaces: runs of letters, single digits, runs of other characters, contractions."""
@@ -149,22 +139,36 @@ class Bpe:
         return self.pretoken.findall(word)
 
     def symbols(self, pretoken: str) -> list[int]:
-        raw = pretoken.encode()
-        out = [self.inner[b] for b in raw]
-        out[-1] = self.last[raw[-1]]
-        return out
+        raw = np.frombuffer(pretoken.encode(), np.uint8)
+        return [*self.inner[raw[:-1]].tolist(), int(self.last[raw[-1]])]
 
-    def flush_many(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """What ``transduce`` gives for many words that end within their first window: ids in rows padded with -1, and how many count."""
+    def transduce_many(self, pretokens: list[str]) -> list[bytes]:
+        """What ``transduce`` gives for many words, window after window: ids of each as little-endian 32-bit numbers."""
         raw = [p.encode() for p in pretokens]
-        n = np.fromiter(map(len, raw), np.int64, len(raw))
-        width, ends, flat = int(n.max()), n.cumsum(), np.frombuffer(b"".join(raw), np.uint8)
-        symbols = np.asarray(self.inner)[flat]
-        symbols[ends - 1] = np.asarray(self.last)[flat[ends - 1]]
-        ids = np.full((len(raw), width + 1), -1, np.int64)
-        ids[np.arange(width + 1) < n[:, None]] = symbols
+        ends = np.cumsum([len(x) for x in raw])
+        at, flat = np.r_[0, ends[:-1]], np.frombuffer(b"".join(raw), np.uint8)
+        out, todo = [b""] * len(raw), np.arange(len(raw))
+        while todo.size:
+            n = np.minimum(ends[todo] - at[todo], self.window)
+            final = at[todo] + n == ends[todo]
+            place = np.arange(int(n.max()) + 1)
+            inside = place < n[:, None]
+            ids = np.full(inside.shape, -1, np.int64)
+            ids[inside] = self.inner[flat[(at[todo][:, None] + place)[inside]]]
+            ids[final, n[final] - 1] = self.last[flat[ends[todo][final] - 1]]
+            ids, emit, used = self.emitted(ids, n, final)
+            data, cut = ids[emit].astype("<u4").tobytes(), (4 * emit.sum(1).cumsum()).tolist()
+            for k, x, y in zip(todo.tolist(), [0, *cut], cut):
+                out[k] += data[x:y]
+            at[todo] += used
+            todo = todo[~final]
+        return out
+
+    def merge(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merge list applied to rows of symbols: in each the rule of lowest rank first, leftmost first, until none is left."""
+        n = n.copy()
         ranks = self.ranks(ids[:, :-1], ids[:, 1:])
-        todo, at = np.arange(len(raw)), np.arange(width)
+        todo, at = np.arange(len(ids)), np.arange(ids.shape[1] - 1)
         while todo.size:
             r = ranks[todo]
             j = r.argmin(1)
@@ -192,20 +196,19 @@ class Bpe:
         return np.where((a >= 0) & (b >= 0) & (self.pair_keys[at] == key), self.pair_values[at], NEVER)
 
     def learn(self, pretokens: set[str]) -> dict[str, bytes]:
-        """Ids of pretokens, as little-endian 32-bit numbers: short ones side by side, longer ones symbol by symbol; short ones are remembered."""
+        """Ids of pretokens, as little-endian 32-bit numbers; short ones are remembered."""
         if len(self.known) + len(pretokens) > REMEMBERED:
             self.known.clear()
-        short = sorted((p for p in pretokens if len(p) <= LONGEST), key=len)  # words of like length make narrow tables
-        got = {}
-        for i in range(0, len(short), SIDE):
-            ids, n = self.flush_many(short[i : i + SIDE])
-            data, ends = ids[np.arange(ids.shape[1]) < n[:, None]].astype("<u4").tobytes(), (4 * n.cumsum()).tolist()
-            got |= {p: data[x:y] for p, x, y in zip(short[i : i + SIDE], [0, *ends], ends)}
+        got: dict[str, bytes] = {}
+        side: list[str] = []
+        for p in sorted(pretokens, key=len):  # words of like length make narrow tables
+            if side and (len(side) == SIDE or (len(side) + 1) * min(4 * len(p), self.window) > CELLS):
+                got |= zip(side, self.transduce_many(side))
+                side = []
+            side.append(p)
+        got |= zip(side, self.transduce_many(side))
         if len(got) <= REMEMBERED:
-            self.known |= got
-        for p in pretokens:
-            if len(p) > LONGEST:
-                got[p] = np.array(list(self.transduce(self.symbols(p))), "<u4").tobytes()
+            self.known |= {p: x for p, x in got.items() if len(p) <= LONGEST}
         return got
 
     def words(self, words: list[str]) -> list[bytes]:
