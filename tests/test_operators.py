@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
-from tidegate.operators import audits, disclose, features, gate, identity, intervals, metrics, nearest, ranks, rules, runs, sampling
+from tidegate.operators import audits, disclose, features, flow, gate, identity, intervals, metrics, nearest, ranks, rules, runs, sampling
 from tidegate.sources import readers
 from tidegate.streaming import incremental
 
@@ -252,48 +252,93 @@ def test_features_refuse_what_isnt_gated(spark):
     assert features.matrix(gate.as_of(e, ix), ix, f).count() == 2
 
 
-def plain_flow(steps, k):
-    """Lines [step, unit, excluded, remaining] of one site's flow."""
-    lines, wait, out, n, unit = [], [], 0, None, None
-
-    def last():
-        lines[-1] = [lines[-1][0] + " + " + " + ".join(wait), unit, (lines[-1][2] or 0) + out, n]
-
-    for step, u, left, start in steps:
-        if start or n is None:
-            lines.append([step, u, None, left])
-        else:
-            if wait and u != unit and len(lines) > 1:
-                last()
-                wait, out = [], 0
-            wait, out = [*wait, step], out + n - left
-            if out >= k:
-                lines.append([" + ".join(wait), u, out, left])
-                wait, out = [], 0
-        n, unit = left, u
-    if wait and len(lines) > 1:
-        last()
-    elif wait:
-        lines.append([" + ".join(wait), unit, out, None])
-    return [tuple(x) for x in lines]
-
-
-def test_small_exclusions_merge(spark):
-    rng = random.Random(6)
-    sites = {"tail": [("a", "n", 100, True), ("b", "n", 80, False), ("c", "n", 75, False)], "few": [("a", "n", 50, True), ("b", "n", 48, False), ("c", "n", 45, False)], "unit": [("a", "n", 100, True), ("b", "n", 80, False), ("c", "n", 76, False), ("d", "p", 60, False)]}
-    for i in range(25):
-        left, rows = 300, []
+STEPS = "site string, stage int, step string, unit string, remaining long, start boolean"
+
+
+def some_flows(seed):
+    rng, out = random.Random(seed), []
+    for i in range(30):
+        left = rng.choice([3, 12, 60, 300])
         for j in range(rng.randrange(1, 8)):
-            left -= rng.choice([0, 1, 4, 7, 15, 40]) if j else 0
-            rows.append((f"s{j}", "n" if j < 4 else "p", left, j == 0))
-        sites[f"r{i}"] = rows
-    made_rows = [(s, i, *x) for s, steps in sites.items() for i, x in enumerate(steps)]
-    rng.shuffle(made_rows)
+            left = max(0, left - rng.choice([0, 1, 4, 7, 15, 40])) if j else left
+            out.append((f"r{i}", j, f"s{j}", "n" if j < 4 else "p", left, j == 0))
+    rng.shuffle(out)
+    return out
+
+
+def holds_no_small_count(rows, k):
+    """Neither a shown count nor what two shown remainders leave is between 1 and k - 1."""
+    for r in rows:
+        assert all(v is None or v == 0 or v >= k for v in (r["n_excluded"], r["n_remaining"]))
+    known = [r["n_remaining"] for r in sorted(rows, key=lambda r: r["row"])]
+    for a, b in zip(known, known[1:]):
+        assert a is None or b is None or a - b == 0 or a - b >= k
+
+
+def test_merged_flow_shows_no_small_count(spark):
+    steps = some_flows(6)
+    exact = {(s, name): n for s, _, name, _, n, _ in steps}
+    order = {}
+    for s, _, name, *_ in sorted(steps):
+        order.setdefault(s, []).append(name)
+    got = {}
+    for r in flow.merged_flow(spark.createDataFrame(steps, STEPS), "site", 11).collect():
+        got.setdefault(r["site"], []).append(r)
+    assert set(got) == set(order)
+    for s, rows in got.items():
+        rows.sort(key=lambda r: r["row"])
+        holds_no_small_count(rows, 11)
+        if exact[s, order[s][0]] < 11:
+            assert [(r["step"], r["n_remaining"]) for r in rows] == [("withheld", None)]
+            continue
+        assert [x for r in rows for x in r["step"].split(" + ")] == order[s]  # each step once, in order
+        for a, b in zip(rows, rows[1:]):
+            assert b["n_remaining"] is None or b["n_remaining"] == exact[s, b["step"].split(" + ")[-1]]
+            if b["n_excluded"] is not None:
+                assert b["n_excluded"] == exact[s, a["step"].split(" + ")[-1]] - exact[s, b["step"].split(" + ")[-1]]
+            if b is not rows[-1]:
+                assert b["n_excluded"] is not None  # only a last row is hidden
+    by_hand = [("u", 0, "a", "n", 100, True), ("u", 1, "b", "n", 80, False), ("u", 2, "c", "n", 76, False), ("u", 3, "d", "p", 60, False), ("v", 0, "a", "n", 100, True), ("v", 1, "b", "n", 97, False), ("v", 2, "c", "n", 95, False), ("w", 0, "a", "n", 30, True), ("w", 1, "b", "n", 5, False)]
+    got = flow.merged_flow(spark.createDataFrame(by_hand, STEPS), "site", 11).orderBy("site", "row").collect()
+    assert [tuple(r)[2:] for r in got] == [
+        ("a", "n", None, 100), ("b + c", "n", 24, 76), ("d", "p", 16, 60),  # the unit bars c from d
+        ("a", "n", None, 100), ("b + c", "n", None, None),  # nothing excludes 11
+        ("a", "n", None, 30), ("b", "n", None, None),  # 30 - 25 would tell 5
+    ]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_flow_report_gives_nothing_away_by_subtraction(spark, seed):
+    steps = [x for x in some_flows(seed) if x[0] in {f"r{i}" for i in range(3 + 3 * seed)}]
     got = {}
-    for r in audits.merged_flow(spark.createDataFrame(made_rows, "site string, stage int, step string, unit string, remaining long, start boolean"), "site", 11).orderBy("site", "row").collect():
-        got.setdefault(r["site"], []).append((r["step"], r["unit"], r["n_excluded"], r["n_remaining"]))
-    assert got == {s: plain_flow(x, 11) for s, x in sites.items()}
-    assert all(x[2] is None or x[2] >= 11 for s, lines in got.items() for x in lines if x[3] is not None)
+    for r in flow.flow_report(spark.createDataFrame(steps, STEPS), "site", 11).collect():
+        got.setdefault(r["group"], {})[r["row"]] = r
+    assert "ALL" in got and {s for g in got if g != "ALL" for s in g.split("+")} == {s for s, *_ in steps}
+    for rows in got.values():
+        holds_no_small_count(list(rows.values()), 11)
+    for row, r in got["ALL"].items():
+        for c in ("n_excluded", "n_remaining"):
+            others = [rows[row][c] if row in rows else None for g, rows in got.items() if g != "ALL"]
+            if r[c] is not None and None in others:
+                rest = r[c] - sum(x for x in others if x is not None)
+                assert others.count(None) > 1 and (rest == 0 or rest >= 11)
+
+
+def test_availability_gives_nothing_away(spark):
+    rng = random.Random(4)
+    rows = [(s, i < yes) for s, yes, n in (("a", 40, 90), ("b", 3, 50), ("c", 40, 80)) for i in range(n)]
+    got = {r["site"]: r for r in audits.availability(spark.createDataFrame(rows, "site string, f boolean"), "site", ["f"]).collect()}
+    assert got["b"]["n"] is None and got["b"]["why"] == "low" and got[None]["n"] is None and got[None]["why"] == "linked" and got[None]["total"] == 220
+    for _ in range(6):
+        sizes = {f"s{i}": (rng.choice([0, 5, 12, 40]), rng.choice([0, 5, 12, 40])) for i in range(rng.randrange(1, 5))}
+        rows = [(s, j < yes) for s, (yes, no) in sizes.items() for j in range(yes + no)] or [("s0", True)]
+        cells = audits.availability(spark.createDataFrame(rows, "site string, f boolean"), "site", ["f"]).collect()
+        for c in ("n", "total"):
+            shown = {r["site"]: r[c] for r in cells}
+            assert all(v is None or v >= 11 for v in shown.values())
+            assert shown[None] is None or None not in [v for s, v in shown.items() if s is not None]
+        for r in cells:
+            assert r["n"] is None or r["total"] - r["n"] >= 11
 
 
 def test_ranks_of_a_group_over_many_partitions(spark):

@@ -126,57 +126,23 @@ def role_summary(rows: DataFrame, role: str, positive: str, least: int, ratio: f
     return out.withColumn("enough", (F.col("positives") >= least) & (F.col("controls") >= F.col("positives") * ratio))
 
 
-def merged_flow(steps: DataFrame, site: str, k: int = SMALL) -> DataFrame:
-    """steps (site, stage, step, unit, remaining, start) -> site, row, step, unit, n_excluded, n_remaining.
+def availability(flags: DataFrame, site: str, names: list[str], k: int = SMALL) -> DataFrame:
+    """site (null: pooled), flag, n with the flag, total, share, why: low, high, total or linked, where a cell is hidden, and a bound.
 
-    Exclusions of fewer than k wait for the next step of the same unit; what still waits at a change of unit or at the end joins the row
-    before it. If nothing excludes k, the steps are one row and what remains is withheld. A site's steps are a few: they fold in a row.
+    A cell is hidden if the flag's rows, the others or all are fewer than k, and a pooled one also if a site's is; a total is hidden
+    below k, and the pooled total if a site's is.
     """
-    line = "struct<step:string,unit:string,n_excluded:bigint,n_remaining:bigint>"
-    start = F.struct(
-        F.array().cast(f"array<{line}>").alias("rows"), F.array().cast("array<string>").alias("wait"), F.lit(0).cast("long").alias("out"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("unit")
-    )
-
-    def row(step: Column, unit: Column, out: Column, n: Column) -> Column:
-        return F.struct(step.alias("step"), unit.alias("unit"), out.cast("long").alias("n_excluded"), n.cast("long").alias("n_remaining"))
-
-    def state(rows: Column, wait: Column, out: Column, n: Column, unit: Column) -> Column:
-        return F.struct(rows.alias("rows"), wait.alias("wait"), out.alias("out"), n.alias("n"), unit.alias("unit"))
-
-    def into_last(s: Column) -> Column:
-        last = F.element_at(s["rows"], -1)
-        step = F.concat(last["step"], F.lit(" + "), F.array_join(s["wait"], " + "))
-        joined = row(step, s["unit"], F.coalesce(last["n_excluded"], F.lit(0)) + s["out"], s["n"])
-        return F.concat(F.slice(s["rows"], 1, F.size(s["rows"]) - 1), F.array(joined))
-
-    none = F.array().cast("array<string>")
-    zero = F.lit(0).cast("long")
-
-    def step(s: Column, x: Column) -> Column:
-        barrier = (F.size(s["wait"]) > 0) & (x["unit"] != s["unit"]) & (F.size(s["rows"]) > 1)
-        rows = F.when(barrier, into_last(s)).otherwise(s["rows"])
-        wait = F.concat(F.when(barrier, none).otherwise(s["wait"]), F.array(x["step"]))
-        out = F.when(barrier, zero).otherwise(s["out"]) + s["n"] - x["remaining"]
-        full = state(F.concat(rows, F.array(row(F.array_join(wait, " + "), x["unit"], out, x["remaining"]))), none, zero, x["remaining"], x["unit"])
-        begun = state(F.concat(s["rows"], F.array(row(x["step"], x["unit"], F.lit(None), x["remaining"]))), s["wait"], s["out"], x["remaining"], x["unit"])
-        return F.when(x["start"] | s["n"].isNull(), begun).when(out >= k, full).otherwise(state(rows, wait, out, x["remaining"], x["unit"]))
-
-    def end(s: Column) -> Column:
-        alone = F.concat(s["rows"], F.array(row(F.array_join(s["wait"], " + "), s["unit"], s["out"], F.lit(None))))
-        return F.when(F.size(s["wait"]) == 0, s["rows"]).when(F.size(s["rows"]) > 1, into_last(s)).otherwise(alone)
-
-    item = F.struct("stage", "step", "unit", F.col("remaining").cast("long").alias("remaining"), "start")
-    listed = steps.groupBy(site).agg(F.sort_array(F.collect_list(item)).alias("_x"))
-    folded = listed.select(site, F.posexplode(F.aggregate("_x", start, step, end)).alias("row", "r"))
-    return folded.select(site, "row", "r.*")
-
-
-def availability(flags: DataFrame, site: str, names: list[str], k: int = SMALL) -> DataFrame:
-    """site (null: pooled), flag, n with the flag, total, suppressed: hidden where the flag's rows or the others are few."""
     long = flags.select(site, *[F.col(c).cast("int").alias(c) for c in names]).unpivot(site, names, "flag", "v")
-    out = long.groupingSets([[F.col("flag"), F.col(site)], [F.col("flag")]], "flag", site).agg(F.sum("v").alias("n"), F.count("v").alias("total"))
-    small = ((F.col("n") > 0) & (F.col("n") < k)) | ((F.col("total") - F.col("n") > 0) & (F.col("total") - F.col("n") < k))
-    return out.select(F.col(site).alias("site"), "flag", F.when(~small, F.col("n")).alias("n"), "total", small.alias("suppressed"))
+    cells = long.filter("v IS NOT NULL").groupBy("flag", F.col(site).alias("site")).agg(F.sum("v").alias("n"), F.count("v").alias("total"))
+    few = F.when(F.col("total") < k, "total").when(F.col("n") < k, "low").when(F.col("total") - F.col("n") < k, "high")
+    cells = cells.withColumns({"why": few, "few_total": F.col("total") < k})
+    pooled = cells.groupBy("flag").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bool_or(F.col("why").isNotNull()).alias("_hidden"), F.bool_or("few_total").alias("_few"))
+    pooled = pooled.select("flag", F.lit(None).cast(flags.schema[site].dataType).alias("site"), "n", "total", F.coalesce(few, F.when(F.col("_hidden"), "linked")).alias("why"), ((F.col("total") < k) | F.col("_few")).alias("few_total"))
+    shown, told = F.col("why").isNull(), ~F.col("few_total")
+    high = F.when((F.col("why") == "high") & told, F.format_string(">=%.3f", (F.col("total") - (k - 1)) / F.col("total")))
+    return cells.unionByName(pooled).select(
+        "site", "flag", F.when(shown, F.col("n")).alias("n"), F.when(told, F.col("total")).alias("total"), F.when(shown & told, F.col("n") / F.col("total")).alias("share"), "why", high.alias("bound")
+    )
 
 
 def channel_names(rows: DataFrame, column: str, aliases: dict[str, str]) -> DataFrame:

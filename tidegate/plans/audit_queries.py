@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.operators import audits, gate
+from tidegate.operators import audits, flow, gate
 from tidegate.plans.tables import EVENTS, GATED, INTERVALS, POINTS, RAW_INTERVALS, events, index, points, raw_intervals, table
 
 QUERIES: dict = {}
@@ -127,12 +127,61 @@ def flow_steps(spark: SparkSession, d: str) -> DataFrame:
     return long.withColumns({"unit": F.when(F.col("stage") < 5, "orders").otherwise("people"), "start": F.col("stage") == 0})
 
 
-@query("pv06_merged_flow")
+FLOW_STEPS = """
+o AS (
+  SELECT c_mktsegment AS site, o_custkey AS c, c_acctbal AS b, true AS k0, o_totalprice > 1500 AS k1, o_orderkey % 500 <> 3 AS k2, o_orderpriority <> '5-LOW' AS k3,
+    o_orderstatus <> 'P' OR o_totalprice > 2500 AS k4 FROM orders JOIN customer ON o_custkey = c_custkey
+), w AS (
+  SELECT site, count(*) AS s0, count(*) FILTER (k1) AS s1, count(*) FILTER (k1 AND k2) AS s2, count(*) FILTER (k1 AND k2 AND k3) AS s3, count(*) FILTER (k1 AND k2 AND k3 AND k4) AS s4,
+    count(DISTINCT c) FILTER (k1 AND k2 AND k3 AND k4) AS s5, count(DISTINCT c) FILTER (k1 AND k2 AND k3 AND k4 AND b > -990) AS s6, count(DISTINCT c) FILTER (k1 AND k2 AND k3 AND k4 AND b > 0) AS s7
+  FROM o GROUP BY site
+), t AS (SELECT site, step, substr(step, 2, 1)::int AS stage, n, CASE WHEN substr(step, 2, 1)::int < 5 THEN 'orders' ELSE 'people' END AS unit FROM (UNPIVOT w ON s0, s1, s2, s3, s4, s5, s6, s7 INTO NAME step VALUE n))
+"""
+
+#: open: the row that a step waits for. It gets it if a step of its own unit closes that row, else the one before.
+FLOW_SQL = "WITH RECURSIVE " + FLOW_STEPS + """, r AS (
+  SELECT site, stage, n, unit, 0 AS waits, 0 AS gone, 0 AS closed, 0 AS open, true AS closes FROM t WHERE stage = 0
+  UNION ALL
+  SELECT site, stage, n, unit, CASE WHEN closes THEN 0 ELSE waits + 1 END, CASE WHEN closes THEN 0 ELSE gone END, CASE WHEN closes THEN closed + 1 ELSE closed END, closed + 1, closes FROM (
+    SELECT *, gone >= 11 AND (n = 0 OR n >= 11) AS closes FROM (
+      SELECT t.site, t.stage, t.n, t.unit, CASE WHEN r.waits > 0 AND r.closed > 0 AND t.unit <> r.unit THEN 0 ELSE r.waits END AS waits, r.closed,
+        CASE WHEN r.waits > 0 AND r.closed > 0 AND t.unit <> r.unit THEN 0 ELSE r.gone END + r.n - t.n AS gone FROM r JOIN t ON t.site = r.site AND t.stage = r.stage + 1))
+), p AS (
+  SELECT r.*, step, CASE WHEN open > 1 AND coalesce(max(CASE WHEN closes THEN r.unit END) OVER (PARTITION BY r.site, open) <> r.unit, true) THEN open - 1 ELSE open END AS "row"
+  FROM r JOIN t ON t.site = r.site AND t.stage = r.stage
+), g AS (SELECT site, "row", string_agg(step, ' + ' ORDER BY stage) AS step, max_by(unit, stage) AS unit, min_by(n, stage) AS first_n, max_by(n, stage) AS n FROM p GROUP BY site, "row"),
+f AS (SELECT *, lag(n) OVER (PARTITION BY site ORDER BY "row") - n AS x, first_value(n) OVER (PARTITION BY site ORDER BY "row") < 11 AS low FROM g),
+h AS (SELECT *, coalesce(x > 0 AND x < 11, false) OR (n > 0 AND n < 11) OR low AS hidden FROM f WHERE NOT low OR "row" = 0)
+SELECT site, "row", CASE WHEN low THEN 'withheld' ELSE step END AS step, CASE WHEN NOT low THEN unit END AS unit, CASE WHEN NOT hidden THEN x END AS n_excluded, CASE WHEN NOT hidden THEN n END AS n_remaining FROM h
+"""
+
+
+@query("pv06_merged_flow", FLOW_SQL)
 def merged_flow(spark: SparkSession, d: str) -> DataFrame:
-    return audits.merged_flow(flow_steps(spark, d), "site")
+    return flow.merged_flow(flow_steps(spark, d), "site")
 
 
-@query("pv08_availability", "WITH f AS (SELECT lang AS site, (text IS NOT NULL)::int AS text, (n_chars > 9000)::int AS long, (quality IS NOT NULL)::int AS labelled FROM documents LEFT JOIN labels USING (doc_id)), u AS (SELECT site, 'text' AS flag, text AS v FROM f UNION ALL SELECT site, 'long', long FROM f UNION ALL SELECT site, 'labelled', labelled FROM f), c AS (SELECT site, flag, sum(v)::bigint AS n, count(v) AS total FROM u GROUP BY GROUPING SETS ((flag, site), (flag))), s AS (SELECT *, (n > 0 AND n < 11) OR (total - n > 0 AND total - n < 11) AS suppressed FROM c) SELECT site, flag, CASE WHEN NOT suppressed THEN n END AS n, total, suppressed FROM s")
+@query("pv06_flow_report")
+def flow_report(spark: SparkSession, d: str) -> DataFrame:
+    return flow.flow_report(flow_steps(spark, d), "site")
+
+
+AVAILABLE_SQL = """
+WITH f AS (SELECT lang AS site, text IS NOT NULL AS text, n_chars > 9000 AS long, quality IS NOT NULL AS labelled FROM documents LEFT JOIN labels USING (doc_id)),
+u AS (SELECT site, unnest(['text', 'long', 'labelled']) AS flag, unnest([text, long, labelled]) AS v FROM f),
+c AS (SELECT site, flag, count(*) FILTER (v) AS n, count(v) AS d FROM u GROUP BY site, flag),
+x AS (SELECT *, n < 11 OR d - n < 11 OR d < 11 AS hide FROM c),
+a AS (
+  SELECT site, flag, n, d, hide, d < 11 AS no_total, false AS linked FROM x
+  UNION ALL SELECT NULL, flag, sum(n), sum(d), sum(n) < 11 OR sum(d) - sum(n) < 11 OR sum(d) < 11 OR bool_or(hide), sum(d) < 11 OR bool_or(d < 11), bool_or(hide) FROM x GROUP BY flag
+)
+SELECT site, flag, CASE WHEN NOT hide THEN n::bigint END AS n, CASE WHEN NOT no_total THEN d::bigint END AS total, CASE WHEN NOT hide AND NOT no_total THEN n / d END AS share,
+  CASE WHEN d < 11 THEN 'total' WHEN n < 11 THEN 'low' WHEN d - n < 11 THEN 'high' WHEN linked THEN 'linked' END AS why,
+  CASE WHEN n >= 11 AND d - n < 11 AND NOT no_total THEN format('>={:.3f}', (d - 10) / d) END AS bound FROM a
+"""
+
+
+@query("pv08_availability", AVAILABLE_SQL)
 def availability(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("site"), F.col("text").isNotNull().alias("text"), (F.col("n_chars") > 9000).alias("long"))
     rows = rows.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("labelled", F.col("quality").isNotNull())
