@@ -34,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.bpe import TOGETHER, load
+from tidegate.llm.bpe import load
 from tidegate.llm.common import joined_batches, releasing, text_batches, texts_of
 
 #: The longest and the shortest tier, and the id that ends each document.
 LONGEST, SHORTEST, END = 4_096, 512, 2
 #: Tokens and documents of a batch, whose documents fill each other's gaps, and tokens of a step group.
 BATCH, DOCUMENTS, STEP = 1 << 20, 1 << 16, 1 << 16
+#: Bytes of text whose distinct words are looked up together.
+TOGETHER = 8 << 20
 #: A task's own numbers stay below this.
 TASK = 1 << 40
 
