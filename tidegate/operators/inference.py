@@ -1,7 +1,4 @@
-"""Inference over predictions, sites and raters: calibration lines, intervals of site means, gains, gates, audits and agreement.
-
-Fits are Newton steps over grouped sums: an iteration is one aggregate, and the driver holds a few numbers for each group.
-"""
+"""Inference over predictions, sites and raters: intervals of site means, gains, gates, audits and agreement."""
 
 from __future__ import annotations
 
@@ -11,44 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.expressions import logit, log_loss
-
-STEPS = 25
-
-
-def calibration_line(rows: DataFrame, group: str, y: str = "y", p: str = "p") -> DataFrame:
-    """group, n, slope, intercept of the logistic regression of y on logit p, and large: the intercept at slope 1.
-
-    Groups are labels or the like: a few. A group without both outcomes has none of the three.
-    """
-    data = rows.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(F.col(group).alias("g"), F.col(y).cast("double").alias("y"), logit(F.col(p)).alias("x"))
-    counts = {r["g"]: r for r in data.groupBy("g").agg(F.count("*").alias("n"), F.sum("y").alias("k")).collect()}
-    live = {g for g, r in counts.items() if 0 < r["k"] < r["n"]}
-    at = {g: np.zeros(2) for g in live}
-    large = {g: 0.0 for g in live}
-    moving = set(live)
-    for _ in range(STEPS):
-        if not moving:
-            break
-        spark = rows.sparkSession
-        now = spark.createDataFrame([(g, float(at[g][0]), float(at[g][1]), float(large[g])) for g in moving], "h string, a double, b double, c double")
-        j = data.join(F.broadcast(now), F.col("g").cast("string") == F.col("h"))  # a row for each group
-        mu, nu = (1 / (1 + F.exp(-z)) for z in (F.col("a") + F.col("b") * F.col("x"), F.col("c") + F.col("x")))
-        w, v = mu * (1 - mu), nu * (1 - nu)
-        sums = j.groupBy("g").agg(
-            F.sum(F.col("y") - mu).alias("s0"), F.sum((F.col("y") - mu) * F.col("x")).alias("s1"), F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"),
-            F.sum(w * F.col("x") * F.col("x")).alias("h11"), F.sum(F.col("y") - nu).alias("t"), F.sum(v).alias("v"),
-        ).collect()
-        for r in sums:
-            g = r["g"]
-            hessian = np.array([[r["h00"], r["h01"]], [r["h01"], r["h11"]]])
-            step = np.linalg.lstsq(hessian, np.array([r["s0"], r["s1"]]), rcond=None)[0]
-            shift = r["t"] / r["v"] if r["v"] > 0 else 0.0
-            at[g], large[g] = at[g] + np.clip(step, -5, 5), large[g] + float(np.clip(shift, -5, 5))
-            if abs(step).max() < 1e-10 and abs(shift) < 1e-10:
-                moving.discard(g)
-    out = [(g, int(r["n"]), *((float(at[g][1]), float(at[g][0]), float(large[g])) if g in live else (None, None, None))) for g, r in counts.items()]
-    return rows.sparkSession.createDataFrame(out, "g string, n long, slope double, intercept double, large double").withColumnRenamed("g", group)
+from tidegate.functions.expressions import log_loss
 
 
 def t_quantile(q: float, df: int) -> float:

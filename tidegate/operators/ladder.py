@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import log_loss, logit, portable_hash
-from tidegate.operators import inference, ranks
+from tidegate.operators import fits, isotonic, ranks
 
 
 def fitted(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
@@ -74,17 +74,24 @@ def concentration(deltas: DataFrame, site: str) -> DataFrame:
     return gain.agg(F.count("*").alias("sites"), F.try_divide(F.max("g"), F.sum("g")).alias("share"))
 
 
-def recalibrated(rows: DataFrame, label: str, role: str, p: str = "p", y: str = "y", least: int = 20) -> DataFrame:
-    """Adds recalibrated: each label's logit line, fitted on its dev rows, applied to all; p itself where dev has fewer of either outcome.
-
-    Labels are a few; so are the fitted lines.
+def recalibrated(rows: DataFrame, label: str, role: str, p: str = "p", y: str = "y", least: int = 20, method: str = "platt") -> DataFrame:
+    """Adds recalibrated, fitted on each label's dev rows and applied to all: a line in the logit (platt, with a penalty of 1/1000 on
+    its slope, so that a separating p has a line too) or steps (isotonic). p itself where dev has fewer than ``least`` of either outcome.
     """
-    dev = rows.filter((F.col(role) == "dev") & F.col(y).isNotNull())
-    enough = dev.groupBy(F.col(label).alias("_l")).agg(F.count_if(F.col(y) == 1).alias("_a"), F.count_if(F.col(y) == 0).alias("_b")).filter((F.col("_a") >= least) & (F.col("_b") >= least))
-    lines = inference.calibration_line(dev, label, y, p).join(enough, F.col(label) == F.col("_l")).select("_l", "slope", "intercept")
-    out = rows.join(lines, F.col(label) == F.col("_l"), "left").drop("_l")
-    z = F.col("intercept") + F.col("slope") * logit(F.col(p))
-    return out.withColumn("recalibrated", F.coalesce(1 / (1 + F.exp(-z)), F.col(p))).drop("slope", "intercept")
+    assert method in ("platt", "isotonic", "none"), method
+    dev = rows.filter((F.col(role) == "dev") & F.col(y).isNotNull() & F.col(p).isNotNull())
+    enough = dev.groupBy(F.col(label).alias("_l")).agg(F.count_if(F.col(y) == 1).alias("_a"), F.count_if(F.col(y) == 0).alias("_b")).filter((F.col("_a") >= least) & (F.col("_b") >= least)).select("_l")
+    if method == "none":
+        return rows.withColumn("recalibrated", F.col(p))
+    dev = dev.join(enough, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+    if method == "isotonic":
+        out = isotonic.applied(rows, label, p, isotonic.steps(dev, label, p, y), "_iso")
+        return out.withColumn("recalibrated", F.coalesce("_iso", p)).drop("_iso")
+    found = fits.logistic(fits.design(dev, [label], F.col(y), [F.lit(1.0), logit(F.col(p))]), 2, [fits.Variant((0, 1), ridge=(0.0, 1e-3))])
+    lines = {key: (float(f.coef[0]), float(f.coef[1])) for (key, _), f in found.items() if f.converged}
+    table = fits.told(rows.sparkSession, lines, fits.groups(dev, [label]).withColumnRenamed(label, "_l"), ["_i", "_s"], "_i double, _s double")
+    out = rows.join(table, F.col(label).eqNullSafe(F.col("_l")), "left")
+    return out.withColumn("recalibrated", F.coalesce(1 / (1 + F.exp(-(F.col("_i") + F.col("_s") * logit(F.col(p))))), F.col(p))).drop("_i", "_s", "_l")
 
 
 def exposure_accounting(rows: DataFrame, exposures: DataFrame, site: str, entity: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import log_loss
-from tidegate.operators import evidence, inference
+from tidegate.operators import evidence, fits, inference
 from tidegate.plans.tables import PREDICTIONS, predictions, table
 
 QUERIES: dict = {}
@@ -34,7 +34,22 @@ def loss(p: str) -> str:
 
 @query("mt09_calibration_line")
 def calibration_line(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(inference.calibration_line(predictions(spark, d), "label", p="p_b"))
+    return rounded(fits.calibration_line(predictions(spark, d), ["label"], p="p_b"))
+
+
+#: The normal equations of n, x (early), z (p_a) and d, solved by hand: the coefficient of x beside z and a constant.
+OLS = "((szz - sz * sz / n) * (sxd - sx * sd / n) - (sxz - sx * sz / n) * (szd - sz * sd / n)) / ((sxx - sx * sx / n) * (szz - sz * sz / n) - (sxz - sx * sz / n) * (sxz - sx * sz / n))"
+
+
+@query("mt11_adjusted", "WITH " + PREDICTIONS + ", x AS (SELECT label, (entity % 3 = 0)::int::double AS x, p_a::double AS z, (" + loss("p_b") + " - " + loss("p_a") + ")::double AS d FROM pr WHERE y IS NOT NULL), s AS (SELECT label, count(*) AS n, sum(x) AS sx, sum(z) AS sz, sum(d) AS sd, sum(x * x) AS sxx, sum(x * z) AS sxz, sum(z * z) AS szz, sum(x * d) AS sxd, sum(z * d) AS szd FROM x GROUP BY label) SELECT label, n, sx::bigint AS n_early, n - sx::bigint AS n_late, round(" + OLS + ", 6) AS adjusted FROM s")
+def adjusted(spark: SparkSession, d: str) -> DataFrame:
+    rows = predictions(spark, d).withColumn("d", log_loss(F.col("y"), F.col("p_b")) - log_loss(F.col("y"), F.col("p_a")))
+    return rounded(fits.adjusted_interaction(rows, ["label"], "d", "entity % 3 = 0", [F.col("p_a")]))
+
+
+@query("mt17_shifts")
+def shifts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fits.cross_shifts(predictions(spark, d), ["label"], "site", "y", "p_a"))
 
 
 @query("mt05_site_mean")

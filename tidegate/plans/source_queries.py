@@ -62,6 +62,12 @@ def recalibrated(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ladder.recalibrated(rows, "label", "role", "p_b").select("entity", "label", "role", F.col("p_b").alias("p"), "recalibrated"))
 
 
+@query("ml04_isotonic")
+def isotonic(spark: SparkSession, d: str) -> DataFrame:
+    rows = predictions(spark, d).withColumn("role", F.when(F.col("entity") % 3 == 0, "dev").otherwise("eval"))
+    return rounded(ladder.recalibrated(rows, "label", "role", "p_b", method="isotonic").select("entity", "label", "role", F.col("p_b").alias("p"), "recalibrated"))
+
+
 @query("ml10_exposure", "WITH e AS (SELECT 'encoder' AS component, doc_id FROM labels UNION ALL SELECT 'head', doc_id FROM labels WHERE toxic = 1), d AS (SELECT doc_id, lang FROM documents), t AS (SELECT lang, count(*) AS n FROM d GROUP BY 1), h AS (SELECT component, lang, count(*) AS k FROM d JOIN (SELECT DISTINCT * FROM e) USING (doc_id) GROUP BY 1, 2) SELECT c.component, t.lang AS site, t.n, coalesce(h.k, 0) AS n_exposed FROM t CROSS JOIN (SELECT DISTINCT component FROM e) c LEFT JOIN h ON h.component = c.component AND h.lang IS NOT DISTINCT FROM t.lang")
 def exposure(spark: SparkSession, d: str) -> DataFrame:
     y = table(spark, d, "labels")
