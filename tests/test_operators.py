@@ -160,10 +160,17 @@ def test_streams(spark, tmp_path):
     made(spark, [(9, 1, "lab", "a", 1.0, None, hours(-1), hours(-1), None), (10, 1, "lab", "a", 1.0, None, hours(-1), hours(1), None)]).coalesce(1).write.mode("append").parquet(src)
     incremental.run_once(incremental.gated(incremental.new_files(spark, src, schema), index_of(spark)), out, ck)
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 9]
-    incremental.snapshot(incremental.nearest(incremental.new_files(spark, src, schema), index_of(spark)), "near", str(tmp_path / "ck2"))
-    want = {(r["entity_id"], r["source"]): r["gap_h"] for r in nearest.nearest_gaps(index_of(spark).filter("t0 IS NOT NULL"), spark.read.parquet(src)).collect()}
-    got = {(r["entity_id"], r["source"]): r["gap_h"] for r in spark.table("near").filter("entity_id = 1").collect()}
-    assert got == {k: v for k, v in want.items() if k[0] == 1}
+    near, ck2 = str(tmp_path / "near"), str(tmp_path / "ck2")
+    stream = lambda: incremental.nearest(incremental.new_files(spark, src, schema), index_of(spark))
+    wanted = lambda: {(r["entity_id"], r["source"]): r["gap_h"] for r in nearest.nearest_gaps(index_of(spark).filter("t0 IS NOT NULL"), spark.read.parquet(src)).collect() if r["entity_id"] == 1}
+    told = lambda: {(r["entity_id"], r["source"]): r["gap_h"] for r in spark.read.parquet(near).filter("entity_id = 1").collect()}
+    incremental.kept(stream(), near, ck2)
+    first = told()
+    assert first == wanted()
+    # only the new file is read, and the state of the first run goes on
+    made(spark, [(11, 1, "lab", "a", 1.0, None, hours(-0.25), hours(0), None), (12, 1, "new", "a", 1.0, None, hours(50), hours(50), None)]).coalesce(1).write.mode("append").parquet(src)
+    incremental.kept(stream(), near, ck2)
+    assert told() == wanted() and told() != first and (1, "new") in told()
 
 
 def test_bootstrap_modes_by_hand(spark):

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import hours_between
+from tidegate.operators import ranks
 from tidegate.operators.disclose import SMALL
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
 
 def bilateral(wide: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """For each pair of columns: <name>_any_zero and <name>_gap, null where neither, or not both, are known."""
@@ -66,9 +69,9 @@ def cause(causes: list[tuple[str, str]]) -> Column:
 
 def ledger_summary(ledger: DataFrame, reason: str, size: str, seconds: str) -> DataFrame:
     """reason, n, total size, quartiles of seconds."""
-    q = F.expr(f"percentile({seconds}, array(0.25, 0.5, 0.75))")
-    out = ledger.groupBy(reason).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), q.alias("_q"))
-    return out.select(reason, "n", "bytes", *[F.get("_q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
+    out = ledger.groupBy(reason).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    q = ranks.quantiles(ledger, [reason], seconds, QUARTILES).drop("n").withColumnRenamed(reason, "_r")
+    return out.join(q, F.col(reason).eqNullSafe(F.col("_r")), "left").select(reason, "n", "bytes", *QUARTILES)
 
 
 def geometry(points: DataFrame, intervals: DataFrame, slack_h: float) -> DataFrame:
@@ -92,8 +95,9 @@ def geometry(points: DataFrame, intervals: DataFrame, slack_h: float) -> DataFra
 def top_wordings(rows: DataFrame, site: str, wording: str, matched: str, k: int) -> DataFrame:
     """site, matched, wording, n of the k most frequent matched and unmatched wordings of each site."""
     counts = rows.groupBy(site, F.coalesce(F.expr(matched), F.lit(False)).alias("matched"), wording).agg(F.count("*").alias("n"))
-    best = counts.groupBy(site, "matched").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(wording).alias("w")))), 1, k).alias("b"))
-    return best.select(site, "matched", F.explode("b").alias("b")).select(site, "matched", F.col("b.w").alias(wording), (-F.col("b.m")).alias("n"))
+    order = Window.partitionBy(site, "matched").orderBy(F.desc("n"), F.col(wording).asc_nulls_first())
+    # k rows of each partition are all that is shuffled: the limit on the rank goes below the exchange
+    return counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select(site, "matched", wording, "n")
 
 
 def coverage_in(rows: DataFrame, site: str, hours: str, windows: dict[str, tuple[float, float]]) -> DataFrame:
@@ -106,10 +110,16 @@ def populations(rows: DataFrame, masks: dict[str, str], flags: dict[str, str], v
     """population, n, share of each flag, quartiles of a value: a row belongs to every population whose mask it meets."""
     names = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(m), F.lit(False)), F.lit(n)) for n, m in masks.items()]))
     long = rows.withColumn("population", F.explode(names))
-    out = long.groupBy("population").agg(
-        F.count("*").alias("n"), *[F.avg(F.expr(c).cast("double")).alias(n) for n, c in flags.items()], F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))").alias("_q")
-    )
-    return out.select("population", "n", *flags, *[F.get("_q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
+    out = long.groupBy("population").agg(F.count("*").alias("n"), *[F.avg(F.expr(c).cast("double")).alias(n) for n, c in flags.items()])
+    q = ranks.quantiles(long, ["population"], value, QUARTILES).drop("n")
+    return out.join(q, "population", "left").select("population", "n", *flags, *QUARTILES)
+
+
+def qc_summary(quality: DataFrame, channel: str, good: str, least: float) -> DataFrame:
+    """channel, n, passed (good from ``least`` on), quartiles of good, over rows (recording, channel, good)."""
+    out = quality.groupBy(channel).agg(F.count("*").alias("n"), F.count_if(F.col(good) >= least).alias("passed"))
+    q = ranks.quantiles(quality, [channel], good, QUARTILES).drop("n").withColumnRenamed(channel, "_c")
+    return out.join(q, F.col(channel).eqNullSafe(F.col("_c")), "left").select(channel, "n", "passed", *QUARTILES)
 
 
 def criteria(rows: DataFrame, checks: dict[str, tuple[str, float]]) -> DataFrame:

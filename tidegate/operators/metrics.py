@@ -11,10 +11,9 @@ from tidegate.sources.shared import written
 
 
 def auroc(rows: DataFrame, by: list[str], y: str = "y", score: str = "p") -> DataFrame:
-    """Per group, by average ranks of tied scores: counts per score and running totals, so that equal scores meet once."""
-    n = rows.filter(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = n.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    """Per group, by average ranks of scores: equal scores are counted first, and ranks go over range partitions."""
+    known = rows.filter(F.col(y).isNotNull() & F.col(score).isNotNull())
+    ranked = ranks.tied(known, by, score, pos=F.sum(F.col(y).cast("long")))
     out = ranked.groupBy(*by).agg(F.sum("pos").alias("n1"), (F.sum("n") - F.sum("pos")).alias("n0"), F.sum(F.col("rank") * F.col("pos")).alias("s"))
     area = (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))
     return out.select(*by, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0), area).alias("auroc"))

@@ -78,9 +78,13 @@ def cumulative_risk(rows: DataFrame, site: str) -> DataFrame:
 def top_values(rows: DataFrame, site: str, value: str, k: int) -> DataFrame:
     """The k most frequent values per site; what is left is counted as 'other'."""
     n = rows.groupBy(site, value).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(site).orderBy(F.desc("n"), value))
-    named = n.withColumn("label", F.when(rank <= k, F.col(value).cast("string")).otherwise("other"))
-    return named.groupBy(site, "label").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(site).orderBy(F.desc("n"), value)
+    # k rows of each partition are all that the ranks see; the others' number is a difference of sums
+    top = n.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select(site, F.col(value).cast("string").alias("label"), "n")
+    all_of = rows.groupBy(site).agg(F.count("*").alias("_all")).withColumnRenamed(site, "_s")
+    shown = top.groupBy(site).agg(F.sum("n").alias("_top"))
+    rest = shown.join(all_of, F.col(site).eqNullSafe(F.col("_s"))).select(site, F.lit("other").alias("label"), (F.col("_all") - F.col("_top")).alias("n"))
+    return top.unionByName(rest.filter("n > 0")).groupBy(site, "label").agg(F.sum("n").alias("n"))
 
 
 def capped(notes: DataFrame, case: str, order: tuple[str, ...], most: int, most_chars: int) -> DataFrame:

@@ -84,3 +84,77 @@ def complexity(rows: DataFrame) -> DataFrame:
             yield pd.Series([None if x is None or len(x) < 2 else phrases(np.asarray(x) > np.median(x)) * np.log2(len(x)) / len(x) for x in s], dtype="float64")
 
     return rows.withColumn("complexity", scaled("x"))
+
+
+def attention_pooled(rows: DataFrame, by: str, vector: str, tau: float = 0.1) -> DataFrame:
+    """by, dim, n, mean and pooled: the vectors of a group weighed by the softmax of their cosine to the mean vector, over tau.
+
+    All vectors of a group have one length; null ones, and those with an unknown component, take no part. A group's sums are aggregates
+    by dimension: only its mean vector meets its rows.
+    """
+    good = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x))
+    known = rows.select(F.col(by).alias("g"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull()).filter(good)
+    means = known.select("g", F.posexplode("v").alias("dim", "x")).groupBy("g", "dim").agg(F.avg("x").alias("mean"))
+    centre = means.groupBy(F.col("g").alias("cg")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda m: m["mean"]).alias("m"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = dot("v", "m") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("m", "m")) + F.lit(1e-12))
+    scored = known.join(centre, F.col("g").eqNullSafe(F.col("cg"))).select("g", "v", (cosine / tau).alias("s"))
+    top = scored.groupBy(F.col("g").alias("tg")).agg(F.max("s").alias("top"))
+    weighed = scored.join(top, F.col("g").eqNullSafe(F.col("tg"))).select("g", "v", F.exp(F.col("s") - F.col("top")).alias("w"))
+    sums = weighed.select("g", "w", F.posexplode("v").alias("dim", "x")).groupBy("g", "dim")
+    out = sums.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("pooled"))
+    return out.select(F.col("g").alias(by), F.col("dim").cast("long").alias("dim"), "n", "mean", "pooled")
+
+
+def fourier(rows: DataFrame, taper: bool = True) -> DataFrame:
+    """Adds f, an array of (re, im) from frequency 0 up, of x less its mean, under a Hann window if asked; null where x is short or odd."""
+
+    @F.pandas_udf("array<struct<re:double,im:double>>")
+    def transform(xs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in xs:
+            out = []
+            for x in s:
+                x = np.asarray(x if x is not None else [], float)
+                if x.size < 2 or not np.isfinite(x).all():
+                    out.append(None)
+                    continue
+                f = np.fft.rfft((x - x.mean()) * (np.hanning(x.size) if taper else 1.0))
+                out.append([{"re": float(a), "im": float(b)} for a, b in zip(f.real, f.imag)])
+            yield pd.Series(out)
+
+    return rows.withColumn("f", transform("x"))
+
+
+def connectivity(segments: DataFrame, pairs: list[tuple[str, object, object]], fs: float, bands: dict[str, tuple[float, float]], least: int = 2, taper: bool = True) -> DataFrame:
+    """rec, pair, band, segments, coherence, wpli over the segments (rec, ch, epoch, x, bad) in which both channels of a pair are good.
+
+    Each segment is transformed once. Two channels meet by recording and segment, and what they have in common is added up by
+    frequency over the segments: no recording is in one row. Fewer than ``least`` segments give null. All segments have one length.
+    """
+    spark = segments.sparkSession
+    spectra_of = fourier(segments.filter(~F.coalesce(F.col("bad"), F.lit(False))).select("rec", "ch", "epoch", "x"), taper).filter("f IS NOT NULL").select("rec", "ch", "epoch", F.size("x").alias("size"), "f")
+    kind = segments.schema["ch"].dataType.simpleString()
+    listed = spark.createDataFrame(pairs, f"pair string, a {kind}, b {kind}")  # a row for each pair of channels
+    one = spectra_of.join(listed, F.col("ch") == F.col("a")).select("rec", "epoch", "pair", "b", "size", F.col("f").alias("fa"))
+    other = spectra_of.select(F.col("rec").alias("orec"), F.col("epoch").alias("oe"), F.col("ch").alias("oc"), F.col("f").alias("fb"))
+    met = one.join(other, (F.col("rec") == F.col("orec")) & (F.col("epoch") == F.col("oe")) & (F.col("b") == F.col("oc")))
+    square = lambda x: x["re"] * x["re"] + x["im"] * x["im"]
+    crossed = F.zip_with("fa", "fb", lambda x, y: F.struct((x["re"] * y["re"] + x["im"] * y["im"]).alias("re"), (x["im"] * y["re"] - x["re"] * y["im"]).alias("im"), square(x).alias("xx"), square(y).alias("yy")))
+    each = met.select("rec", "pair", "size", F.posexplode(crossed).alias("k", "s")).select("rec", "pair", "size", "k", "s.*")
+    means = each.groupBy("rec", "pair", "size", "k").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("re", "im", "xx", "yy")], F.avg(F.abs("im")).alias("ai"))
+    tiny = F.lit(1e-24)
+    by_frequency = means.select(
+        "rec", "pair", "n", (F.col("k") * fs / F.col("size")).alias("hz"),
+        ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.greatest(F.col("xx") * F.col("yy"), tiny)).alias("coh"), (F.abs("im") / F.greatest(F.col("ai"), tiny)).alias("pli"),
+    )
+    named = F.array_compact(F.array(*[F.when((F.col("hz") >= lo) & (F.col("hz") < hi), F.lit(b)) for b, (lo, hi) in bands.items()]))
+    enough = F.max("n") >= least
+    return by_frequency.withColumn("band", F.explode(named)).groupBy("rec", "pair", "band").agg(
+        F.max("n").alias("segments"), F.when(enough, F.avg("coh")).alias("coherence"), F.when(enough, F.avg("pli")).alias("wpli")
+    )
+
+
+def pair_means(connected: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """rec, band, set, coherence, wpli: means of known values over each set of pairs."""
+    member = F.array_compact(F.array(*[F.when(F.col("pair").isin(pairs), F.lit(s)) for s, pairs in sets.items()]))
+    return connected.withColumn("set", F.explode(member)).groupBy("rec", "band", "set").agg(F.avg("coherence").alias("coherence"), F.avg("wpli").alias("wpli"))

@@ -212,8 +212,7 @@ def live(spark: SparkSession, d: str) -> DataFrame:
 @query("sg05_qc_summary", "WITH " + SAMPLES + ", q AS (SELECT rec_id, channel, avg((abs(x) < 0.2)::int) AS good FROM sm GROUP BY 1, 2) SELECT channel, count(*) AS n, count(*) FILTER (good >= 0.5) AS passed, round(quantile_cont(good, 0.25), 6) AS q25, round(quantile_cont(good, 0.5), 6) AS q50, round(quantile_cont(good, 0.75), 6) AS q75 FROM q GROUP BY 1")
 def qc_summary(spark: SparkSession, d: str) -> DataFrame:
     q = samples(spark, d).groupBy("rec_id", "channel").agg(F.avg((F.abs("x") < 0.2).cast("double")).alias("good"))
-    out = q.groupBy("channel").agg(F.count("*").alias("n"), F.count_if(F.col("good") >= 0.5).alias("passed"), F.expr("percentile(good, array(0.25, 0.5, 0.75))").alias("_q"))
-    return rounded(out.select("channel", "n", "passed", *[F.get("_q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]))
+    return rounded(audits.qc_summary(q, "channel", "good", 0.5))
 
 
 @query("sg11_burden", "WITH " + EVENTS + ", s AS (SELECT entity_id AS rec_id, date_diff('microsecond', TIMESTAMP '2024-01-01', t_event) / 3.6e9 AS t, least(1, value / 50) AS p FROM ev WHERE value IS NOT NULL), w AS (SELECT DISTINCT entity_id AS rec_id, k AS \"window\", k * 240.0 AS lo, k * 240.0 + 240 AS hi FROM ev, range(3) r(k)) SELECT w.rec_id, \"window\", count(*) AS n, round(avg(p), 8) AS mean, round(quantile_cont(p, 0.9), 8) AS p90, round(avg((p >= 0.5)::int), 8) AS burden FROM s JOIN w ON s.rec_id = w.rec_id AND t >= lo AND t < hi GROUP BY 1, 2")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import log_loss
-from tidegate.operators import evidence, fits, inference
-from tidegate.plans.tables import PREDICTIONS, predictions, table
+from tidegate.operators import concordance, evidence, fits, inference, resample
+from tidegate.plans.tables import PREDICTIONS, predictions, ratings, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -65,6 +65,40 @@ def interaction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.interaction(rows, "d", "entity % 3 = 0", ["label"]))
 
 
+@query("mt13_tau_b", "WITH " + PREDICTIONS + ", s AS (SELECT a.label, a.site AS g, sign(a.p_a - b.p_a) * sign(a.p_b - b.p_b) AS c, a.p_a <> b.p_a AS x, a.p_b <> b.p_b AS y FROM pr a JOIN pr b ON a.label = b.label AND a.site IS NOT DISTINCT FROM b.site AND a.entity < b.entity WHERE a.p_a IS NOT NULL AND b.p_a IS NOT NULL AND a.p_b IS NOT NULL AND b.p_b IS NOT NULL), k AS (SELECT label, site, count(*) AS n FROM pr WHERE p_a IS NOT NULL AND p_b IS NOT NULL GROUP BY 1, 2) SELECT k.label, k.site, k.n, round(sum(c) / (sqrt(count(*) FILTER (x)) * sqrt(count(*) FILTER (y))), 6) AS tau FROM k LEFT JOIN s ON s.label = k.label AND s.g IS NOT DISTINCT FROM k.site GROUP BY 1, 2, 3")
+def tau_b(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(concordance.kendall(predictions(spark, d), ["label", "site"], "p_a", "p_b"))
+
+
+@query("wn09_spearman", "WITH " + PREDICTIONS + ", r AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY p_a) + (count(*) OVER (PARTITION BY label, p_a) - 1) / 2 AS a, rank() OVER (PARTITION BY label ORDER BY p_b) + (count(*) OVER (PARTITION BY label, p_b) - 1) / 2 AS b FROM pr WHERE p_a IS NOT NULL AND p_b IS NOT NULL) SELECT label, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY 1")
+def spearman(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(concordance.spearman(predictions(spark, d), ["label"], "p_a", "p_b"))
+
+
+@query("mt13_pairwise_auroc", "WITH " + PREDICTIONS + ", z AS (SELECT a.y, ln(greatest(least(a.p_b, 1 - 1e-6), 1e-6) / (1 - greatest(least(a.p_b, 1 - 1e-6), 1e-6))) - ln(greatest(least(b.p_a, 1 - 1e-6), 1e-6) / (1 - greatest(least(b.p_a, 1 - 1e-6), 1e-6))) AS s FROM pr a JOIN pr b USING (entity) WHERE a.label = 'toxic' AND b.label = 'quality' AND a.y <> b.y), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS k FROM z), t AS (SELECT sum(y) AS n1, count(*) - sum(y) AS n0, sum(k * y) AS s FROM r) SELECT 'toxic/quality' AS pair, n1::bigint AS n1, n0::bigint AS n0, round((s - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auroc FROM t WHERE n1 + n0 > 0")
+def pairwise(spark: SparkSession, d: str) -> DataFrame:
+    rows = predictions(spark, d).withColumn("p", F.when(F.col("label") == "toxic", F.col("p_b")).otherwise(F.col("p_a")))
+    return rounded(concordance.pairwise_auroc(rows, [("toxic", "quality")], "entity", "label", "y", "p"))
+
+
+@query("ud01_kappa_interval")
+def kappa_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of two raters' kappa: cases drawn within sources."""
+    r = ratings(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "source"), "case_id")
+    return rounded(resample.interval(resample.replicated(r, [], "source", "case_id", resample.kappa("a", "b"), seed=7), []))
+
+
+@query("ud01_auroc_intervals")
+def auroc_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Of each label: intervals of AUROC by two scores, entities drawn within sites."""
+    rows = predictions(spark, d).filter("y IS NOT NULL AND p_a IS NOT NULL AND p_b IS NOT NULL")
+    out = None
+    for p in ("p_a", "p_b"):
+        one = resample.interval(resample.replicated(rows, ["label"], "site", "entity", resample.auroc("y", p), seed=7), ["label"]).withColumn("score", F.lit(p))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @query("mt12_gain_ratio", "WITH w AS (SELECT l_quantity AS q, least(ceil(date_diff('day', o_orderdate, l_shipdate) / 30.0), 4)::bigint AS \"window\" FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate), g AS (SELECT \"window\", avg(q) - 20 AS gain FROM w GROUP BY 1), r AS (SELECT *, gain / (SELECT gain FROM g WHERE \"window\" = 4) AS ratio FROM g) SELECT \"window\", round(gain, 6) AS gain, round(ratio, 6) AS ratio, \"window\" = (SELECT min(\"window\") FROM r WHERE ratio >= 0.9) AS first FROM r")
 def gain_ratio(spark: SparkSession, d: str) -> DataFrame:
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")

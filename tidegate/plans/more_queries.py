@@ -288,6 +288,28 @@ def average_reference(spark: SparkSession, d: str) -> DataFrame:
     return rounded(signals.average_reference(f.select("rec", "ch", (F.col("epoch") * 8 + F.col("i")).cast("long").alias("t"), F.col("v").alias("x"), "bad")))
 
 
+PAIRS = [(f"{a}-{b}", a, b) for a, b in ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (0, 9))]
+
+
+@query("sg10_connectivity", "WITH " + EPOCHS + """, g AS (SELECT ep.rec, ep.ch, ep.epoch, x FROM ep JOIN fl USING (rec, ch, epoch) WHERE NOT (flat OR extreme OR clipped)),
+  t AS (SELECT rec, ch, epoch, x[i + 1] - list_avg(x) AS v, i FROM g, range(8) r(i)),
+  f AS (SELECT rec, ch, epoch, k, sum(v * cos(2 * pi() * k * i / 8)) AS re, -sum(v * sin(2 * pi() * k * i / 8)) AS im FROM t, range(5) q(k) GROUP BY 1, 2, 3, 4),
+  p AS (SELECT * FROM (VALUES ('0-1', 0, 1), ('2-3', 2, 3), ('4-5', 4, 5), ('6-7', 6, 7), ('8-9', 8, 9), ('0-9', 0, 9)) p(pair, a, b)),
+  c AS (SELECT x.rec, pair, x.k, x.re * y.re + x.im * y.im AS re, x.im * y.re - x.re * y.im AS im, x.re * x.re + x.im * x.im AS xx, y.re * y.re + y.im * y.im AS yy
+    FROM f x JOIN p ON x.ch = a JOIN f y ON y.rec = x.rec AND y.epoch = x.epoch AND y.k = x.k AND y.ch = b),
+  m AS (SELECT rec, pair, k, count(*) AS n, (avg(re) ** 2 + avg(im) ** 2) / greatest(avg(xx) * avg(yy), 1e-24) AS coh FROM c GROUP BY 1, 2, 3)
+  SELECT rec, pair, band, max(n) AS segments, CASE WHEN max(n) >= 3 THEN round(avg(coh), 6) END AS coherence FROM m JOIN (VALUES ('low', 8, 17), ('high', 17, 33)) w(band, lo, hi) ON k * 8 >= lo AND k * 8 < hi GROUP BY 1, 2, 3""")
+def connectivity(spark: SparkSession, d: str) -> DataFrame:
+    got = signals.connectivity(signals.epoch_flags(epochs(spark, d), 0.2, 0.3), PAIRS, 64.0, {"low": (8, 17), "high": (17, 33)}, 3, taper=False)
+    return rounded(got.select("rec", "pair", "band", "segments", "coherence"))
+
+
+@query("sg10_pair_means")
+def pair_means(spark: SparkSession, d: str) -> DataFrame:
+    got = signals.connectivity(signals.epoch_flags(epochs(spark, d), 0.2, 0.3), PAIRS, 64.0, {"low": (8, 17), "high": (17, 33)}, 3)
+    return rounded(signals.pair_means(got, {"near": [p for p, a, b in PAIRS if b - a == 1], "far": ["0-9"]}))
+
+
 @query("sg08_spectra")
 def spectra(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import text
 from tidegate.functions.expressions import log_loss, portable_hash
-from tidegate.operators import disclose, metrics, sampling
+from tidegate.operators import disclose, metrics, sampling, signals
 from tidegate.plans.event_queries import rounded
 from tidegate.plans.tables import PREDICTIONS, RATINGS, predictions, ratings, table
 from tidegate.sources import readers
@@ -263,6 +263,15 @@ def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(e.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("mean")))
 
 
+@query("sf14_attention", """WITH v AS (SELECT label AS g, vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0),
+  e AS (SELECT g, vec_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM v), m AS (SELECT g, dim, avg(x) AS m FROM e GROUP BY 1, 2),
+  s AS (SELECT e.g, e.vec_id, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m)) + 1e-12) / 0.1 AS s FROM e JOIN m ON e.g = m.g AND e.dim = m.dim GROUP BY 1, 2),
+  w AS (SELECT g, vec_id, exp(s - max(s) OVER (PARTITION BY g)) AS w FROM s)
+  SELECT e.g AS label, e.dim, count(*) AS n, round(avg(x), 6) AS mean, round(sum(w * x) / sum(w), 6) AS pooled FROM e JOIN w ON w.g = e.g AND w.vec_id = e.vec_id GROUP BY 1, 2""")
+def attention(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(signals.attention_pooled(table(spark, d, "embeddings"), "label", "embedding", 0.1))
+
+
 @query("sf15_log_loss", "WITH " + PREDICTIONS + " SELECT entity, label, round(" + LOSS.format(p="p_a") + ", 6) AS loss FROM pr WHERE y IS NOT NULL")
 def losses(spark: SparkSession, d: str) -> DataFrame:
     return rounded(predictions(spark, d).filter("y IS NOT NULL").select("entity", "label", log_loss(F.col("y").cast("double"), F.col("p_a")).alias("loss")))

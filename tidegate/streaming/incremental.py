@@ -29,6 +29,11 @@ def nearest(stream: DataFrame, index: DataFrame) -> DataFrame:
     return j.groupBy("entity_id", F.col("domain").alias("source")).agg(F.min_by("gap", F.struct(F.abs("gap").alias("a"), F.col("gap").alias("g"))).alias("gap_h"))
 
 
-def snapshot(result: DataFrame, name: str, checkpoint: str) -> None:
-    """Runs an aggregation over what there is and keeps its whole result under a name."""
-    result.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("memory").queryName(name).outputMode("complete").start().awaitTermination()
+def kept(result: DataFrame, target: str, checkpoint: str) -> None:
+    """Runs an aggregation over what files there are: its state stays in the checkpoint, from which the next run goes on, and its whole
+    result replaces the table at target, written by the executors."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    result.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).outputMode("complete").start().awaitTermination()
