@@ -263,3 +263,65 @@ def adjusted_interaction(rows: DataFrame, by: list[str], delta: str, early: str,
     found = {key: (n, number(b[1]) if b is not None else None) for key, (n, b) in linear(design(known, by, F.col(delta), columns), len(columns)).items()}
     each = groups(known, by, F.count_if(e).alias("n_early"), F.count_if(~e).alias("n_late"))
     return told(rows.sparkSession, found, each, ["n", "n_early", "n_late", "adjusted"], "n long, adjusted double")
+
+
+@dataclass(frozen=True)
+class Model:
+    """A variant fitted to the rows of some groups together."""
+
+    variant: Variant
+    keys: frozenset[str]
+
+
+def many(data: DataFrame, width: int, models: list[Model]) -> list[Fit | None]:
+    """Fits of models that share the rows of a design(): each step of all of them is one pass. None where a model has no row."""
+    fits: list[Fit | None] = [None] * len(models)
+    for _ in range(PASSES):
+        betas = [np.zeros(len(m.variant.free)) if f is None else f.beta for m, f in zip(models, fits)]
+        active = [i for i, f in enumerate(fits) if f is None or not f.over]
+        if not active:
+            break
+
+        def of_rows(key, x, y, w):
+            for i in active:
+                if key not in models[i].keys:
+                    continue
+                v = models[i].variant
+                free = x[:, list(v.free)]
+                eta = free @ betas[i] + sum((x[:, c] * b for c, b in v.fixed), np.zeros(len(y)))
+                mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                h = (free * (w * mu * (1 - mu))[:, None]).T @ free
+                yield i, np.concatenate([[len(y), (w * (y * eta - np.logaddexp(0, eta))).sum()], free.T @ (w * (y - mu)), h.ravel()])
+
+        got = together(summed(data, width, of_rows))
+        for i in active:
+            if i not in got:
+                continue
+            s, p = got[i], len(models[i].variant.free)
+            if fits[i] is None:
+                fits[i] = Fit(int(s[0]), betas[i], betas[i], np.zeros(p))
+            moved(fits[i], models[i].variant, s[1], s[2 : 2 + p], s[2 + p :].reshape(p, p))
+        if all(f is None for f in fits):
+            break
+    return fits
+
+
+def together(sums: dict[tuple[str, int], np.ndarray]) -> dict[int, np.ndarray]:
+    """Sums of each number over the groups."""
+    out: dict[int, np.ndarray] = {}
+    for (_, i), s in sums.items():
+        out[i] = out[i] + s if i in out else s
+    return out
+
+
+def losses(data: DataFrame, width: int, scored: list[tuple[Variant, np.ndarray, frozenset[str]]]) -> list[float | None]:
+    """Weighted mean log loss of each (variant, coefficients) on the rows of its groups, in one pass; None without rows."""
+
+    def of_rows(key, x, y, w):
+        for i, (v, beta, keys) in enumerate(scored):
+            if key in keys:
+                eta = x[:, list(v.free)] @ beta + sum((x[:, c] * b for c, b in v.fixed), np.zeros(len(y)))
+                yield i, np.array([w.sum(), (w * (np.logaddexp(0, eta) - y * eta)).sum()])
+
+    got = together(summed(data, width, of_rows))
+    return [float(got[i][1] / got[i][0]) if i in got and got[i][0] > 0 else None for i in range(len(scored))]

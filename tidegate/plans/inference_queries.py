@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import log_loss
-from tidegate.operators import concordance, evidence, fits, inference, resample
+from tidegate.operators import concordance, evidence, fits, inference, resample, selection, transport
 from tidegate.plans.tables import PREDICTIONS, predictions, ratings, table
 
 QUERIES: dict = {}
@@ -186,3 +186,45 @@ def vitals(spark: SparkSession, d: str) -> DataFrame:
     hours = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")) / F.lit(3.6e9)
     v = table(spark, d, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("item"), F.floor(hours / 72).alias("bin"), "value")
     return rounded(v.groupBy("case_id", "item", "bin").agg(F.count("*").alias("n"), F.median("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high")))
+
+
+@query("mt20_weights")
+def transport_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Toxic documents as the target domain: cross-fitted scores, and weights of all other labelled documents."""
+    rows = predictions(spark, d).filter("label = 'toxic' AND y IS NOT NULL").join(table(spark, d, "documents").select(F.col("doc_id").alias("entity"), "n_chars"), "entity")
+    scored, _ = transport.domain_scores(rows, ["n_chars", "p_b"], "y", "site", "entity")
+    return rounded(transport.inverse_odds(scored, "y", "p").select("entity", "y", "fold", "p", "raw", "w", "trimmed"))
+
+
+@query("mt20_balance", "WITH " + PREDICTIONS + """, r AS (SELECT p.*, n_chars::double AS n_chars FROM pr p JOIN documents ON doc_id = entity WHERE label = 'toxic' AND y IS NOT NULL),
+  q AS (SELECT *, greatest(1e-3, least(1 - 1e-3, p_b)) AS c, (SELECT avg(y) FROM r) AS pi FROM r), o AS (SELECT *, c / (1 - c) / (pi / (1 - pi)) AS raw FROM q),
+  b AS (SELECT quantile_cont(raw, 0.01) AS lo, quantile_cont(raw, 0.99) AS hi FROM o WHERE y = 0),
+  w AS (SELECT y, n_chars, p_a, CASE WHEN y = 1 THEN 1 ELSE greatest(lo, least(hi, raw)) END AS w FROM o, b),
+  l AS (SELECT y, w, unnest(['n_chars', 'p_a']) AS covariate, unnest([n_chars, p_a]) AS x FROM w),
+  m AS (SELECT covariate, avg(x) FILTER (y = 1) AS a, var_pop(x) FILTER (y = 1) AS va, avg(x) FILTER (y = 0) AS b, var_pop(x) FILTER (y = 0) AS vb,
+    sum(w * x) FILTER (y = 0) / sum(w) FILTER (y = 0) AS c, sum(w * x * x) FILTER (y = 0) / sum(w) FILTER (y = 0) AS c2 FROM l GROUP BY 1)
+  SELECT covariate, round((a - b) / sqrt((va + vb) / 2), 6) AS smd_before, round((a - c) / sqrt((va + c2 - c * c) / 2), 6) AS smd_after FROM m""")
+def transport_balance(spark: SparkSession, d: str) -> DataFrame:
+    rows = predictions(spark, d).filter("label = 'toxic' AND y IS NOT NULL").join(table(spark, d, "documents").select(F.col("doc_id").alias("entity"), "n_chars"), "entity")
+    return rounded(transport.balance(transport.inverse_odds(rows, "y", "p_b"), ["n_chars", "p_a"], "y"))
+
+
+def components(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings with all 64 components as columns, a fold, and two labels."""
+    cols = [F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)]
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("entity"), (F.col("vec_id") % 4).alias("fold"), F.expr("stack(2, 'high', int(label >= 5), 'odd', int(label % 2)) AS (target, y)"), *cols)
+
+
+@query("ml05_selected")
+def selected(spark: SparkSession, d: str) -> DataFrame:
+    """Penalty and scale of the second half of the components, by the loss on a quarter of the rows; the last quarter isn't read."""
+    rows = components(spark, d)
+    names = [f"x{i}" for i in range(64)]
+    return rounded(selection.select_penalty(rows.filter("fold < 2"), rows.filter("fold = 2"), "target", "y", "entity", names, names[32:], (0.01, 0.1, 1.0), (0.5, 1.0)))
+
+
+@query("ml12_channels")
+def channels(spark: SparkSession, d: str) -> DataFrame:
+    """Eight channels of eight components each: four of them for each fold, from the other folds' rows."""
+    groups = {f"c{g}": [f"x{i}" for i in range(8 * g, 8 * g + 8)] for g in range(8)}
+    return rounded(selection.forward_channels(components(spark, d).filter("target = 'high'"), groups, "y", "fold", "entity", 4))
