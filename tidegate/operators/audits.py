@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions.expressions import hours_between
+from tidegate.functions.expressions import hours_between, plus_microseconds
 from tidegate.operators import ranks
 from tidegate.operators.disclose import SMALL
+from tidegate.operators.intervals import stabbed
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -75,21 +76,39 @@ def ledger_summary(ledger: DataFrame, reason: str, size: str, seconds: str) -> D
 
 
 def geometry(points: DataFrame, intervals: DataFrame, slack_h: float) -> DataFrame:
-    """point_id with: intervals, null and midnight ends, cover by four rules, the nearest start in hours, the latest start up to the point."""
-    j = points.join(intervals.withColumnRenamed("entity_id", "_e"), F.col("entity_id") == F.col("_e"))
-    start = hours_between("t", "t_start")
-    begun = F.col("t_start") <= F.col("t")
-    return j.groupBy("point_id").agg(
+    """point_id with: intervals, null and midnight ends, cover by four rules, the nearest start in hours, the latest start up to the point.
+
+    Points whose entity has no interval are left out. What holds for all of an entity's intervals is counted once for it; covers meet by
+    cells of time; the nearest and the latest start come from one order of points and starts.
+    """
+    own = intervals.groupBy(F.col("entity_id").alias("_e")).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("t_end").isNull()).alias("null_ends"),
         F.count_if(F.date_trunc("DAY", "t_end") == F.col("t_end")).alias("midnight_ends"),
-        F.coalesce(F.bool_or(begun & (F.col("t_end") >= F.col("t"))), F.lit(False)).alias("exact"),
-        F.coalesce(F.bool_or(begun & (F.coalesce("t_end", "t") >= F.col("t"))), F.lit(False)).alias("open_end"),
-        F.coalesce(F.bool_or(begun & (F.to_date("t_end") >= F.to_date("t"))), F.lit(False)).alias("whole_day"),
-        F.coalesce(F.bool_or((start <= slack_h) & (hours_between("t_end", "t") <= slack_h)), F.lit(False)).alias("slack"),
-        F.min_by(start, F.struct(F.abs(start), start)).alias("nearest_start_h"),
-        F.max(F.when(begun, F.col("t_start"))).alias("latest_start"),
+        F.min(F.when(F.col("t_end").isNull(), F.col("t_start"))).alias("_open"),
     )
+    micros = F.lit(round(slack_h * 3.6e9)).cast("long")
+    ends = F.greatest(plus_microseconds("t_end", micros), F.timestamp_add("DAY", F.lit(1), F.date_trunc("DAY", "t_end").cast("timestamp_ntz")))
+    j = stabbed(points.select("entity_id", "point_id", "t"), intervals.filter("t_start IS NOT NULL AND t_end IS NOT NULL"), F.least(plus_microseconds("t_start", -micros), F.col("t_start")), ends)
+    begun = F.col("t_start") <= F.col("t")
+    covers = j.groupBy(F.col("point_id").alias("_p")).agg(
+        F.bool_or(begun & (F.col("t_end") >= F.col("t"))).alias("exact"),
+        F.bool_or(begun & (F.to_date("t_end") >= F.to_date("t"))).alias("whole_day"),
+        F.bool_or((hours_between("t", "t_start") <= slack_h) & (hours_between("t_end", "t") <= slack_h)).alias("slack"),
+    )
+    no = F.lit(None)
+    starts = intervals.filter("t_start IS NOT NULL").select("entity_id", F.col("t_start").alias("t"), F.col("t_start").alias("s"), no.cast(points.schema["point_id"].dataType).alias("point_id"))
+    both = starts.unionByName(points.select("entity_id", "t", no.cast(intervals.schema["t_start"].dataType).alias("s"), "point_id"))
+    order = Window.partitionBy("entity_id").orderBy("t", F.col("s").isNull())
+    told = both.withColumns({"_last": F.last("s", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.first("s", True).over(order.rowsBetween(1, Window.unboundedFollowing))}).filter("point_id IS NOT NULL")
+    back, on = hours_between("t", "_last"), hours_between("t", "_next")
+    nearest = F.when(back.isNull() | (on < -back), on).otherwise(back)
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    out = told.join(own, F.col("entity_id") == F.col("_e")).join(covers, F.col("point_id") == F.col("_p"), "left")
+    return out.select(
+        "point_id", "n", "null_ends", "midnight_ends", flag(F.col("exact")).alias("exact"), (flag(F.col("exact")) | flag(F.col("_open") <= F.col("t"))).alias("open_end"),
+        flag(F.col("whole_day")).alias("whole_day"), flag(F.col("slack")).alias("slack"), nearest.alias("nearest_start_h"), F.col("_last").alias("latest_start"),
+    )
 
 
 def top_wordings(rows: DataFrame, site: str, wording: str, matched: str, k: int) -> DataFrame:

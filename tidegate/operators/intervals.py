@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions.expressions import hours_between
+from tidegate.functions.expressions import hours_between, plus_microseconds
 
 
 def compacted(raw: DataFrame, open_when: str, open_days: int) -> DataFrame:
@@ -36,10 +36,46 @@ def backward_as_of(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return last.select("point_id", F.when(open_still, F.col("_last.interval_id")).alias("interval_id"))
 
 
+#: Hours of the smallest cell of time.
+CELL_H = 24.0
+#: Two to this many cells is the longest stretch; what is longer has several of these.
+LEVELS = 24
+
+
+def cell(t: Column, hours: float = CELL_H) -> Column:
+    """The number of the cell that a time falls in."""
+    return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), t) / F.lit(hours * 3.6e9))
+
+
+def stabbed(points: DataFrame, intervals: DataFrame, low: Column, high: Column) -> DataFrame:
+    """points (entity_id, t, ..) beside the intervals of their entity from whose cell of low to that of high their own cell lies.
+
+    A stretch of cells is cut into at most two blocks of each power of two, and a point asks for its block of each size: both meet by
+    equality of entity and block, each pair once, and an entity's rows spread over its time. ``low`` and ``high`` are of intervals.
+    """
+    known = intervals.withColumns({"_lo": cell(low), "_hi": cell(high)}).filter("_lo <= _hi")
+    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+    def blocks(k: Column) -> Column:
+        first, last = F.ceil(F.col("_lo") / size(k)), F.floor((F.col("_hi") + 1) / size(k)) - 1
+        top = k == LEVELS
+        ends = F.array(F.when(F.pmod(first, F.lit(2)) == 1, first), F.when(F.pmod(last, F.lit(2)) == 0, last))
+        return F.when(first > last, F.array().cast("array<bigint>")).when(top, F.sequence(first, last)).otherwise(F.array_compact(ends))
+
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.transform(blocks(k), lambda c: F.struct(k.alias("_k"), c.alias("_c")))))
+    parts = known.withColumn("_at", F.explode(cut)).drop("_lo", "_hi")
+    parts = parts.select("*", F.col("_at._k").alias("_k"), F.col("_at._c").alias("_c")).drop("_at").withColumnRenamed("entity_id", "_e")
+    levels = [r["_k"] for r in parts.select("_k").distinct().collect()]  # at most LEVELS + 1
+    own = points.withColumn("_pk", F.explode(F.array(*map(F.lit, sorted(levels)))) if levels else F.lit(0)).withColumn("_pc", F.floor(cell(F.col("t")) / size(F.col("_pk"))))
+    met = own.join(parts, (F.col("entity_id") == F.col("_e")) & (F.col("_pk") == F.col("_k")) & (F.col("_pc") == F.col("_c")))
+    return met.drop("_e", "_k", "_c", "_pk", "_pc")
+
+
 def covering(points: DataFrame, intervals: DataFrame, slack_h: float, long_h: float = 24.0) -> DataFrame:
     """For each point the best interval that covers it within some slack: exact cover, then length, start not after, class, latest start."""
-    j = points.join(intervals, "entity_id")
     slack = F.lit(slack_h)
+    micros = F.lit(round(slack_h * 3.6e9)).cast("long")
+    j = stabbed(points.select("entity_id", "point_id", "t"), intervals, plus_microseconds("t_start", -micros), plus_microseconds("t_end", micros))
     j = j.filter((hours_between("t", "t_start") <= slack) & (hours_between("t_end", "t") <= slack))
     exact = (F.col("t_start") <= F.col("t")) & (F.col("t_end") >= F.col("t"))
     long = hours_between("t_start", "t_end") >= long_h
@@ -57,13 +93,9 @@ def chained_start(matches: DataFrame, intervals: DataFrame, gap_h: float, acute:
     acute is a condition on an interval: its class or its length.
     """
     prior = intervals.filter("NOT open").filter(acute).select("entity_id", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"))
-    hop = (
-        matches.filter("t_start IS NOT NULL")
-        .join(prior, "entity_id")
-        .filter((F.col("p_start") <= F.col("t_start")) & (hours_between("p_end", "t_start") <= gap_h))
-        .groupBy("point_id")
-        .agg(F.min("p_start").alias("earlier"))
-    )
+    from_start = matches.filter("t_start IS NOT NULL").select("entity_id", "point_id", F.col("t_start").alias("t"))
+    near = stabbed(from_start, prior, F.col("p_start"), plus_microseconds("p_end", F.lit(round(gap_h * 3.6e9)).cast("long")))
+    hop = near.filter((F.col("p_start") <= F.col("t")) & (hours_between("p_end", "t") <= gap_h)).groupBy("point_id").agg(F.min("p_start").alias("earlier"))
     return matches.join(hop, "point_id", "left").select("point_id", F.least(F.coalesce("earlier", "t_start"), "t").alias("start"))
 
 
