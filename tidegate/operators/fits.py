@@ -60,11 +60,12 @@ class Fit:
 
 
 def design(rows: DataFrame, by: list[str], y: Column, columns: list[Column], weight: Column | None = None) -> DataFrame:
-    """key (the group as text), y, x, w of the rows whose outcome and columns are known. A first column of ones is the intercept."""
+    """key (the group as text), y, x, w of the rows whose outcome is known; ``summed`` leaves out those with an unknown column. A first
+    column of ones is the intercept."""
     key = F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in by])) if by else F.lit("[]")
     x = F.array(*[c.cast("double") for c in columns])
     out = rows.select(key.alias("key"), y.cast("double").alias("y"), x.alias("x"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
-    return out.filter(F.col("y").isNotNull() & F.col("w").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    return out.filter(F.col("y").isNotNull())
 
 
 def summed(data: DataFrame, width: int, of_rows) -> dict[tuple[str, int], np.ndarray]:
@@ -76,11 +77,15 @@ def summed(data: DataFrame, width: int, of_rows) -> dict[tuple[str, int], np.nda
             if not b.num_rows:
                 continue
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
-            y, w = b.column("y").to_numpy(), b.column("w").to_numpy()
+            y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w"))
             keys = b.column("key").dictionary_encode()
-            number = keys.indices.to_numpy()
+            # a filter in Spark on so many columns would be rewritten in every combination of their aliases
+            known = np.isfinite(x).all(1) & np.isfinite(y) & np.isfinite(w)
+            number = np.where(known, keys.indices.to_numpy(), -1)
             for i, key in enumerate(keys.dictionary.to_pylist()):
                 at = number == i
+                if not at.any():
+                    continue
                 for k, s in of_rows(key, x[at], y[at], w[at]):
                     total[key, k] = total[key, k] + s if (key, k) in total else s
         if total:

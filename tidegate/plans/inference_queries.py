@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import log_loss
-from tidegate.operators import concordance, evidence, fits, inference, resample, selection, transport
+from tidegate.operators import agreement, concordance, evidence, fits, inference, resample, selection, transport
 from tidegate.plans.tables import PREDICTIONS, predictions, ratings, table
 
 QUERIES: dict = {}
@@ -228,3 +228,50 @@ def channels(spark: SparkSession, d: str) -> DataFrame:
     """Eight channels of eight components each: four of them for each fold, from the other folds' rows."""
     groups = {f"c{g}": [f"x{i}" for i in range(8 * g, 8 * g + 8)] for g in range(8)}
     return rounded(selection.forward_channels(components(spark, d).filter("target = 'high'"), groups, "y", "fold", "entity", 4))
+
+
+@query("sa07_categorical", "WITH x AS (SELECT l_returnflag AS flag, l_linenumber % 3 AS a, l_quantity::int % 3 AS b FROM lineitem), n AS (SELECT flag, count(*) AS n, avg((a = b)::int) AS o FROM x GROUP BY 1), p AS (SELECT flag, c, count(*) FILTER (a = c) AS i, count(*) FILTER (b = c) AS j FROM x, range(3) r(c) GROUP BY 1, 2), e AS (SELECT flag, sum(i * j) AS e FROM p GROUP BY 1) SELECT flag, n, round(o, 6) AS agree, round((o - e / n / n) / (1 - e / n / n), 6) AS kappa FROM n JOIN e USING (flag)")
+def categorical(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_linenumber") % 3).cast("int").alias("a"), (F.col("l_quantity").cast("int") % 3).alias("b"))
+    return rounded(agreement.categorical_kappa(rows, ["flag"], "a", "b"))
+
+
+#: Kappa of the zeros and ones of pairs (x, y) by some columns.
+PAIR_KAPPA = "count(*) AS n, round(avg((x = y)::int), 6) AS agree, CASE WHEN avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)) < 1 THEN round((avg((x = y)::int) - avg(x) * avg(y) - (1 - avg(x)) * (1 - avg(y))) / (1 - avg(x) * avg(y) - (1 - avg(x)) * (1 - avg(y))), 6) END AS kappa"
+
+
+@query("sa08_pair_kappas", "WITH " + RATED + ", p AS (SELECT s.label, s.rater AS a, t.rater AS b, s.v AS x, t.v AS y FROM rg s JOIN rg t ON s.case_id = t.case_id AND s.label = t.label AND s.rater < t.rater) SELECT label, a, b, " + PAIR_KAPPA + " FROM p GROUP BY 1, 2, 3")
+def pair_kappas(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(agreement.pair_kappas(rated(spark, d), "case_id", "label", "rater", "v"))
+
+
+@query("sa08_intrarater", "WITH " + RATED + ", p AS (SELECT s.label, s.rater, s.v AS x, t.v AS y FROM rg s JOIN rg t ON t.case_id = s.case_id + 1 AND s.label = t.label AND s.rater = t.rater WHERE s.case_id % 10 < 5) SELECT label, rater, " + PAIR_KAPPA + " FROM p GROUP BY 1, 2")
+def intrarater(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the orders were shown again, as the next one."""
+    r = rated(spark, d)
+    again = table(spark, d, "orders").filter("o_orderkey % 10 < 5").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderkey") + 1).alias("copy"))
+    return rounded(agreement.intrarater(r, again, "case_id", "label", "rater", "v"))
+
+
+@query("sa01_waterfill")
+def waterfill(spark: SparkSession, d: str) -> DataFrame:
+    """Three hundred cases over sources in proportion to the square roots of their sizes, never more than a source has."""
+    cells = table(spark, d, "documents").filter("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("cap"), F.sqrt(F.count("*")).alias("share"))
+    return agreement.waterfilled(cells, "source", "cap", "share", 300)
+
+
+@query("sa12_report")
+def agreement_report(spark: SparkSession, d: str) -> DataFrame:
+    cases = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("stratum"), (1.0 + F.col("o_orderkey") % 3).alias("weight"))
+    return rounded(agreement.report(rated(spark, d), cases, (0, 1), "case_id", "label", "rater", "v", "stratum", "weight", 500, 3))
+
+
+@query("sa12_disputes", "WITH " + RATED + " SELECT case_id, string_agg(label, ', ' ORDER BY label) AS labels FROM (SELECT case_id, label FROM rg WHERE rater IN (0, 1) GROUP BY 1, 2 HAVING count(*) = 2 AND min(v) <> max(v)) GROUP BY 1")
+def disputes(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.disputes(rated(spark, d), 0, 1, "case_id", "label", "rater", "v")
+
+
+@query("mt19_audit")
+def circularity_audit(spark: SparkSession, d: str) -> DataFrame:
+    rows = predictions(spark, d).withColumn("comparator", (F.col("p_a") > 0.5).cast("int"))
+    return rounded(agreement.circularity(rows, "label", "entity", "p_b", "comparator", "y", 500, 3))
