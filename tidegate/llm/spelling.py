@@ -33,8 +33,8 @@ from tidegate.llm.common import Scratch, releasing
 #: Letters of a word, and the fewest that a word has.
 LETTERS, LEAST = r"[A-Za-zÀ-ÿ]", 7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Symbols of the reduced alphabet, letters of heads and tails, and words that a part of a block meets.
-SYMBOLS, EDGE, BLOCK = 12, 3, 1 << 16
+#: Symbols of the reduced alphabet, letters of heads and tails, words that a part of a block meets, and words of a task on average.
+SYMBOLS, EDGE, BLOCK, TASK = 12, 3, 1 << 16, 50_000
 #: Words whose neighbours are made together, as cells of words, places and symbols.
 CELLS, TOGETHER = 1 << 20, 1 << 14
 FORM = 10
@@ -225,7 +225,9 @@ def grouped(words: DataFrame) -> DataFrame:
     """word, form, root, n, n_near, form_n of a vocabulary (word, n). Its tables stay in the shared folder."""
     keep = Scratch(words.sparkSession)
     words = keep(words, "words")
-    dealt = blocks(words, keep).repartition("side", "block", "part").sortWithinPartitions("side", "block", "part")
+    # a word takes thousands of operations: tasks are cut by words, not by bytes
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * words.count() // TASK))
+    dealt = blocks(words, keep).repartition(tasks, "side", "block", "part").sortWithinPartitions("side", "block", "part")
     pairs = dealt.mapInArrow(near_pass, "word string, n_near long, best struct<less: long, w: string>")
     pairs = pairs.groupBy(F.col("word").alias("of")).agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
     told = words.join(pairs, words["word"] == pairs["of"], "left")
