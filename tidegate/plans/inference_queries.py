@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import log_loss
-from tidegate.operators import agreement, concordance, evidence, fits, inference, resample, selection, transport
+from tidegate.operators import agreement, concordance, deltas, evidence, fits, inference, resample, selection, summaries, transport
 from tidegate.plans.tables import PREDICTIONS, predictions, ratings, table
 
 QUERIES: dict = {}
@@ -144,13 +144,9 @@ def variants(spark: SparkSession, d: str) -> DataFrame:
     """One label under other windows and readings of what is unclear."""
     b = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("t"), (F.col("o_totalprice") > 300000).alias("y"), (F.col("o_orderstatus") == "P").alias("unclear"))
     sure = F.col("y") & ~F.col("unclear")
-    out = b.groupBy("entity_id").agg(
-        F.bool_or(sure).alias("main"), F.bool_or(F.col("y") | F.col("unclear")).alias("unclear_positive"),
-        F.bool_or(F.when(F.col("t") >= F.lit("2000-01-01").cast("timestamp_ntz"), sure)).alias("recent"),
-        F.min_by("y", F.struct("t", (~F.col("y")).alias("n"))).alias("first"),
-    )
-    names = ["main", "unclear_positive", "recent", "first"]
-    return out.unpivot("entity_id", names, "variant", "y").filter("y IS NOT NULL").groupBy("variant").agg(F.count("*").alias("n"), F.count_if("y").alias("positive"))
+    recent = F.bool_or(F.when(F.col("t") >= F.lit("2000-01-01").cast("timestamp_ntz"), sure))
+    first = F.min_by("y", F.struct("t", (~F.col("y")).alias("n")))
+    return deltas.variants(b, "entity_id", {"main": F.bool_or(sure), "unclear_positive": F.bool_or(F.col("y") | F.col("unclear")), "recent": recent, "first": first})
 
 
 RATED = "rg AS (SELECT l_orderkey AS case_id, l_returnflag AS label, l_suppkey % 4 AS rater, (max(l_quantity) > 25)::int AS v FROM lineitem GROUP BY 1, 2, 3)"
@@ -176,16 +172,15 @@ def rater_pairs(spark: SparkSession, d: str) -> DataFrame:
 def forms(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as forms: consistent if all turns are there, unblinded if a system turn tells the case."""
     f = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_distinct("role").alias("roles"), F.count("*").alias("turns"), F.bool_or(F.col("role") == "system").alias("opened"), (F.max("turn") + 1).alias("claimed"), (F.sum(F.length(F.coalesce("text", F.lit("")))) / 1000.0).alias("minutes"))
-    out = f.agg(F.count("*").alias("forms"), F.count_if(F.col("turns") == F.col("claimed")).alias("consistent"), F.count_if("opened").alias("unblinded"), F.count_if(F.col("roles") > 1).alias("complete"), F.expr("percentile(minutes, array(0.25, 0.5, 0.75))").alias("_q"))
-    return rounded(out.select("forms", "consistent", "unblinded", "complete", *[F.get("_q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]))
+    return rounded(summaries.form_checks(f, {"consistent": F.col("turns") == F.col("claimed"), "unblinded": F.col("opened"), "complete": F.col("roles") > 1}, "minutes"))
 
 
 @query("sa05_vitals", "WITH v AS (SELECT user_id AS case_id, event_type AS item, floor(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9 / 72)::bigint AS bin, value FROM events WHERE value IS NOT NULL) SELECT case_id, item, bin, count(*) AS n, round(median(value), 6) AS median, min(value) AS low, max(value) AS high FROM v GROUP BY 1, 2, 3")
 def vitals(spark: SparkSession, d: str) -> DataFrame:
     """Values of a case in bins of three days."""
     hours = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")) / F.lit(3.6e9)
-    v = table(spark, d, "events").filter("value IS NOT NULL").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("item"), F.floor(hours / 72).alias("bin"), "value")
-    return rounded(v.groupBy("case_id", "item", "bin").agg(F.count("*").alias("n"), F.median("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high")))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("item"), "ts", "value")
+    return rounded(summaries.binned_values(rows, "case_id", "item", hours, "value", 72))
 
 
 @query("mt20_weights")

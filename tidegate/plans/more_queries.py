@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import event_time, log_loss, logit
-from tidegate.operators import cohort, derived, features, identity, ladder, metrics, signals
+from tidegate.operators import cohort, derived, features, identity, ladder, metrics, signals, summaries
+from tidegate.operators import deltas as deltas_of
 from tidegate.plans.event_queries import MERGES, merges, rounded
 from tidegate.plans.statistic_queries import LOSS
-from tidegate.plans.tables import INDEX, PREDICTIONS, events, index, predictions, table
+from tidegate.plans.tables import EVENTS, INDEX, PREDICTIONS, events, index, predictions, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -122,27 +123,22 @@ def qualitative(spark: SparkSession, d: str) -> DataFrame:
 @query("ag15_class_shares", "SELECT site, cls, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY site), 6) AS share FROM (SELECT user_id % 3 AS site, event_type AS cls FROM events UNION ALL SELECT NULL, event_type FROM events) GROUP BY 1, 2")
 def class_shares(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.col("site").cast("long").alias("site"), F.col("domain").alias("cls"))
-    g = e.groupingSets([[F.col("site"), F.col("cls")], [F.col("cls")]], "site", "cls").agg(F.count("*").alias("n"))
-    return rounded(g.select("site", "cls", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("site"))).alias("share")))
+    return rounded(summaries.class_shares(e, "site", "cls"))
 
 
 @query("ag18_day_modes", """WITH h AS (SELECT user_id % 3 AS site, floor(value / 10)::bigint AS b FROM events), c AS (SELECT site, b, count(*) AS n, sum(count(*)) OVER (PARTITION BY site) AS t FROM h GROUP BY 1, 2)
   SELECT c.site, c.b AS bin, round(c.n / c.t, 6) AS share FROM c LEFT JOIN c p ON p.site = c.site AND p.b = c.b - 1 LEFT JOIN c q ON q.site = c.site AND q.b = c.b + 1 WHERE c.n / c.t > 0.05 AND c.n > coalesce(p.n, 0) AND c.n >= coalesce(q.n, 0)""")
 def day_modes(spark: SparkSession, d: str) -> DataFrame:
-    """Bins with a share above 5 % that exceed the bin before and aren't below the next; a bin without rows counts as 0."""
-    h = events(spark, d).select(F.col("site").cast("long").alias("site"), F.floor(F.col("value") / 10).alias("bin")).groupBy("site", "bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("site").orderBy("bin")
-    side = lambda f, step: F.when(f("bin").over(w) == F.col("bin") + step, f("n").over(w)).otherwise(0)
-    r = h.withColumns({"before": side(F.lag, -1), "after": side(F.lead, 1), "share": F.col("n") / F.sum("n").over(Window.partitionBy("site"))})
-    return rounded(r.filter((F.col("share") > 0.05) & (F.col("n") > F.col("before")) & (F.col("n") >= F.col("after"))).select("site", "bin", "share"))
+    """Bins of ten of an event's value."""
+    h = events(spark, d).select(F.col("site").cast("long").alias("site"), F.floor(F.col("value") / 10).alias("bin"))
+    return rounded(summaries.modes(h, "site", "bin"))
 
 
 @query("ag21_any_all", "SELECT o_orderpriority AS site, round(avg(any_r::int), 6) AS any_share, round(avg(all_r::int), 6) AS all_share FROM (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS any_r, bool_and(l_returnflag = 'R') AS all_r FROM lineitem GROUP BY 1) JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def any_all(spark: SparkSession, d: str) -> DataFrame:
-    r = F.col("l_returnflag") == "R"
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(r).alias("any_r"), F.bool_and(r).alias("all_r"))
-    j = g.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rounded(j.groupBy(F.col("o_orderpriority").alias("site")).agg(F.avg(F.col("any_r").cast("double")).alias("any_share"), F.avg(F.col("all_r").cast("double")).alias("all_share")))
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", F.col("o_orderpriority").alias("site"), "l_returnflag")
+    return rounded(summaries.any_all_shares(j, "l_orderkey", "site", F.col("l_returnflag") == "R"))
 
 
 @query("ag22_ratio_quartiles", "WITH r AS (SELECT l_linestatus AS s, l_extendedprice / l_quantity AS x FROM lineitem WHERE l_quantity > 0) SELECT s AS l_linestatus, count(x) AS n, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75 FROM r GROUP BY 1")
@@ -154,9 +150,7 @@ def ratio_quartiles(spark: SparkSession, d: str) -> DataFrame:
 @query("ag25_bands", "SELECT c_mktsegment AS site, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, count(*) AS n, round(avg((c_nationkey < 10)::int), 6) AS share FROM customer GROUP BY GROUPING SETS ((1, 2), (2))".replace("GROUPING SETS ((1, 2), (2))", "GROUPING SETS ((c_mktsegment, band), (band))"))
 def bands(spark: SparkSession, d: str) -> DataFrame:
     band = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "low").otherwise("high")
-    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("site"), band.alias("band"), (F.col("c_nationkey") < 10).cast("double").alias("x"))
-    g = c.groupingSets([[F.col("site"), F.col("band")], [F.col("band")]], "site", "band").agg(F.count("*").alias("n"), F.avg("x").alias("share"))
-    return rounded(g.select("site", "band", "n", "share"))
+    return rounded(summaries.bands(table(spark, d, "customer").withColumnRenamed("c_mktsegment", "site"), "site", band, F.col("c_nationkey") < 10))
 
 
 @query("tk05_one_per_code_day", "WITH " + DAILY + " SELECT entity_id, item, day, event_id FROM dy QUALIFY row_number() OVER (PARTITION BY entity_id, item, day ORDER BY event_id) = 1")
@@ -165,13 +159,33 @@ def one_per_code_day(spark: SparkSession, d: str) -> DataFrame:
     return daily(spark, d).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("entity_id", "item", "day", "event_id")
 
 
+@query("ag15_top_classes", "WITH " + EVENTS + ", t AS (SELECT key FROM ev WHERE key IS NOT NULL GROUP BY key ORDER BY count(*) DESC, key LIMIT 2), e AS (SELECT site::bigint AS site, CASE WHEN key IN (SELECT key FROM t) THEN key ELSE 'other' END AS cls FROM ev), g AS (SELECT site, cls, count(*) AS n FROM e GROUP BY GROUPING SETS ((site, cls), (cls))) SELECT site, cls, n, round(n / sum(n) OVER (PARTITION BY site), 6) AS share FROM g")
+def top_class_shares(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).select(F.col("site").cast("long").alias("site"), F.col("key").alias("cls"))
+    return rounded(summaries.top_class_shares(e, "site", "cls", 2))
+
+
+@query("ag18_near_shares", "WITH o AS (SELECT l_returnflag AS site, (date_diff('day', o_orderdate, l_shipdate) - 60) * 24.0 AS h FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT site, count(*) AS n, round(avg((abs(h) <= 24)::int), 6) AS within_24h, round(avg((abs(h) <= 72)::int), 6) AS within_72h FROM o WHERE h IS NOT NULL GROUP BY 1")
+def near_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shipments around the sixtieth day after the order."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    h = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("l_returnflag").alias("site"), ((F.datediff("l_shipdate", "o_orderdate") - 60) * 24.0).alias("h"))
+    return rounded(summaries.near_shares(h, "site", "h", {"within_24h": 24, "within_72h": 72}))
+
+
+@query("tk04_over_labels", "WITH e AS (SELECT vec_id, label, i - 1 AS dim, embedding[i]::double AS x FROM embeddings, range(1, 65) t(i)), c AS (SELECT dim, greatest(abs(corr(x, (label >= 5)::int)), abs(corr(x, label % 2))) AS c FROM e GROUP BY 1), r AS (SELECT dim, round(c, 9) AS c FROM c), f AS (SELECT dim, c, row_number() OVER (ORDER BY c DESC, dim) AS k FROM r WHERE dim NOT IN (0, 7)) SELECT dim, round(c, 6) AS corr, k AS rank, false AS protected FROM f WHERE k <= 8 UNION ALL SELECT dim, round(c, 6), NULL, true FROM r WHERE dim IN (0, 7)")
+def correlated_over_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Components by their highest correlation with either of two labels; two of them stay whatever theirs is."""
+    e = table(spark, d, "embeddings").select(F.expr("stack(2, 'high', int(label >= 5), 'odd', int(label % 2)) AS (target, y)"), "embedding")
+    e = e.select("target", "y", F.posexplode("embedding").alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))
+    return rounded(summaries.top_correlated(e, "dim", "target", "x", "y", 8, ["0", "7"]))
+
+
 @query("tk04_top_correlated", "WITH e AS (SELECT vec_id, (label >= 5)::int::double AS y, i - 1 AS dim, embedding[i]::double AS x FROM embeddings, range(1, 65) t(i)), c AS (SELECT dim, round(abs(corr(x, y)), 9) AS c FROM e GROUP BY 1) SELECT dim, round(c, 6) AS corr, row_number() OVER (ORDER BY c DESC, dim) AS rank FROM c QUALIFY row_number() OVER (ORDER BY c DESC, dim) <= 10")
 def top_correlated(spark: SparkSession, d: str) -> DataFrame:
-    """The ranked table has a row for each dimension."""
-    e = table(spark, d, "embeddings").select((F.col("label") >= 5).cast("double").alias("y"), F.posexplode("embedding").alias("dim", "x"))
-    c = e.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.round(F.abs(F.corr(F.col("x").cast("double"), "y")), 9).alias("c"))
-    ranked = c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("c"), "dim")).cast("long")).filter("rank <= 10")
-    return ranked.select("dim", F.round("c", 6).alias("corr"), "rank")
+    e = table(spark, d, "embeddings").select((F.col("label") >= 5).cast("double").alias("y"), F.lit("high").alias("target"), F.posexplode("embedding").alias("dim", "x"))
+    top = summaries.top_correlated(e.withColumn("dim", F.col("dim").cast("long")), "dim", "target", "x", "y", 10)
+    return top.select("dim", F.round("corr", 6).alias("corr"), "rank")
 
 
 DELTAS = PREDICTIONS + ", dl AS (SELECT site, entity, avg(" + LOSS.format(p="p_b") + " - (" + LOSS.format(p="p_a") + ")) AS d FROM pr WHERE y IS NOT NULL GROUP BY 1, 2)"
@@ -185,15 +199,12 @@ def deltas(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mt03_every_site", "WITH " + DELTAS + " SELECT count(*) AS sites, bool_and(m < 0) AS every_site, round(avg(m), 6) AS mean, round(stddev_samp(m) / sqrt(count(*)), 6) AS se FROM (SELECT site, avg(d) AS m FROM dl GROUP BY 1)")
 def every_site(spark: SparkSession, d: str) -> DataFrame:
-    m = deltas(spark, d).groupBy("site").agg(F.avg("d").alias("m"))
-    return rounded(m.agg(F.count("*").alias("sites"), F.bool_and(F.col("m") < 0).alias("every_site"), F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("se")))
+    return rounded(deltas_of.over_sites(deltas(spark, d), "site", "d").drop("pooled"))
 
 
 @query("mt10_strata", "WITH " + DELTAS + ", s AS (SELECT d, entity % 3 AS stratum FROM dl), m AS (SELECT stratum, count(*) AS n, avg(d) AS m FROM s GROUP BY 1) SELECT stratum, n, round(m, 6) AS delta, round(m - min_by(m, stratum) OVER (), 6) AS against_first FROM m".replace("min_by(m, stratum) OVER ()", "first_value(m) OVER (ORDER BY stratum)"))
 def strata(spark: SparkSession, d: str) -> DataFrame:
-    m = deltas(spark, d).groupBy((F.col("entity") % 3).alias("stratum")).agg(F.count("*").alias("n"), F.avg("d").alias("m"))
-    first = F.min_by("m", "stratum").over(Window.partitionBy())
-    return rounded(m.select("stratum", "n", F.col("m").alias("delta"), (F.col("m") - first).alias("against_first")))
+    return rounded(deltas_of.by_stratum(deltas(spark, d).withColumn("stratum", F.col("entity") % 3), "stratum", "d"))
 
 
 @query("mt13_label_order", "WITH " + PREDICTIONS + ", s AS (SELECT site, avg(p_a) AS a, avg(p_b) AS b FROM pr GROUP BY 1), p AS (SELECT sign(x.a - y.a) * sign(x.b - y.b) AS c FROM s x JOIN s y ON x.site < y.site) SELECT count(*) AS pairs, round(sum(c) / count(*), 6) AS tau FROM p")
@@ -205,12 +216,27 @@ def label_order(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.agg(F.count("*").alias("pairs"), (F.sum("c") / F.count("*")).alias("tau")))
 
 
+@query("mt03_site_deltas", "WITH " + DELTAS + " SELECT site, count(*) AS n, round(avg(d), 6) AS delta FROM dl GROUP BY 1")
+def site_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(deltas_of.by_site(deltas(spark, d), "site", "d"))
+
+
+@query("mt10_rule")
+def strata_rule(spark: SparkSession, d: str) -> DataFrame:
+    """Gains in three strata with their intervals."""
+    return rounded(deltas_of.strata_rule(deltas(spark, d).withColumn("stratum", F.col("entity") % 3), "stratum", "site", "entity", "d", replicates=500)[0])
+
+
+@query("mt14_by_grade", "WITH " + DELTAS + ", g AS (SELECT entity % 4 AS x, d FROM dl), r AS (SELECT d, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2 AS b FROM g) SELECT round(avg(d) FILTER (x < 2), 6) AS light, round(avg(d) FILTER (x >= 2), 6) AS heavy, round(avg(d) FILTER (x >= 2) - avg(d) FILTER (x < 2), 6) AS difference, round(corr(a, b), 6) AS spearman FROM r")
+def by_grade(spark: SparkSession, d: str) -> DataFrame:
+    g = deltas(spark, d).withColumn("x", F.col("entity") % 4)
+    return rounded(deltas_of.graded(g, "x", "d", "site", 2).select("light", "heavy", "difference", "spearman"))
+
+
 @query("mt14_graded", "WITH " + DELTAS + ", g AS (SELECT site, d, (entity % 4)::double AS x FROM dl), c AS (SELECT x - avg(x) OVER (PARTITION BY site) AS x, d - avg(d) OVER (PARTITION BY site) AS d FROM g) SELECT round((SELECT regr_slope(d, x) FROM g), 6) AS slope, round((SELECT sum(x * d) / sum(x * x) FROM c), 6) AS within_site")
 def graded(spark: SparkSession, d: str) -> DataFrame:
-    g = deltas(spark, d).withColumn("x", (F.col("entity") % 4).cast("double"))
-    w = Window.partitionBy("site")
-    c = g.withColumns({"cx": F.col("x") - F.avg("x").over(w), "cd": F.col("d") - F.avg("d").over(w)})
-    return rounded(c.agg(F.regr_slope("d", "x").alias("slope"), (F.sum(F.col("cx") * F.col("cd")) / F.sum(F.col("cx") * F.col("cx"))).alias("within_site")))
+    g = deltas(spark, d).withColumn("x", F.col("entity") % 4)
+    return rounded(deltas_of.graded(g, "x", "d", "site", 2).select("slope", "within_site"))
 
 
 @query("mt17_logit_gap", "WITH " + PREDICTIONS + " SELECT label, round(avg(ln(p_b / (1 - p_b)) - ln(p_a / (1 - p_a))) FILTER (y = 1), 5) AS gap_pos, round(avg(ln(p_b / (1 - p_b)) - ln(p_a / (1 - p_a))) FILTER (y = 0), 5) AS gap_neg FROM (SELECT * REPLACE (least(greatest(p_a, 1e-6::double), 1 - 1e-6::double) AS p_a) FROM pr) GROUP BY 1")
