@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -141,3 +142,45 @@ def nodes(flags: DataFrame, rules: dict[str, object]) -> DataFrame:
     for name, rule in rules.items():
         walk(name, rule)
     return flags.select("case_id", *[c.alias(n) for n, c in out.items()])
+
+
+@dataclass(frozen=True)
+class Extraction:
+    """labels (case_id and a column each), how many events had a reason to go, and how the leaves are covered by what stayed."""
+
+    labels: DataFrame
+    removed: DataFrame
+    coverage: DataFrame
+
+
+def extract(
+    anchors: DataFrame,
+    cases: DataFrame,
+    reason: Column,
+    leaves: dict[str, str],
+    items: dict[str, str],
+    mapped: set[str],
+    rules: dict[str, object],
+    derived: dict[str, Column] | None = None,
+    sources: DataFrame | None = None,
+    least: float = 0.5,
+    keep_if_present: bool = False,
+) -> Extraction:
+    """From anchored events to labels: events with a reason are no evidence and go; rules are asked of what stays, and are null where
+    that can't meet them; a label that isn't positive is null in a bin of cases where its source is seldom there; then labels that
+    derive from labels.
+
+    sources (case_id, bin, has_source): a bin's share of cases with a source must be ``least``; a case's own source may speak for it.
+    """
+    kept, gone = removed(anchors, reason)
+    status = coverage(kept, leaves, items, mapped)
+    out = labels(leaf_flags(kept, cases, leaves), rules, satisfiable(status, rules))
+    if sources is not None:
+        shares = sources.groupBy(F.col("bin").alias("_bin")).agg(F.avg(F.coalesce(F.col("has_source"), F.lit(False)).cast("double")).alias("_share"))
+        own = sources.select(F.col("case_id").alias("_case"), "bin", F.coalesce(F.col("has_source"), F.lit(False)).alias("_has")).join(shares, F.col("bin").eqNullSafe(F.col("_bin")))
+        thin = F.coalesce(F.col("_share") < least, F.lit(False))
+        if keep_if_present:
+            thin = thin & ~F.coalesce("_has", F.lit(False))
+        marked = out.join(own.select("_case", "_share", "_has"), F.col("case_id") == F.col("_case"), "left")
+        out = marked.select("case_id", *[F.when(~thin | F.coalesce(n, F.lit(False)), F.col(n)).alias(n) for n in rules])
+    return Extraction(out.withColumns(derived or {}), gone, status)

@@ -121,6 +121,35 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
     return evidence.labels(evidence.leaf_flags(a, cases(spark, d), LEAVES), RULES, can)
 
 
+#: What is no evidence: readings out of range, and old qualitative events.
+GONE = "CASE WHEN kind = 'quantitative' AND value > 80 THEN 'extreme' WHEN kind = 'qualitative' AND hours < -48 THEN 'old' END"
+CHAIN = "WITH " + PLAIN + ", ok AS (SELECT * FROM an WHERE " + GONE + " IS NULL)" + FLAGS.replace("LEFT JOIN an ON an.case_id", "LEFT JOIN ok ON ok.case_id") + """,
+  so AS (SELECT ix.entity_id AS case_id, ix.entity_id % 4 AS bin, coalesce(bool_or(item = 'seen' AND hours BETWEEN -12 AND 12), false) AS has FROM ix LEFT JOIN an ON an.case_id = ix.entity_id GROUP BY 1),
+  sh AS (SELECT bin, avg(has::int) AS share FROM so GROUP BY 1), lb AS (SELECT case_id, fault_high OR (fault_early AND k1) AS acute, k2_late AND (fault_early OR never) AS late FROM fl),
+  av AS (SELECT case_id, CASE WHEN acute OR share >= 0.3 OR has THEN acute END AS acute, CASE WHEN late OR share >= 0.3 OR has THEN late END AS late FROM lb JOIN so USING (case_id) JOIN sh USING (bin))
+"""
+
+
+def chain(spark: SparkSession, d: str) -> evidence.Extraction:
+    a = anchors(spark, d)
+    reason = F.when((F.col("kind") == "quantitative") & (F.col("value") > 80), "extreme").when((F.col("kind") == "qualitative") & (F.col("hours") < -48), "old")
+    seen = a.groupBy("case_id").agg(F.bool_or((F.col("item") == "seen") & F.col("hours").between(-12, 12)).alias("has_source"))
+    sources = cases(spark, d).select("case_id", (F.col("case_id") % 4).alias("bin")).join(seen, "case_id", "left")
+    derived = {"either": F.coalesce("acute", F.lit(False)) | F.coalesce("late", F.lit(False)), "both": F.col("acute") & F.col("late")}
+    return evidence.extract(a, cases(spark, d), reason, LEAVES, ITEMS, {"fault", "k1", "k2"}, RULES, derived, sources, 0.3, keep_if_present=True)
+
+
+@query("lb08_chain", CHAIN + " SELECT case_id, acute, late, NULL::boolean AS odd, coalesce(acute, false) OR coalesce(late, false) AS either, acute AND late AS both FROM av")
+def label_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Events to labels with all that the chain has: evidence that goes, thin sources, derived labels."""
+    return chain(spark, d).labels
+
+
+@query("lb08_removed", "WITH " + PLAIN + ", g AS (SELECT " + GONE + " AS reason FROM an) SELECT reason, count(*) AS n FROM g WHERE reason IS NOT NULL GROUP BY 1")
+def chain_removed(spark: SparkSession, d: str) -> DataFrame:
+    return chain(spark, d).removed
+
+
 @query("lb10_nodes", "WITH " + PLAIN + FLAGS + " SELECT case_id, fault_high OR (fault_early AND k1) AS acute, fault_high AS acute_0, fault_early AND k1 AS acute_1, fault_early AS acute_1_0, k1 AS acute_1_1 FROM fl")
 def rule_nodes(spark: SparkSession, d: str) -> DataFrame:
     return evidence.nodes(evidence.leaf_flags(anchors(spark, d), cases(spark, d), LEAVES), {"acute": RULES["acute"]})
