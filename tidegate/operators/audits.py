@@ -100,7 +100,9 @@ def geometry(points: DataFrame, intervals: DataFrame, slack_h: float) -> DataFra
     starts = intervals.filter("t_start IS NOT NULL").select("entity_id", F.col("t_start").alias("t"), F.col("t_start").alias("s"), no.cast(points.schema["point_id"].dataType).alias("point_id"))
     both = starts.unionByName(points.select("entity_id", "t", no.cast(intervals.schema["t_start"].dataType).alias("s"), "point_id"))
     order = Window.partitionBy("entity_id").orderBy("t", F.col("s").isNull())
-    told = both.withColumns({"_last": F.last("s", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.first("s", True).over(order.rowsBetween(1, Window.unboundedFollowing))}).filter("point_id IS NOT NULL")
+    # backwards: a frame to the end of the group would be read anew for each row
+    back_order = Window.partitionBy("entity_id").orderBy(F.desc("t"), F.col("s").isNull().desc())
+    told = both.withColumns({"_last": F.last("s", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.last("s", True).over(back_order.rowsBetween(Window.unboundedPreceding, -1))}).filter("point_id IS NOT NULL")
     back, on = hours_between("t", "_last"), hours_between("t", "_next")
     nearest = F.when(back.isNull() | (on < -back), on).otherwise(back)
     flag = lambda c: F.coalesce(c, F.lit(False))

@@ -36,10 +36,8 @@ def backward_as_of(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return last.select("point_id", F.when(open_still, F.col("_last.interval_id")).alias("interval_id"))
 
 
-#: Hours of the smallest cell of time.
-CELL_H = 24.0
-#: Two to this many cells is the longest stretch; what is longer has several of these.
-LEVELS = 24
+#: Hours of the smallest cell of time, cells of a block of the next size, and the largest size; a longer stretch has several of these.
+CELL_H, RADIX, LEVELS = 96.0, 4, 4
 
 
 def cell(t: Column, hours: float = CELL_H) -> Column:
@@ -50,23 +48,25 @@ def cell(t: Column, hours: float = CELL_H) -> Column:
 def stabbed(points: DataFrame, intervals: DataFrame, low: Column, high: Column) -> DataFrame:
     """points (entity_id, t, ..) beside the intervals of their entity from whose cell of low to that of high their own cell lies.
 
-    A stretch of cells is cut into at most two blocks of each power of two, and a point asks for its block of each size: both meet by
-    equality of entity and block, each pair once, and an entity's rows spread over its time. ``low`` and ``high`` are of intervals.
+    A stretch of cells is cut into blocks of powers of RADIX, a few of each size, and a point asks for its block of each size: both meet
+    by equality of entity and block, each pair once, and an entity's rows spread over its time. ``low`` and ``high`` are of intervals.
     """
     known = intervals.withColumns({"_lo": cell(low), "_hi": cell(high)}).filter("_lo <= _hi")
-    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-
-    def blocks(k: Column) -> Column:
-        first, last = F.ceil(F.col("_lo") / size(k)), F.floor((F.col("_hi") + 1) / size(k)) - 1
-        top = k == LEVELS
-        ends = F.array(F.when(F.pmod(first, F.lit(2)) == 1, first), F.when(F.pmod(last, F.lit(2)) == 0, last))
-        return F.when(first > last, F.array().cast("array<bigint>")).when(top, F.sequence(first, last)).otherwise(F.array_compact(ends))
-
-    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.transform(blocks(k), lambda c: F.struct(k.alias("_k"), c.alias("_c")))))
-    parts = known.withColumn("_at", F.explode(cut)).drop("_lo", "_hi")
-    parts = parts.select("*", F.col("_at._k").alias("_k"), F.col("_at._c").alias("_c")).drop("_at").withColumnRenamed("entity_id", "_e")
-    levels = [r["_k"] for r in parts.select("_k").distinct().collect()]  # at most LEVELS + 1
-    own = points.withColumn("_pk", F.explode(F.array(*map(F.lit, sorted(levels)))) if levels else F.lit(0)).withColumn("_pc", F.floor(cell(F.col("t")) / size(F.col("_pk"))))
+    none = F.array().cast("array<bigint>")
+    run = lambda x, y: F.when(x <= y, F.sequence(x.cast("long"), y.cast("long"))).otherwise(none)
+    of_size = lambda k, cells: F.transform(cells, lambda c: F.struct(F.lit(k).alias("_k"), c.alias("_c")))
+    first = [F.ceil(F.col("_lo") / RADIX**k).cast("long") for k in range(LEVELS + 1)]
+    last = [(F.floor((F.col("_hi") + 1) / RADIX**k) - 1).cast("long") for k in range(LEVELS + 1)]
+    blocks = []
+    for k in range(LEVELS + 1):
+        whole = run(first[k], last[k])
+        if k < LEVELS:  # what the next size doesn't take
+            ends = F.concat(run(first[k], first[k + 1] * RADIX - 1), run((last[k + 1] + 1) * RADIX, last[k]))
+            whole = F.when(first[k + 1] > last[k + 1], whole).otherwise(ends)
+        blocks.append(of_size(k, whole))
+    parts = known.select(*[F.col(c).alias("_e" if c == "entity_id" else c) for c in intervals.columns], F.inline(F.concat(*blocks)))
+    asked = F.array(*[F.struct(F.lit(k).alias("_pk"), F.floor(cell(F.col("t")) / RADIX**k).alias("_pc")) for k in range(LEVELS + 1)])
+    own = points.select("*", F.inline(asked))
     met = own.join(parts, (F.col("entity_id") == F.col("_e")) & (F.col("_pk") == F.col("_k")) & (F.col("_pc") == F.col("_c")))
     return met.drop("_e", "_k", "_c", "_pk", "_pc")
 

@@ -83,7 +83,8 @@ def applied(rows: DataFrame, label: str, x: str, table: DataFrame, name: str, ep
     both = both.unionByName(table.select(F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col("key").alias("_k"), F.col("low").alias("_x"), item.alias("_s")))
     order = Window.partitionBy("_k").orderBy(F.col("_x").asc_nulls_first(), F.col("_s").isNull())
     before = F.last("_s", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_s", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("_k").orderBy(F.col("_x").desc_nulls_last(), F.col("_s").isNull().desc())
+    after = F.last("_s", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     cut = lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(eps)), F.lit(1 - eps)))
     told = both.withColumns({"_b": before, "_a": after}).filter("_row IS NOT NULL")
     a, b = cut(F.col("_b.value")), cut(F.col("_a.value"))
