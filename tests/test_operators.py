@@ -194,6 +194,35 @@ def test_bootstrap_modes_by_hand(spark):
         metrics.bootstrap_means(rows.filter("site = 'a'"), "site", "v", 5, 3, "cluster").collect()
 
 
+def test_bootstrap_draws_over_many_blocks(spark, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    heads, tails = [b"7|12|\xc3\xb1|", b"7|999|x|", b"h" * 8], [b"10", b"99"]
+    wide = [b"s" * k + h for h in heads[1:] for k in (0, 48, 60, 130)]
+    for h in [heads[0], *wide]:
+        want = [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in tails]]
+        assert metrics.md5_numbers(np.array([list(h)]), np.array([list(t) for t in tails])).tolist() == want
+    monkeypatch.setattr(metrics, "BLOCK", 64)
+    monkeypatch.setattr(metrics, "SLOTS", 48)
+    n, name = 300, "é" * 30
+    draw = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) % n
+    got = {}
+    for start in range(0, n, 48):
+        blocks, counts, offsets = metrics.packed_draws(5, name, n, range(start, min(n, start + 48)), [9, 10, 10], [2, 0, 1])
+        for b, c, o in zip(blocks, counts, offsets):
+            for i, x in zip(np.repeat(range(3), c), np.frombuffer(o, np.uint16)):
+                got.setdefault(int(i), []).append(int(b) * 64 + int(x))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(draw(5, r, p, name, s) for s in range(n)) for i, (r, p) in enumerate([(9, 2), (10, 0), (10, 1)])}
+
+
+def test_bootstrap_joins_no_draws(spark):
+    rows = spark.range(40).selectExpr("CAST(id % 3 AS STRING) AS site", "id AS entity", "IF(id % 7 = 0, NULL, CAST(id AS DOUBLE)) AS v")
+    plan = metrics.bootstrap_means(rows, "site", "v", 20, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapCoGroupsInPandas")[-1] and "MapInArrow" in plan
+
+
 def plain_pools(sizes, k):
     """The smallest group joins the next smallest until all have k."""
     groups = sorted((n, s, [s]) for s, n in sizes.items() if n > 0)

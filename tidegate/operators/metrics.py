@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +81,11 @@ def confusion(rows: DataFrame, by: list[str], y: str, guess: str) -> DataFrame:
     return t.select("*", rate("tp", "tp + fn").alias("sensitivity"), rate("tn", "tn + fp").alias("specificity"), rate("tp", "tp + fp").alias("ppv"), rate("tn", "tn + fn").alias("npv"))
 
 
-#: Resamples as in the reference, and how many of them a task takes together.
+#: Resamples as in the reference, how many of them a task draws together, for how many of a site's slots, and hashes at a time.
 REPLICATES = 2000
-PIECE = 50
+PIECE, SLOTS, TILE = 50, 1 << 14, 1 << 14
+#: Rows whose values a task holds at a time, and replicates whose draws from them it holds.
+BLOCK, SOME = 1 << 15, 500
 MODES = ("within_site", "cluster", "two_stage")
 
 
@@ -95,27 +102,116 @@ def drawn_sites(rows: DataFrame, site: str, value: str, replicates: int, seed: i
 def bootstrap_means(rows: DataFrame, site: str, value: str, replicates: int, seed: int, mode: str = "within_site") -> DataFrame:
     """rep, mean over resamples within sites: slot s of a site takes the row whose number is a hash of seed, rep, site and slot.
 
-    ``cluster`` draws whole sites, ``two_stage`` draws sites and then slots within each, by the site's position too. Slots are dealt
-    with pieces of the replicates before they are expanded; each expanded slot then meets its draw by an equi-join.
+    ``cluster`` draws whole sites, ``two_stage`` draws sites and then slots within each, by the site's position too. Some slots of a site
+    are drawn for some replicates at a time, and the draws packed by block of rows; a block's values meet what was drawn from it and
+    give sums: a draw costs two bytes in the shuffle, and nothing is broadcast that grows with the rows.
     """
     assert mode in MODES, f"mode must be one of {MODES}"
     if mode == "cluster":
         return drawn_sites(rows, site, value, replicates, seed).groupBy("rep").agg((F.sum("total") / F.sum("n")).alias("mean"))
-    placed = ranks.ranked(rows.select(site, "entity", value), [site], ["entity"])
-    numbered = written(placed.select(site, F.col(value).alias("v"), (F.col("_rank") - 1).alias("row"), F.col("_size").alias("n")), "numbered")
-    slots = numbered.select(site, F.col("row").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // PIECE))).alias("piece"))
-    slots = slots.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), site, "slot", "piece")
+    placed = ranks.ranked(rows.filter(F.col(site).isNotNull()).select(site, "entity", F.col(value).cast("double").alias("v")), [site], ["entity"])
+    numbered = written(placed.select(site, "v", (F.col("_rank") - 1).alias("row")), "numbered")
+    upto = lambda n: F.sequence(F.lit(0), n)
+    chunks = numbered.groupBy(site).agg(F.count("*").alias("n")).select(site, "n", F.explode(upto(F.floor((F.col("n") - 1) / SLOTS).cast("int"))).alias("chunk"))
+    chunks = chunks.select("*", F.explode(upto(F.lit((replicates - 1) // PIECE))).alias("piece"))
     if mode == "two_stage":
         sites = drawn_sites(rows, site, value, replicates, seed).groupBy(site, F.floor(F.col("rep") / PIECE).cast("int").alias("piece"))
-        slots = slots.join(sites.agg(F.collect_list(F.struct("rep", "pos")).alias("drawn")), [site, "piece"])
+        chunks = chunks.join(sites.agg(F.collect_list("rep").alias("reps"), F.collect_list("pos").alias("pos")), [site, "piece"])
     else:
         reps = F.sequence(F.col("piece") * PIECE, F.least(F.col("piece") * PIECE + PIECE, F.lit(replicates)) - 1)
-        slots = slots.withColumn("drawn", F.transform(reps, lambda r: F.struct(r.alias("rep"), F.lit(None).cast("int").alias("pos"))))
-    slots = slots.select(site, "slot", "n", F.explode("drawn").alias("d")).select(site, "slot", "n", "d.rep", "d.pos")
-    # a null position leaves no trace in the hash
-    key = portable_hash(F.lit(str(seed)), F.col("rep").cast("string"), F.col("pos").cast("string"), F.col(site).cast("string"), F.col("slot").cast("string"))
-    draws = slots.select(site, F.pmod(key, F.col("n")).alias("row"), "rep")
-    return draws.join(numbered.select(site, "row", "v"), [site, "row"]).groupBy("rep").agg(F.avg("v").alias("mean"))
+        chunks = chunks.select("*", reps.alias("reps"), F.lit(None).cast("array<int>").alias("pos"))
+    dealt = chunks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), site, "chunk", "piece")
+    named = dealt.select(F.col(site).alias("site"), F.col(site).cast("string").alias("name"), "n", "chunk", "piece", "reps", "pos")
+    kind = rows.schema[site].dataType.simpleString()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("site")
+            for i, r in enumerate(batch.drop_columns(["site"]).to_pylist()):
+                slots = range(r["chunk"] * SLOTS, min(r["n"], (r["chunk"] + 1) * SLOTS))
+                blocks, counts, offsets = packed_draws(seed, r["name"], r["n"], slots, r["reps"], r["pos"])
+                k = len(blocks)
+                lists = lambda x: pa.array(x, pa.list_(pa.int32()))
+                columns = [of.take(pa.array([i] * k, pa.int32())), pa.array(blocks, pa.int64()), pa.array([r["piece"] * PIECE // SOME] * k, pa.int32()), lists([r["reps"]] * k), lists(counts), pa.array(offsets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["site", "block", "some", "reps", "counts", "offsets"])
+
+    def added(drawn: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if drawn.empty:
+            return pd.DataFrame({"rep": [], "s": [], "n": []})
+        values, there = np.zeros(BLOCK), np.zeros(BLOCK)
+        isnull = known["null"].to_numpy(bool)
+        values[known["at"]], there[known["at"]] = np.where(isnull, 0.0, known["v"].to_numpy(float)), ~isnull
+        first = int(drawn["some"].iloc[0]) * SOME
+        sums, n = np.zeros(SOME), np.zeros(SOME)
+        for reps, counts, offsets in zip(drawn["reps"], drawn["counts"], drawn["offsets"]):
+            rep, at = np.repeat(reps, counts) - first, np.frombuffer(offsets, np.uint16)
+            sums += np.bincount(rep, values[at], SOME)
+            n += np.bincount(rep, there[at], SOME)
+        taken = np.unique(np.concatenate(list(drawn["reps"])))
+        return pd.DataFrame({"rep": taken, "s": sums[taken - first], "n": n[taken - first]})
+
+    draws = named.mapInArrow(packed, f"site {kind}, block bigint, some int, reps array<int>, counts array<int>, offsets binary")
+    parts = upto(F.lit((replicates - 1) // SOME))
+    values = numbered.select(F.col(site).alias("site"), F.floor(F.col("row") / BLOCK).alias("block"), (F.col("row") % BLOCK).cast("int").alias("at"), F.coalesce("v", F.lit(0.0)).alias("v"), F.col("v").isNull().alias("null"), F.explode(parts).alias("some"))
+    keys = ["site", "block", "some"]
+    sums = draws.groupBy(*keys).cogroup(values.groupBy(*keys)).applyInPandas(added, "rep int, s double, n double")
+    return sums.groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+
+
+def packed_draws(seed: int, name: str, n: int, slots: range, reps: list[int], pos: list[int] | None) -> tuple[list, list, list]:
+    """Of some slots' draws from n rows in some replicates: the blocks of rows drawn from, counts for each replicate, and places in the block."""
+    heads = [f"{seed}|{r}|{name}|" if p is None else f"{seed}|{r}|{p}|{name}|" for r, p in zip(reps, pos or [None] * len(reps))]
+    heads = [h.encode() for h in heads]
+    found = []
+    for d in range(len(str(slots.start)), len(str(slots.stop - 1)) + 1):
+        some = np.arange(max(slots.start, 10 ** (d - 1) if d > 1 else 0), min(slots.stop, 10**d))
+        digits = some[:, None] // 10 ** np.arange(d - 1, -1, -1) % 10 + 48
+        for p in {len(h) for h in heads}:
+            own = np.array([i for i, h in enumerate(heads) if len(h) == p])
+            step = max(1, TILE // len(some))
+            for at in range(0, len(own), step):
+                tile = own[at : at + step]
+                row = md5_numbers(np.array([list(heads[i]) for i in tile]), digits).astype(np.int64) % n
+                found.append((((row // BLOCK) * len(heads) + tile[:, None]) * BLOCK + row % BLOCK).ravel())
+    # by block, replicate and place in one number
+    every = np.sort(np.concatenate(found))
+    of = every // BLOCK
+    start = np.flatnonzero(np.r_[True, of[1:] // len(heads) != of[:-1] // len(heads)])
+    counts, offsets = [], []
+    for i, j in zip(start, [*start[1:], len(every)]):
+        counts.append(np.bincount(of[i:j] % len(heads), minlength=len(heads)).astype(np.int32))
+        offsets.append((every[i:j] % BLOCK).astype(np.uint16).tobytes())
+    return list(of[start] // len(heads)), counts, offsets
+
+
+MD5_TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+MD5_SINES = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2**32).astype(np.uint32)
+
+
+def md5_numbers(heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """``portable_hash`` of each head with each tail, both rows of byte codes: MD5 over many texts at a time."""
+    heads, tails = heads.astype(np.uint32), tails.astype(np.uint32)
+    p, size = heads.shape[1], heads.shape[1] + tails.shape[1]
+    end = (size + 8) // 64 * 64 + 64
+    one = lambda x: np.full((1, 1), x, np.uint32)
+    code = lambda j: heads[:, j, None] if j < p else tails[None, :, j - p] if j < size else one(0x80 if j == size else size * 8 >> 8 * (j - end + 8) & 255 if j >= end - 8 else 0)
+    state = [one(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    for block in range(0, end, 64):
+        words = [code(j) | code(j + 1) << 8 | code(j + 2) << 16 | code(j + 3) << 24 for j in range(block, block + 64, 4)]
+        a, b, c, d = state
+        for i, turn in enumerate(MD5_TURNS):
+            if i < 16:
+                f, w = d ^ (b & (c ^ d)), i
+            elif i < 32:
+                f, w = c ^ (d & (b ^ c)), 5 * i + 1
+            elif i < 48:
+                f, w = b ^ c ^ d, 3 * i + 5
+            else:
+                f, w = c ^ (b | ~d), 7 * i
+            f = f + a + (words[w % 16] + MD5_SINES[i])
+            a, d, c, b = d, c, b, b + (f << turn | f >> (32 - turn))
+        state = [x + y for x, y in zip(state, (a, b, c, d))]
+    return np.broadcast_to(state[0], (len(heads), len(tails))).byteswap()
 
 
 def percentile_interval(means: DataFrame, alpha: float = 0.05) -> DataFrame:
