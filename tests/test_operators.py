@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from tidegate.functions import text
-from tidegate.operators import audits, disclose, features, flow, gate, identity, intervals, metrics, nearest, ranks, rules, runs, sampling
+from tidegate.operators import audits, builders, disclose, features, flow, gate, identity, intervals, metrics, nearest, ranks, rules, runs, sampling
 from tidegate.sources import readers
 from tidegate.streaming import incremental
 
@@ -223,6 +223,37 @@ def test_bootstrap_joins_no_draws(spark):
     assert "Join" not in plan.split("FlatMapCoGroupsInPandas")[-1] and "MapInArrow" in plan
 
 
+def test_codes_without_visit_or_rare_stay_spread(spark):
+    rules = spark.createDataFrame([("A", None, "low"), ("B", None, "high")], "prefix string, exclude string, item string")
+    codes = spark.range(800).selectExpr("id AS entity_id", "IF(id % 8 = 0, 'B1', 'A1') AS code", "IF(id % 4 = 1, TIMESTAMP_NTZ '2024-01-01', NULL) AS t", "IF(id % 4 = 2, id, NULL) AS visit_id")
+    visits = spark.range(0, 800, 6).selectExpr("id AS visit_id", "TIMESTAMP_NTZ '2024-02-01' AS t_start").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS visit_id, TIMESTAMP_NTZ '2020-01-01' AS t_start"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = builders.code_events(codes, rules, visits, ("high",)).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    want = {}
+    for i in range(800):
+        b = i % 8 == 0
+        basis = "own" if i % 4 == 1 else "visit" if i % 4 == 2 and i % 6 == 0 else "unknown"
+        if basis != "unknown" or b:
+            want[i] = ("high" if b else "low", basis)
+    assert {r["entity_id"]: (r["key"], r["basis"]) for r in got} == want and len(got) == len(want)
+    for basis in ("own", "unknown"):
+        parts = [r["part"] for r in got if r["basis"] == basis]
+        assert max(map(parts.count, set(parts))) < 0.6 * len(parts)
+
+
+def test_built_events_read_line_items_once_each(spark):
+    from tidegate.plans import registry
+
+    plan = registry.queries()["ev06_built"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 3
+
+
 def plain_pools(sizes, k):
     """The smallest group joins the next smallest until all have k."""
     groups = sorted((n, s, [s]) for s, n in sizes.items() if n > 0)

@@ -28,8 +28,17 @@ def interval_events(rows: DataFrame, ingredients: list[tuple[str, str]], admin:
 
     Given rows are available when they start; ordered ones, when they were ordered, and they end where they begin.
     """
-    named = rows.withColumn("_text", F.lower(F.concat_ws(" ", "name", "concept_name")))
-    hits = lexicon.all_matches(named, "_text", ingredients, "key").withColumn("basis", F.when(F.expr(admin), "given").otherwise("ordered"))
+    return ingredient_events(ingredient_hits(rows, ingredients), admin)
+
+
+def ingredient_hits(rows: DataFrame, ingredients: list[tuple[str, str]]) -> DataFrame:
+    """rows (name, concept_name, ..) with the key of each ingredient in the name or its concept's: a table of products may be asked once."""
+    return lexicon.all_matches(rows.withColumn("_text", F.lower(F.concat_ws(" ", "name", "concept_name"))), "_text", ingredients, "key").drop("_text")
+
+
+def ingredient_events(rows: DataFrame, admin: str) -> DataFrame:
+    """``interval_events`` of rows that have their key already."""
+    hits = rows.withColumn("basis", F.when(F.expr(admin), "given").otherwise("ordered"))
     given = F.col("basis") == "given"
     return hits.select(
         "entity_id", F.lit("drug").alias("domain"), "key", F.col("quantity").alias("value"),
@@ -59,14 +68,27 @@ def code_events(codes: DataFrame, rules: DataFrame, visits: DataFrame | None = N
 
     A code without a time has its visit's start; without that, items with unbounded lookback count as long ago, and others fall out.
     """
-    hits = lexicon.code_hits(codes.withColumn("_c", normal_code(F.col("code"))), "_c", rules)
+    return item_events(code_items(codes, rules), visits, unbounded)
+
+
+def code_items(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (code, ..) with the items of their codes: a table of products or concepts may be asked once."""
+    return lexicon.code_hits(rows.withColumn("_c", normal_code(F.col("code"))), "_c", rules).drop("_c")
+
+
+def item_events(hits: DataFrame, visits: DataFrame | None = None, unbounded: tuple[str, ...] = ()) -> DataFrame:
+    """``code_events`` of rows (entity_id, item, t, visit_id) that have their item already. Rows that need no visit's start, as they have
+    a time or no visit, are dealt by their entity and time: they don't meet in the task of one null."""
+    kind = hits.schema["t"].dataType
     if visits is not None:
-        v = visits.select(F.col("visit_id").alias("_v"), F.col("t_start").alias("_s"))
-        hits = hits.join(v, F.col("visit_id") == F.col("_v"), "left")
+        v = visits.filter("visit_id IS NOT NULL").select(F.col("visit_id").alias("_v"), F.col("t_start").alias("_s"), (F.hash("visit_id") % 1).cast("long").alias("_z"))
+        asks = F.when(F.col("t").isNull(), F.col("visit_id"))
+        hits = hits.withColumn("_asks", asks).withColumn("_spread", F.when(F.col("_asks").isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("entity_id", "t", "item")))
+        hits = hits.join(v, (F.col("_asks") == F.col("_v")) & (F.col("_spread") == F.col("_z")), "left")
     else:
-        hits = hits.withColumn("_s", F.lit(None).cast(codes.schema["t"].dataType))
+        hits = hits.withColumn("_s", F.lit(None).cast(kind))
     own, start = F.col("t").isNotNull(), F.col("_s").isNotNull()
-    ago = F.when(F.col("item").isin(*unbounded), F.lit(LONG_AGO).cast(codes.schema["t"].dataType))
+    ago = F.when(F.col("item").isin(*unbounded), F.lit(LONG_AGO).cast(kind))
     when = F.coalesce("t", "_s", ago)
     out = hits.select(
         "entity_id", F.lit("code").alias("domain"), F.col("item").alias("key"), F.lit(None).cast("double").alias("value"), when.alias("t_event"),
