@@ -81,3 +81,23 @@ def test_an_entity_with_a_hundred_thousand_intervals(spark):
     # the latest of the 31 that cover a point: two thousand million pairs would be made without the cells
     assert intervals.covering(p, s, 0).filter(F.col("interval_id") == F.col("point_id") * 5).count() == 20_000
     assert audits.geometry(p, s.select("entity_id", "t_start", "t_end"), 24).filter("exact AND nearest_start_h = 0").count() == 20_000
+
+
+@pytest.mark.parametrize("name", ["jn03_covering", "jn04_chained_start", "ag23_geometry"])
+def test_entities_with_few_rows_are_not_cut_into_blocks(spark, name):
+    from tidegate.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_crowded_entities_beside_others(spark, monkeypatch):
+    points, spans = made(4)
+    p, s = spark.createDataFrame(points, POINT), spark.createDataFrame(spans, INTERVAL)
+    keys = lambda: sorted(map(tuple, intervals.covering(p, s, 24).collect()))
+    told = []
+    for many, few in ((10_000, 100), (0, 100), (90, 100), (90, 0)):
+        monkeypatch.setattr(intervals, "MANY", many)
+        monkeypatch.setattr(intervals, "FEW", few)
+        told.append(keys())
+    assert told[0] == told[1] == told[2] == told[3]

@@ -11,6 +11,7 @@ from tidegate.functions.expressions import hours_between, plus_microseconds
 from tidegate.operators import ranks
 from tidegate.operators.disclose import SMALL
 from tidegate.operators.intervals import stabbed
+from tidegate.sources.shared import written
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -81,6 +82,7 @@ def geometry(points: DataFrame, intervals: DataFrame, slack_h: float) -> DataFra
     Points whose entity has no interval are left out. What holds for all of an entity's intervals is counted once for it; covers meet by
     cells of time; the nearest and the latest start come from one order of points and starts.
     """
+    intervals = written(intervals.select("entity_id", "t_start", "t_end"), "intervals")
     own = intervals.groupBy(F.col("entity_id").alias("_e")).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("t_end").isNull()).alias("null_ends"),

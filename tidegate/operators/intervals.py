@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.expressions import hours_between, plus_microseconds
+from tidegate.sources.shared import written
 
 
 def compacted(raw: DataFrame, open_when: str, open_days: int) -> DataFrame:
@@ -36,6 +37,8 @@ def backward_as_of(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return last.select("point_id", F.when(open_still, F.col("_last.interval_id")).alias("interval_id"))
 
 
+#: Points and intervals of an entity that meet each with each; entities with more that are broadcast at most.
+MANY, FEW = 128, 100_000
 #: Hours of the smallest cell of time, cells of a block of the next size, and the largest size; a longer stretch has several of these.
 CELL_H, RADIX, LEVELS = 96.0, 4, 4
 
@@ -46,12 +49,23 @@ def cell(t: Column, hours: float = CELL_H) -> Column:
 
 
 def stabbed(points: DataFrame, intervals: DataFrame, low: Column, high: Column) -> DataFrame:
-    """points (entity_id, t, ..) beside the intervals of their entity from whose cell of low to that of high their own cell lies.
+    """points (entity_id, t, ..) beside the intervals of their entity from whose cell of low to that of high their own cell lies; of an
+    entity with at most MANY of both, beside all of its intervals: what is asked of a pair must be asked of it again.
 
-    A stretch of cells is cut into blocks of powers of RADIX, a few of each size, and a point asks for its block of each size: both meet
+    Both are read twice, as entities are counted first. Of one with more, a stretch of cells is cut into blocks of powers of RADIX, a few of each size, and a point asks for its block of each size: both meet
     by equality of entity and block, each pair once, and an entity's rows spread over its time. ``low`` and ``high`` are of intervals.
     """
     known = intervals.withColumns({"_lo": cell(low), "_hi": cell(high)}).filter("_lo <= _hi")
+    each = points.select("entity_id").unionAll(known.select("entity_id")).groupBy(F.col("entity_id").alias("_many")).agg(F.count("*").alias("_n"))
+    crowded = written(each.filter((F.col("_n") > MANY) & F.col("_many").isNotNull()).select("_many"), "crowded")
+    n = crowded.count()
+    renamed = [F.col(c).alias("_e" if c == "entity_id" else c) for c in intervals.columns]
+    if n == 0:
+        return points.join(known.select(*renamed), F.col("entity_id") == F.col("_e")).drop("_e")
+    if n <= FEW:
+        crowded = F.broadcast(crowded)
+    known = known.join(crowded, known["entity_id"] == F.col("_many"), "left")
+    of_all = lambda k, c, blocks: F.when(F.col("_many").isNotNull(), blocks).otherwise(F.array(F.struct(F.lit(-1).alias(k), F.lit(0).cast("long").alias(c))))
     none = F.array().cast("array<bigint>")
     run = lambda x, y: F.when(x <= y, F.sequence(x.cast("long"), y.cast("long"))).otherwise(none)
     of_size = lambda k, cells: F.transform(cells, lambda c: F.struct(F.lit(k).alias("_k"), c.alias("_c")))
@@ -64,9 +78,9 @@ def stabbed(points: DataFrame, intervals: DataFrame, low: Column, high: Column)
             ends = F.concat(run(first[k], first[k + 1] * RADIX - 1), run((last[k + 1] + 1) * RADIX, last[k]))
             whole = F.when(first[k + 1] > last[k + 1], whole).otherwise(ends)
         blocks.append(of_size(k, whole))
-    parts = known.select(*[F.col(c).alias("_e" if c == "entity_id" else c) for c in intervals.columns], F.inline(F.concat(*blocks)))
+    parts = known.select(*renamed, F.inline(of_all("_k", "_c", F.concat(*blocks))))
     asked = F.array(*[F.struct(F.lit(k).alias("_pk"), F.floor(cell(F.col("t")) / RADIX**k).alias("_pc")) for k in range(LEVELS + 1)])
-    own = points.select("*", F.inline(asked))
+    own = points.join(crowded, points["entity_id"] == F.col("_many"), "left").select(*[points[c] for c in points.columns], F.inline(of_all("_pk", "_pc", asked)))
     met = own.join(parts, (F.col("entity_id") == F.col("_e")) & (F.col("_pk") == F.col("_k")) & (F.col("_pc") == F.col("_c")))
     return met.drop("_e", "_k", "_c", "_pk", "_pc")
 
@@ -75,7 +89,8 @@ def covering(points: DataFrame, intervals: DataFrame, slack_h: float, long_h: fl
     """For each point the best interval that covers it within some slack: exact cover, then length, start not after, class, latest start."""
     slack = F.lit(slack_h)
     micros = F.lit(round(slack_h * 3.6e9)).cast("long")
-    j = stabbed(points.select("entity_id", "point_id", "t"), intervals, plus_microseconds("t_start", -micros), plus_microseconds("t_end", micros))
+    kept = written(intervals.select("entity_id", "interval_id", "t_start", "t_end", "class_rank"), "intervals")
+    j = stabbed(points.select("entity_id", "point_id", "t"), kept, plus_microseconds("t_start", -micros), plus_microseconds("t_end", micros))
     j = j.filter((hours_between("t", "t_start") <= slack) & (hours_between("t_end", "t") <= slack))
     exact = (F.col("t_start") <= F.col("t")) & (F.col("t_end") >= F.col("t"))
     long = hours_between("t_start", "t_end") >= long_h
@@ -92,7 +107,8 @@ def chained_start(matches: DataFrame, intervals: DataFrame, gap_h: float, acute:
 
     acute is a condition on an interval: its class or its length.
     """
-    prior = intervals.filter("NOT open").filter(acute).select("entity_id", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"))
+    prior = written(intervals.filter("NOT open").filter(acute).select("entity_id", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end")), "prior")
+    matches = written(matches.select("entity_id", "point_id", "t", "t_start"), "matches")
     from_start = matches.filter("t_start IS NOT NULL").select("entity_id", "point_id", F.col("t_start").alias("t"))
     near = stabbed(from_start, prior, F.col("p_start"), plus_microseconds("p_end", F.lit(round(gap_h * 3.6e9)).cast("long")))
     hop = near.filter((F.col("p_start") <= F.col("t")) & (hours_between("p_end", "t") <= gap_h)).groupBy("point_id").agg(F.min("p_start").alias("earlier"))

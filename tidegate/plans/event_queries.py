@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.expressions import hours_between, normal_code, normal_name
 from tidegate.operators import features, gate, identity, intervals, lexicon, nearest, rules, runs
 from tidegate.plans.tables import EVENTS, GATED, INDEX, INTERVALS, POINTS, events, index, points, raw_intervals, table
+from tidegate.sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -164,9 +165,9 @@ def covering(spark: SparkSession, d: str) -> DataFrame:
 @query("jn04_chained_start", "WITH " + COVER + """, h AS (SELECT point_id, min(iv.t_start) AS e FROM mt JOIN iv USING (entity_id) WHERE mt.t_start IS NOT NULL AND NOT iv.open AND (iv.class_rank <= 2 OR iv.t_end > iv.t_start + to_days(90)) AND iv.t_start <= mt.t_start
   AND date_diff('microsecond', iv.t_end, mt.t_start) / 3.6e9 <= 48 GROUP BY 1) SELECT point_id, least(coalesce(e, t_start), t) AS start FROM mt LEFT JOIN h USING (point_id)""")
 def chained_start(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d)
-    m = intervals.covering(p, compact(spark, d), 24).join(p, "point_id")
-    return intervals.chained_start(m, compact(spark, d), 48, "class_rank <= 2 OR t_end > timestampadd(DAY, 90, t_start)")
+    p, c = points(spark, d), written(compact(spark, d), "compact")
+    m = intervals.covering(p, c, 24).join(p, "point_id")
+    return intervals.chained_start(m, c, 48, "class_rank <= 2 OR t_end > timestampadd(DAY, 90, t_start)")
 
 
 @query("jn05_chain_back", """WITH RECURSIVE o AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent, o_orderdate AS t FROM orders),
