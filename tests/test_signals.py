@@ -100,3 +100,27 @@ def test_registered_spectra_equal_plain_ones(spark):
         p = abs(f) ** 2
         assert abs(r["beta"] - p[(np.arange(33) >= 13) & (np.arange(33) < 30)].sum() / p.sum()) < 2e-6
         assert abs(r["complexity"] - plain_phrases((v > np.median(v)).astype(int)) * 6 / 64) < 2e-6
+
+
+def test_spectra_hold_no_objects():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidegate.operators import signals
+
+    rng = np.random.default_rng(1)
+    rows = [rng.normal(size=64).tolist() for _ in range(1000)] + [None, [], [1.0], [1.0, None, 2.0], [1.0, float("nan")], [1.0, 2.0, 4.0]]
+    x = pa.array([[9.0], *rows], pa.list_(pa.float64())).slice(1)
+    tracemalloc.start()
+    got = signals.transformed(x, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # 33 pairs of 1,000 arrays are 0.5 MB of numbers
+    got = got.to_pylist()
+    for i in (0, 999, 1005):
+        a = np.asarray(rows[i])
+        want = np.fft.rfft((a - a.mean()) * np.hanning(a.size))
+        assert np.allclose([complex(v["re"], v["im"]) for v in got[i]], want)
+    assert got[1000:1005] == [None] * 5

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0)}
 
@@ -106,23 +108,42 @@ def attention_pooled(rows: DataFrame, by: str, vector: str, tau: float = 0.1) ->
     return out.select(F.col("g").alias(by), F.col("dim").cast("long").alias("dim"), "n", "mean", "pooled")
 
 
+#: Arrays that are transformed at a time.
+TOGETHER = 1024
+
+
+def transformed(x: pa.ListArray, taper: bool) -> pa.ListArray:
+    """The spectra of arrays, those of one length together; no number becomes an object."""
+    start, ends = x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:]
+    size = np.where(x.is_valid().to_numpy(zero_copy_only=False), ends - start, 0)
+    values = x.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    found, known = {}, np.zeros(len(x), bool)
+    for n in np.unique(size[size >= 2]):
+        at = np.flatnonzero(size == n)
+        some = values[start[at][:, None] + np.arange(n)]
+        fine = np.isfinite(some).all(axis=1)
+        at, some = at[fine], some[fine]
+        known[at] = True
+        found[n] = at, np.fft.rfft((some - some.mean(axis=1, keepdims=True)) * (np.hanning(n) if taper else 1.0), axis=1)
+    offsets = np.r_[0, np.cumsum(np.where(known, size // 2 + 1, 0))]
+    flat = np.empty(offsets[-1], np.complex128)
+    for at, f in found.values():
+        flat[offsets[at][:, None] + np.arange(f.shape[1])] = f
+    pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat.real)), pa.array(np.ascontiguousarray(flat.imag))], ["re", "im"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs, mask=pa.array(~known))
+
+
 def fourier(rows: DataFrame, taper: bool = True) -> DataFrame:
     """Adds f, an array of (re, im) from frequency 0 up, of x less its mean, under a Hann window if asked; null where x is short or odd."""
 
-    @F.pandas_udf("array<struct<re:double,im:double>>")
-    def transform(xs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in xs:
-            out = []
-            for x in s:
-                x = np.asarray(x if x is not None else [], float)
-                if x.size < 2 or not np.isfinite(x).all():
-                    out.append(None)
-                    continue
-                f = np.fft.rfft((x - x.mean()) * (np.hanning(x.size) if taper else 1.0))
-                out.append([{"re": float(a), "im": float(b)} for a, b in zip(f.real, f.imag)])
-            yield pd.Series(out)
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(first, TOGETHER)
+                yield pa.RecordBatch.from_arrays([*some.columns, transformed(some.column("x"), taper)], [*some.schema.names, "f"])
 
-    return rows.withColumn("f", transform("x"))
+    kind = T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]))
+    return rows.mapInArrow(transform, T.StructType([*rows.schema.fields, T.StructField("f", kind)]))
 
 
 def connectivity(segments: DataFrame, pairs: list[tuple[str, object, object]], fs: float, bands: dict[str, tuple[float, float]], least: int = 2, taper: bool = True) -> DataFrame:
