@@ -152,3 +152,27 @@ def test_top_of_a_site_limits_before_the_shuffle(spark):
     assert {(r["site"], r["matched"], r["w"], r["n"]) for r in top.collect()} == want
     got = {(r["site"], r["label"]): r["n"] for r in runs.top_values(df, "site", "w", 2).collect()}
     assert sum(got.values()) == 3000 and len(got) == 6
+
+
+def test_a_piece_holds_few_draws_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from tidegate.operators import resample
+
+    n = resample.PIECE
+    rng = np.random.default_rng(2)
+    part = pd.DataFrame({"y": rng.integers(0, 2, n), "p": np.sort(rng.integers(0, 101, n) / 101)})
+    sums = resample.auroc("y", "p").sums
+    site = np.full(n, "")
+    all_of = lambda: np.concatenate([sums(part, c) for _, c in resample.counts(site, {"": [n]}, 0, 70, "within_site", (3, "a"))])
+    tracemalloc.start()
+    got = all_of()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    # how many are held at a time changes no draw
+    monkeypatch.setattr(resample, "TOGETHER", 1 << 21)
+    assert (all_of() == got).all()

@@ -23,7 +23,7 @@ from tidegate.operators.metrics import MODES, REPLICATES
 from tidegate.sources.shared import written
 
 #: Rows of a piece on average, and draws that a piece holds at a time.
-PIECE, TOGETHER = 1 << 16, 1 << 21
+PIECE, TOGETHER = 1 << 16, 1 << 18
 
 
 @dataclass(frozen=True)
