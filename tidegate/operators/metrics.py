@@ -108,21 +108,40 @@ def bootstrap_means(rows: DataFrame, site: str, value: str, replicates: int, see
     """
     assert mode in MODES, f"mode must be one of {MODES}"
     if mode == "cluster":
-        return drawn_sites(rows, site, value, replicates, seed).groupBy("rep").agg((F.sum("total") / F.sum("n")).alias("mean"))
+        return cluster_means(rows, site, value, replicates, seed)
+    return slot_means(numbered_rows(rows, site, value), site, replicates, seed, mode)
+
+
+def bootstrap_modes(rows: DataFrame, site: str, value: str, replicates: int, seed: int) -> dict[str, DataFrame]:
+    """``bootstrap_means`` in each mode; the rows are made and numbered once, and what makes them (joins, broadcasts) isn't run again."""
+    numbered = numbered_rows(rows, site, value)
+    return {m: cluster_means(numbered, site, "v", replicates, seed) if m == "cluster" else slot_means(numbered, site, replicates, seed, m) for m in MODES}
+
+
+def cluster_means(rows: DataFrame, site: str, value: str, replicates: int, seed: int) -> DataFrame:
+    return drawn_sites(rows, site, value, replicates, seed).groupBy("rep").agg((F.sum("total") / F.sum("n")).alias("mean"))
+
+
+def numbered_rows(rows: DataFrame, site: str, value: str) -> DataFrame:
+    """site, v, row: its number within the site by entity, from 0; rows of an unknown site are left out."""
     placed = ranks.ranked(rows.filter(F.col(site).isNotNull()).select(site, "entity", F.col(value).cast("double").alias("v")), [site], ["entity"])
-    numbered = written(placed.select(site, "v", (F.col("_rank") - 1).alias("row")), "numbered")
+    return written(placed.select(site, "v", (F.col("_rank") - 1).alias("row")), "numbered")
+
+
+def slot_means(numbered: DataFrame, site: str, replicates: int, seed: int, mode: str) -> DataFrame:
+    """``bootstrap_means`` of numbered rows, for the modes that draw slots."""
     upto = lambda n: F.sequence(F.lit(0), n)
     chunks = numbered.groupBy(site).agg(F.count("*").alias("n")).select(site, "n", F.explode(upto(F.floor((F.col("n") - 1) / SLOTS).cast("int"))).alias("chunk"))
     chunks = chunks.select("*", F.explode(upto(F.lit((replicates - 1) // PIECE))).alias("piece"))
     if mode == "two_stage":
-        sites = drawn_sites(rows, site, value, replicates, seed).groupBy(site, F.floor(F.col("rep") / PIECE).cast("int").alias("piece"))
+        sites = drawn_sites(numbered, site, "v", replicates, seed).groupBy(site, F.floor(F.col("rep") / PIECE).cast("int").alias("piece"))
         chunks = chunks.join(sites.agg(F.collect_list("rep").alias("reps"), F.collect_list("pos").alias("pos")), [site, "piece"])
     else:
         reps = F.sequence(F.col("piece") * PIECE, F.least(F.col("piece") * PIECE + PIECE, F.lit(replicates)) - 1)
         chunks = chunks.select("*", reps.alias("reps"), F.lit(None).cast("array<int>").alias("pos"))
-    dealt = chunks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), site, "chunk", "piece")
+    dealt = chunks.repartition(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), site, "chunk", "piece")
     named = dealt.select(F.col(site).alias("site"), F.col(site).cast("string").alias("name"), "n", "chunk", "piece", "reps", "pos")
-    kind = rows.schema[site].dataType.simpleString()
+    kind = numbered.schema[site].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

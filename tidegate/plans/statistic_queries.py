@@ -71,7 +71,8 @@ def interval(spark: SparkSession, d: str) -> DataFrame:
 @query("mt04_modes")
 def interval_modes(spark: SparkSession, d: str) -> DataFrame:
     v = predictions(spark, d).filter("y IS NOT NULL AND label = 'quality'").select("site", "entity", (F.col("y") - F.lit(0.8)).alias("v"))
-    each = [metrics.percentile_interval(metrics.bootstrap_means(v, "site", "v", metrics.REPLICATES, 7, m)).select(F.lit(m).alias("mode"), "*") for m in metrics.MODES]
+    means = metrics.bootstrap_modes(v, "site", "v", metrics.REPLICATES, 7)
+    each = [metrics.percentile_interval(means[m]).select(F.lit(m).alias("mode"), "*") for m in metrics.MODES]
     return rounded(each[0].unionByName(each[1]).unionByName(each[2]))
 
 
